@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 # Settings every job of the library expects.  AQE re-plans joins at runtime:
 # a join side whose materialised size is under the broadcast threshold is
@@ -67,7 +68,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cuts lineage; survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, observe: dict | None = None) -> DataFrame:
+    """Cut lineage by writing a parquet table into the checkpoint folder and
+    reading it back: one job, the table survives executor loss (unlike a
+    local checkpoint), and later reads get parquet pruning.
+
+    ``observe`` maps names to aggregate columns that are computed in the same
+    job; their values are put back into the dict.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tbl-{uuid.uuid4().hex}"
+    if observe:
+        obs = Observation(f"ckpt_{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
+        df.write.parquet(path)
+        observe.update(obs.get)
+    else:
+        df.write.parquet(path)
+    return spark.read.parquet(path)
