@@ -1,0 +1,118 @@
+"""Registered queries over the topic and report operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from topicspark.operators import cluster as C
+from topicspark.operators import text as T
+from topicspark.operators import topics as TP
+from topicspark.operators import report as R
+from topicspark.plans.cluster_queries import CLUSTER_SIZE, unit
+from topicspark.plans.registry import register
+from topicspark.session import checkpoint
+from topicspark.sources import bindings, tables
+
+N_TOPICS = 2
+
+
+def topic_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(counts (document, ngram, count), word_clusters (ngram, cluster_id))``
+    for the sequential clusters: documents cleaned and counted, the cleaned
+    vocabulary bound to the vectors, vectors clustered."""
+    counts = checkpoint(T.clean_word_counts(tables.documents(spark, sf_dir))
+                        .select(F.col("doc_id").alias("document"), F.col("word").alias("ngram"),
+                                F.col("cnt").alias("count")))
+    u = unit(spark, sf_dir)
+    words = bindings.bind_vocabulary(
+        bindings.ranked_vocabulary(counts, word_col="ngram", count_col="count"), u)
+    members = C.sequential_cluster(u, CLUSTER_SIZE)
+    return counts, checkpoint(C.word_cluster(members, words))
+
+
+def doc_word(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts, wc = topic_inputs(spark, sf_dir)
+    return TP.cluster_doc_word(counts, wc), wc
+
+
+@register("cluster_doc_word")
+def cluster_doc_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document-word counts restricted to each cluster (long, sparse)."""
+    return doc_word(spark, sf_dir)[0]
+
+
+@register("l1_doc_loading")
+def l1_doc_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 document loading per cluster."""
+    return TP.l1_doc_loading(doc_word(spark, sf_dir)[0])
+
+
+@register("l1_topic_words")
+def l1_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word shares within each cluster."""
+    return TP.l1_topic_words(doc_word(spark, sf_dir)[0]).withColumn("weight", F.round("weight", 6))
+
+
+@register("l1_importance")
+def l1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cluster total and the sum of shares."""
+    return TP.l1_importance(doc_word(spark, sf_dir)[0]).withColumn("share_sum", F.round("share_sum", 6))
+
+
+@register("doc_topic_wide")
+def doc_topic_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, one L1 loading column per cluster, 0 when absent."""
+    return R.document_topics_wide(TP.l1_doc_loading(doc_word(spark, sf_dir)[0]))
+
+
+@register("topic_words_table")
+def topic_words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: L1 topic-word distribution of each cluster, ranked (long form)."""
+    return R.topic_words_long(TP.l1_topic_words(doc_word(spark, sf_dir)[0])) \
+        .withColumn("weight", F.round("weight", 6))
+
+
+@register("lsa_cluster_status")
+def lsa_cluster_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 guard: which clusters get an LSA and why not."""
+    cdw, wc = doc_word(spark, sf_dir)
+    return TP.lsa_status(wc, cdw, N_TOPICS)
+
+
+def _lsa(spark: SparkSession, sf_dir: str) -> dict:
+    cdw, wc = doc_word(spark, sf_dir)
+    return TP.lsa_topics(wc, cdw, N_TOPICS)
+
+
+@register("lsa_singular_values")
+def lsa_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second singular value per cluster."""
+    res = _lsa(spark, sf_dir)
+    out = TP.by_topic_columns(res["singular"], "sigma", ("leading_singular", "second_singular"))
+    return out.select("cluster_id", F.round("leading_singular", 6).alias("leading_singular"),
+                      F.round("second_singular", 6).alias("second_singular"))
+
+
+@register("lsa_importance")
+def lsa_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of the first and second topic per cluster."""
+    res = _lsa(spark, sf_dir)
+    out = TP.by_topic_columns(res["importance"], "importance", ("leading_importance", "second_importance"))
+    return out.select("cluster_id", F.round("leading_importance", 6).alias("leading_importance"),
+                      F.round("second_importance", 6).alias("second_importance"))
+
+
+@register("lsa_topic_words")
+def lsa_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic-word weights, ranked by weight within each topic."""
+    res = _lsa(spark, sf_dir)
+    w = Window.partitionBy("cluster_id", "topic").orderBy(F.col("weight").desc(), F.col("ngram"))
+    return (res["words"].withColumn("rnk", F.row_number().over(w))
+            .withColumn("weight", F.round("weight", 6)))
+
+
+@register("lsa_doc_loading")
+def lsa_doc_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document loadings of the first and second topic."""
+    return _lsa(spark, sf_dir)["loadings"].withColumn("loading", F.round("loading", 6))
