@@ -44,3 +44,8 @@ ORACLE["doc_topic_wide"] = (
     "FROM docs d CROSS JOIN cl c LEFT JOIN l1 ON l1.document = d.document AND l1.cluster_id = c.cluster_id) "
     "PIVOT full_l1 ON col USING first(loading) GROUP BY document"
 )
+ORACLE["lda_input"] = (
+    f"{SEQ}, {CLEAN_COUNTS_CTES}, {WORDS} SELECT wc.cluster_id, c.doc_id AS document, c.word AS ngram, "
+    "CAST(floor(avg(c.cnt)) AS BIGINT) AS cnt FROM clean_counts c JOIN wc ON wc.ngram = c.word "
+    "GROUP BY 1, 2, 3 HAVING floor(avg(c.cnt)) > 0"
+)
