@@ -24,7 +24,7 @@ from topicspark.functions.constants import (
 )
 
 
-def _split_words(text: Column) -> Column:
+def split_words(text: Column) -> Column:
     """lower + split on runs of Unicode whitespace, empty edge pieces dropped."""
     return F.filter(F.split(F.lower(text), WHITESPACE_RE), lambda x: x != F.lit(""))
 
@@ -36,7 +36,7 @@ def whitespace_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     Returns ``(id_col, pos int, token)``; null text gives no rows.
     """
-    return df.select(id_col, F.posexplode(_split_words(F.col(text_col))).alias("pos", "token"))
+    return df.select(id_col, F.posexplode(split_words(F.col(text_col))).alias("pos", "token"))
 
 
 def remove_stopwords(tokens: DataFrame, stopwords: Iterable[str] | None = None,
@@ -94,7 +94,7 @@ def _split_contractions(arr: Column) -> Column:
 def word_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """T5: word tokens of already cleaned text: lower, whitespace split, then the
     fixed contraction splits.  Returns ``(id_col, pos, token)``."""
-    arr = _split_contractions(_split_words(F.col(text_col)))
+    arr = _split_contractions(split_words(F.col(text_col)))
     return df.select(id_col, F.posexplode(arr).alias("pos", "token"))
 
 

@@ -90,6 +90,12 @@ ORACLE["tf_idf"] = (
     f"FROM clean_counts c JOIN dfreq d ON c.word = d.word, n"
 )
 
+# stream: the days the watermark (max event time - 1 day) has closed
+ORACLE["stream_daily_word_freq"] = (
+    f"WITH d AS ({ORACLE['daily_word_freq']}) "
+    "SELECT * FROM d WHERE date <= (SELECT max(date) FROM d) - INTERVAL 2 DAY"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     # later modules add their SQL on import

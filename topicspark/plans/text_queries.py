@@ -83,3 +83,19 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = T.clean_word_counts(tables.documents(spark, sf_dir))
     out = T.tf_idf(counts)
     return out.withColumn("tf_idf", F.round("tf_idf", 6))
+
+
+@register("stream_daily_word_freq")
+def stream_daily_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: T1-T3 + T8 as a stream over the documents file (event time = the
+    document's date), 1-day windows, watermark 1 day, append mode; only days
+    closed by the watermark are emitted."""
+    from topicspark.streaming.daily import daily_word_counts_stream, run_available_now
+
+    def build(stream: DataFrame) -> DataFrame:
+        dated = bindings.with_document_date(stream).withColumn("ts", F.col("date").cast("timestamp"))
+        return daily_word_counts_stream(dated)
+
+    return run_available_now(spark, sf_dir, "documents.parquet",
+                             "doc_id long, text string, lang string, source string, n_chars long",
+                             build, "daily_word_freq")
