@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from topicspark.session import checkpoint
 from topicspark.functions.constants import (
     CLEAN_RE,
     CONTRACTION_SPLITS,
@@ -117,7 +118,9 @@ def lemma_table(words: DataFrame, lexicon: DataFrame | None = None, word_col: st
     Work is one row per distinct word (never per token).
     """
     w = F.col(word_col)
-    vocab = words.select(w.alias("word")).distinct()
+    # written once: both the candidate side and the lexicon side read it,
+    # so the text behind ``words`` is tokenised a single time
+    vocab = checkpoint(words.select(w.alias("word")).distinct())
     wc = F.col("word")
     cands = [F.struct(F.lit(0).alias("prio"), wc.alias("cand"))]
     for i, (suf, rep) in enumerate(NOUN_SUFFIX_RULES, start=1):
@@ -172,7 +175,8 @@ def clean_word_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     sw = list(ENGLISH_STOP_WORDS if stopwords is None else stopwords)
     toks = clean_word_tokens(df, text_col, id_col, sw)
-    pairs = toks.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    # written once: the lemma vocabulary and the re-sum both read the pairs
+    pairs = checkpoint(toks.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
     lemmas = lemma_table(pairs.select(F.col("token").alias("word")), lexicon)
     lp = remove_stopwords(lemmatize(pairs, lemmas), sw)
     return lp.groupBy(id_col, F.col("token").alias("word")).agg(F.sum("cnt").alias("cnt"))

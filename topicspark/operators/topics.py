@@ -139,18 +139,21 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
         both = Zp.join(Zw, ["cluster_id", "ngram"])
         sums = ([F.sum(F.col(pc[i]) * F.col(pc[j])).alias(f"g_{i}_{j}") for i, j in _pairs(r)]
                 + [F.sum(F.col(zc[i]) * F.col(pc[j])).alias(f"m_{i}_{j}") for i in range(r) for j in range(r)])
-        eig = checkpoint(both.groupBy("cluster_id").agg(*sums).mapInPandas(eig_fn, eig_schema))
+        eig = both.groupBy("cluster_id").agg(*sums).mapInPandas(eig_fn, eig_schema)
+        seen = None
+        if prev is not None:
+            # largest change of the Ritz values, relative to the cluster's first
+            change = F.aggregate(F.zip_with("ritz", "_was", lambda a, b: F.abs(a - b)), F.lit(0.0),
+                                 lambda acc, v: F.greatest(acc, v)) / F.greatest(F.col("ritz")[0], F.lit(1e-300))
+            eig = (eig.join(prev.select("cluster_id", F.col("ritz").alias("_was")), "cluster_id", "left")
+                   .withColumn("_change", F.coalesce(change, F.lit(float("inf")))).drop("_was"))
+            seen = {"change": F.max("_change")}
+        eig = checkpoint(eig, observe=seen)
         basis = Zw
-        Zw = checkpoint(_combine(Zp.join(eig.select("cluster_id", "t"), "cluster_id"), "t", pc, zc, r))
-        if it >= 2:
-            change = (eig.select("cluster_id", F.col("ritz").alias("now"))
-                      .join(prev.select("cluster_id", F.col("ritz").alias("was")), "cluster_id")
-                      .select(F.max(F.aggregate(
-                          F.zip_with("now", "was", lambda a, b: F.abs(a - b)), F.lit(0.0),
-                          lambda acc, v: F.greatest(acc, v)) / F.greatest(F.col("now")[0], F.lit(1e-300))))
-                      .first()[0])
-            if change is None or change < tol:
-                break
+        # next basis: a lazy join of two written tables
+        Zw = _combine(Zp.join(eig.select("cluster_id", "t"), "cluster_id"), "t", pc, zc, r)
+        if seen is not None and (seen["change"] is None or seen["change"] < tol):
+            break
         prev = eig
     # Ritz vectors of the last orthonormal basis: v_i = basis @ S[:, i]
     tc = [f"v{i}" for i in range(n_topics)]
