@@ -150,8 +150,9 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
             seen = {"change": F.max("_change")}
         eig = checkpoint(eig, observe=seen)
         basis = Zw
-        # next basis: a lazy join of two written tables
-        Zw = _combine(Zp.join(eig.select("cluster_id", "t"), "cluster_id"), "t", pc, zc, r)
+        # next basis, written: left lazy, the optimiser would fold the r x r
+        # combination into every count-row aggregate of the next iteration
+        Zw = checkpoint(_combine(Zp.join(eig.select("cluster_id", "t"), "cluster_id"), "t", pc, zc, r))
         if seen is not None and (seen["change"] is None or seen["change"] < tol):
             break
         prev = eig

@@ -24,7 +24,7 @@ from topicspark.functions.vector import l2_norm
 
 KNN_SCHEMA = "q long, n long, label int, score double"
 QUERY_CHUNK = 512
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 MIN_BLOCKS = 3
 
 
