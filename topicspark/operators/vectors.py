@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions.vector import l2_norm
+from topicspark.functions.vector import dot, l2_norm
 
 KNN_SCHEMA = "q long, n long, label int, score double"
 QUERY_CHUNK = 512
@@ -207,7 +207,6 @@ def attach_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     vector table; vectors are read once per side, not per pair)."""
     a = vectors.select(F.col("vec_id").alias("q"), F.col("v").alias("_vq"))
     b = vectors.select(F.col("vec_id").alias("n"), F.col("v").alias("_vn"))
-    from topicspark.functions.vector import dot
     return pairs.join(a, "q").join(b, "n").withColumn("sim", dot(F.col("_vq"), F.col("_vn"))).drop("_vq", "_vn")
 
 
