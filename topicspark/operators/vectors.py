@@ -145,6 +145,9 @@ def block_topk(queries: DataFrame, candidates: DataFrame, k: int, kind: str = "c
 def knn_exact(vectors: DataFrame, k: int, self_mode: str = "first", **kw) -> DataFrame:
     """Exact cosine top-k of every unit vector: ``(q, n, rnk, sim)``."""
     x = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    if "n_queries" not in kw:
+        n = x.count()  # one count sizes both sides
+        kw = {**kw, "n_queries": n, "n_candidates": n}
     return (block_topk(x, x, k, "cosine", self_mode, **kw)
             .select("q", "n", "rnk", F.col("score").alias("sim")))
 
@@ -198,6 +201,9 @@ def knn_hamming(signatures: DataFrame, k: int, self_mode: str = "first", **kw) -
     ``(q, n, rnk, hamming)``; ties by id."""
     nbits = 32 * len(signatures.select("sig").first()[0])
     x = signatures.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"))
+    if "n_queries" not in kw:
+        n = x.count()
+        kw = {**kw, "n_queries": n, "n_candidates": n}
     return (block_topk(x, x, k, "hamming", self_mode, labels=(nbits,), **kw)
             .select("q", "n", "rnk", (-F.col("score")).cast("long").alias("hamming")))
 
