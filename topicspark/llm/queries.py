@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import langid, toxicity
+from topicspark.llm import jaccard_join, langid, packing, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -26,6 +26,21 @@ def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", *(cols or ("text",))])
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of linked documents over all whole texts (5 words, Jaccard 0.75)."""
+    rows, _, comps = jaccard_join.join(_docs(spark, sf_dir))
+    got = jaccard_join.with_components(rows, comps)
+    return got.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins of 2048 words: no two equal texts and at
+    most two documents of a source per bin."""
+    return packing.pack(_docs(spark, sf_dir, "text", "source"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learns from the rows whose fold is not 1."""
@@ -37,6 +52,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("language.score").alias("score"), F.col("language.n_langs").alias("n_langs"))
 
 
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; equal texts stay together."""
+    got = sharding.shard(_docs(spark, sf_dir))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; labels are learnt from the rows whose fold is not 0."""
