@@ -46,3 +46,11 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
             value = value.cast(f.type)
         arrays.append(value)
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished, written steps now: its
+    cleaner acts when the driver collects garbage."""
+    import gc
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import jaccard_join, langid, packing, sharding, toxicity
+from topicspark.llm import jaccard_join, langid, packing, repeats, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -26,6 +26,13 @@ def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", *(cols or ("text",))])
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of bytes covered by 100-byte strings that also start earlier."""
+    got = repeats.cut_column(repeats.find(_docs(spark, sf_dir)))
+    return got.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256")
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of linked documents over all whole texts (5 words, Jaccard 0.75)."""
