@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import jaccard_join, langid, packing, repeats, sharding, toxicity
+from topicspark.llm import bpe, jaccard_join, langid, packing, repeats, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -59,6 +59,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("language.score").alias("score"), F.col("language.n_langs").alias("n_langs"))
 
 
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and the bytes decoded from them."""
+    path, pattern = bpe.defaults()
+    got = bpe.with_ids(_docs(spark, sf_dir), path, pattern).select("doc_id", "ids")
+    got = bpe.with_bytes(bpe.with_id_digest(got), path, pattern)
+    return got.select("doc_id", "ids_digest.n_tokens", "ids_digest.ids_sha256",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts stay together."""
