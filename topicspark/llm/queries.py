@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, jaccard_join, langid, packing, repeats, sharding, toxicity
+from topicspark.llm import bpe, fingerprints, jaccard_join, langid, packing, repeats, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -59,6 +59,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("language.score").alias("score"), F.col("language.n_langs").alias("n_langs"))
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every whole text and its edited text."""
+    got = fingerprints.compare(_docs(spark, sf_dir))
+    return got.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+                      fingerprints.as_text("sig").alias("fingerprint"),
+                      fingerprints.as_text("edited_sig").alias("edited_fingerprint"),
+                      fingerprints.likeness("sig", "edited_sig").alias("near_edited"),
+                      fingerprints.likeness("sig", "next_sig").alias("near_next"))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, and the bytes decoded from them."""
