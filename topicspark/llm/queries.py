@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, fingerprints, jaccard_join, langid, packing, repeats, sharding, toxicity
+from topicspark.llm import bpe, embedding_dedup, fingerprints, jaccard_join, langid, packing, repeats, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -59,6 +59,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("language.score").alias("score"), F.col("language.n_langs").alias("n_langs"))
 
 
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    got = embedding_dedup.dedup(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistent weighted samples of every whole text and its edited text."""
