@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from topicspark.llm import langid, toxicity  # noqa: E402
+from topicspark.llm import jaccard_join, langid, packing, repeats, toxicity  # noqa: E402
 from topicspark.llm.common import checkpoint, fold  # noqa: E402
 from topicspark.session import prepare  # noqa: E402
 from topicspark.sources.tables import read_table  # noqa: E402
@@ -36,9 +36,31 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return got.where(F.col("_language.lang") != "und").select(*docs.columns)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the document of the smallest id of each group of near copies stays."""
+    prepare(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: bytes covered by 100-byte strings that start earlier are cut out of the texts."""
+    prepare(spark)
+    got = repeats.cut_text(repeats.find(docs), chars_col="n_chars" if "n_chars" in docs.columns else None)
+    return got.select(*docs.columns)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the remaining texts as pieces in bins."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("language", keep_languages),
+    ("near copies", keep_one_of_near_copies),
+    ("repeats", cut_repeats),
+    ("packing", pack_bins),
 ]
 
 #: the classifiers of the first two stages have no SQL form; tests/llm holds a brute-force version

@@ -331,3 +331,24 @@ def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     label = node.join(low, "comp").select("cid", "component_id")
     return (rows.join(label, "cid", "left")
             .withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))))
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but the first (smallest id, then row
+    key) of each component; rows without shingles all stay.  Only the keys of
+    the rows that go are joined, so the texts need not be shuffled for a short
+    list."""
+    rows, _, comps = join(docs, size, percent, id_col=id_col, text_col=text_col)
+    node = rows.where(F.col("n") > 0).groupBy("_rk").agg(
+        F.first("cid").alias("cid"), F.first("_id").alias("_id"), F.count(F.lit(1)).alias("times"))
+    node = node.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left") \
+        .withColumn("comp", F.coalesce("comp", "cid"))
+    best = node.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_rk")).alias("best"))
+    node = checkpoint(node.join(best, "comp").select("_rk", "times", (F.col("best._rk") == F.col("_rk")).alias("wins")))
+    gone = node.where(~F.col("wins")).select("_rk")
+    again = node.where(F.col("wins") & (F.col("times") > 1)).select("_rk")
+    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col), F.col(text_col)))
+    once = keyed.join(gone.unionByName(again), "_rk", "left_anti")
+    first = keyed.join(again, "_rk", "left_semi").dropDuplicates(["_rk"])
+    return once.unionByName(first).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, embedding_dedup, fingerprints, jaccard_join, langid, packing, repeats, sharding, toxicity
+from topicspark.llm import bpe, embedding_dedup, fingerprints, hpylm, jaccard_join, langid, packing, repeats, sharding, toxicity
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -33,6 +33,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256")
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitman-Yor log10 probabilities of all whole texts; learns from the rows whose fold is not 2."""
+    got = hpylm.score(_docs(spark, sf_dir), fold("_id", 7) != 2)
+    return got.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 7) == 2, F.lit(True)).alias("held_out"),
+                      "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of linked documents over all whole texts (5 words, Jaccard 0.75)."""

@@ -326,3 +326,22 @@ def cut_column(docs: DataFrame, text_col: str = "text", out_col: str = "_cut") -
         return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     return docs.withColumn(out_col, cut(F.col(text_col), F.col("_runs"))).drop("_runs")
+
+
+def cut_text(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """Replace the text by what stays of it and drop ``_runs``.  A character
+    that loses a part of its bytes goes; a null text stays null.  ``chars_col``
+    names a column to hold the new number of code points."""
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        data, off = T.text_bytes(texts)
+        out = []
+        for i, (parts, known) in enumerate(zip(runs.to_pylist(), texts.is_valid().to_pylist())):
+            raw = data[off[i]:off[i + 1]]
+            a, z = _runs_of(parts, len(raw))
+            keep = np.concatenate(([0], np.column_stack([a, z]).ravel(), [len(raw)])).reshape(-1, 2)
+            out.append(b"".join(raw[s:e].tobytes() for s, e in keep).decode("utf-8", "ignore") if known else None)
+        return pa.array(out, pa.string())
+
+    got = docs.withColumn(text_col, cut(F.col(text_col), F.col("_runs"))).drop("_runs")
+    return got.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col else got
