@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from topicspark.llm import jaccard_join, langid, packing, repeats, toxicity  # noqa: E402
-from topicspark.llm.common import checkpoint, fold  # noqa: E402
+from topicspark.llm.common import checkpoint, fold, fresh  # noqa: E402
 from topicspark.session import prepare  # noqa: E402
 from topicspark.sources.tables import read_table  # noqa: E402
 
@@ -25,15 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
     model = toxicity.train(docs, labels, fold("_id", 5) != 0)
-    return toxicity.with_score(docs, model, out_col="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return toxicity.with_score(docs, model, out_col=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without a recognised language (``und``) go."""
     prepare(spark)
     model = langid.train(docs, fold("_id", 3) != 1)
-    got = langid.with_language(docs, model, out_col="_language")
-    return got.where(F.col("_language.lang") != "und").select(*docs.columns)
+    name = fresh(docs, "_language")
+    got = langid.with_language(docs, model, out_col=name)
+    return got.where(F.col(name)["lang"] != "und").select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: bytes covered by 100-byte strings that start earlier are cut out of the texts."""
     prepare(spark)
-    got = repeats.cut_text(repeats.find(docs), chars_col="n_chars" if "n_chars" in docs.columns else None)
+    runs = fresh(docs, "_runs")
+    got = repeats.cut_text(repeats.find(docs, runs_col=runs), runs_col=runs,
+                           chars_col="n_chars" if "n_chars" in docs.columns else None)
     return got.select(*docs.columns)
 
 

@@ -17,6 +17,14 @@ def fold(id_col: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string")) % F.lit(parts)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def unit_hash(col: Column, seed: int) -> Column:
     """A fixed pseudo-random number in [0, 1) per value."""
     return F.pmod(F.xxhash64(col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

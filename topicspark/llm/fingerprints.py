@@ -105,7 +105,7 @@ def signatures(rows: DataFrame, key: str, texts: list[str], meta: list[Column],
         *[F.max(f"_meta{m}").alias(f"meta_{m}") for m in range(n_meta)])
     # a row without any word has block 0 alone (from its meta rows): fill up with 'no term'
     full = [F.flatten(F.expr(f"transform(sequence(0, {blocks - 1}), b -> "
-                             f"coalesce(element_at(transform(_l{i}, e -> e._a{i}), int(b + 1)), "
+                             f"coalesce(try_element_at(transform(_l{i}, e -> e._a{i}), int(b + 1)), "
                              f"transform(sequence(1, {BLOCK}), z -> 0L)))")).alias(f"sig_{i}") for i in range(n_text)]
     return joined.select(key, *full, *[F.col(f"meta_{m}") for m in range(n_meta)])
 

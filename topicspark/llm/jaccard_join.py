@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.llm import textio as T
-from topicspark.llm.common import arrow_rows, checkpoint
+from topicspark.llm.common import arrow_rows, checkpoint, fresh
 from topicspark.llm.components import components
 
 SIZE = 5
@@ -348,7 +348,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col:
     node = checkpoint(node.join(best, "comp").select("_rk", "times", (F.col("best._rk") == F.col("_rk")).alias("wins")))
     gone = node.where(~F.col("wins")).select("_rk")
     again = node.where(F.col("wins") & (F.col("times") > 1)).select("_rk")
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col), F.col(text_col)))
-    once = keyed.join(gone.unionByName(again), "_rk", "left_anti")
-    first = keyed.join(again, "_rk", "left_semi").dropDuplicates(["_rk"])
+    key = fresh(docs, "_rk")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    once = keyed.join(gone.unionByName(again).withColumnRenamed("_rk", key), key, "left_anti")
+    first = keyed.join(again.withColumnRenamed("_rk", key), key, "left_semi").dropDuplicates([key])
     return once.unionByName(first).select(*docs.columns)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.llm import textio as T
+from topicspark.llm.common import fresh
 
 BITS = 16
 ALPHA = 0.05
@@ -191,6 +192,6 @@ def with_language(docs: DataFrame, model: dict, text_col: str = "text", out_col:
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     got = predict(F.col(text_col))
     none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0).alias("n_langs")).cast(kind)
-    tmp = f"_{out_col}_raw"
+    tmp = fresh(docs, f"_{out_col}_raw")
     return (docs.withColumn(tmp, got)
             .withColumn(out_col, F.when(has_letter, F.col(tmp)).otherwise(none)).drop(tmp))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from topicspark.llm import textio as T
 from topicspark.llm.bwt import long_prefix_groups
-from topicspark.llm.common import arrow_rows, checkpoint, release
+from topicspark.llm.common import arrow_rows, checkpoint, fresh, release
 
 LENGTH = 100
 GRAM = 20
@@ -262,19 +262,18 @@ def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
-    """Every row and column of ``docs`` plus ``_runs``: the covered runs as
+         text_col: str = "text", runs_col: str = "_runs") -> DataFrame:
+    """Every row and column of ``docs`` plus ``runs_col``: the covered runs as
     packed ``(start, end)`` longs in byte places, null where none."""
-    kept = list(docs.columns)
-    base = docs.withColumns({"_rk": F.xxhash64(F.col(id_col), F.col(text_col)),
-                             "_text": F.coalesce(F.col(text_col), F.lit(""))})
-    base = base.withColumn("_id", F.col(id_col).cast("bigint"))
+    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
+    base = docs.select(F.col(id_col).cast("bigint").alias("_id"), row_key.alias("_rk"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = checkpoint(base.select("_id", "_rk", F.octet_length("_text").cast("bigint").alias("n"),
                                   F.unhex(F.sha2("_text", 256)).alias("same")))
     firsts = rows.groupBy("same").agg(F.min(F.struct("_id", "_rk")).alias("f"))
     copies = checkpoint(rows.join(firsts, "same").where(F.col("f._rk") != F.col("_rk"))
                         .groupBy("_rk").agg(F.max("n").alias("copied")))
-    reps = base.select("_id", "_rk", "_text").join(copies, "_rk", "left_anti").where(F.octet_length("_text") >= length)
+    reps = base.join(copies, "_rk", "left_anti").where(F.octet_length("_text") >= length)
     total = rows.agg(F.sum("n")).first()[0] or 0
     found = checkpoint(find_blocks(reps, length, max(1, -(-total // bucket))))
     release(docs)
@@ -282,7 +281,9 @@ def find(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, id_col: st
     release(docs)
     whole = F.when(F.col("copied") >= length, F.array(F.lit(b""))).otherwise(F.lit(None).cast("array<binary>"))
     marks = runs.unionByName(copies.where(F.col("copied") >= length).select("_rk", whole.alias("_runs")))
-    return base.join(marks, "_rk", "left").select(*kept, "_runs")
+    key = fresh(docs, "_rk")
+    marks = marks.select(F.col("_rk").alias(key), F.col("_runs").alias(runs_col))
+    return docs.withColumn(key, row_key).join(marks, key, "left").drop(key)
 
 
 def _runs_of(parts: list | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +295,9 @@ def _runs_of(parts: list | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     return unite(both[:, 0], both[:, 1])
 
 
-def cut_column(docs: DataFrame, text_col: str = "text", out_col: str = "_cut") -> DataFrame:
-    """Replace ``_runs`` by a struct: what stays of the text (as bytes), its
+def cut_column(docs: DataFrame, text_col: str = "text", out_col: str = "_cut",
+               runs_col: str = "_runs") -> DataFrame:
+    """Replace ``runs_col`` by a struct: what stays of the text (as bytes), its
     digest and the removed amounts."""
     kind = ("struct<kept: binary, kept_sha256: string, n_bytes: bigint, n_removed: bigint, "
             "n_spans: bigint, spans: array<bigint>>")
@@ -325,11 +327,12 @@ def cut_column(docs: DataFrame, text_col: str = "text", out_col: str = "_cut") -
         types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
-    return docs.withColumn(out_col, cut(F.col(text_col), F.col("_runs"))).drop("_runs")
+    return docs.withColumn(out_col, cut(F.col(text_col), F.col(runs_col))).drop(runs_col)
 
 
-def cut_text(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """Replace the text by what stays of it and drop ``_runs``.  A character
+def cut_text(docs: DataFrame, text_col: str = "text", chars_col: str | None = None,
+             runs_col: str = "_runs") -> DataFrame:
+    """Replace the text by what stays of it and drop ``runs_col``.  A character
     that loses a part of its bytes goes; a null text stays null.  ``chars_col``
     names a column to hold the new number of code points."""
     @F.arrow_udf("string")
@@ -343,5 +346,5 @@ def cut_text(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
             out.append(b"".join(raw[s:e].tobytes() for s, e in keep).decode("utf-8", "ignore") if known else None)
         return pa.array(out, pa.string())
 
-    got = docs.withColumn(text_col, cut(F.col(text_col), F.col("_runs"))).drop("_runs")
+    got = docs.withColumn(text_col, cut(F.col(text_col), F.col(runs_col))).drop(runs_col)
     return got.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col else got
