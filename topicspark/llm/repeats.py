@@ -45,8 +45,9 @@ from topicspark.llm.common import arrow_rows, checkpoint, fresh, release
 
 LENGTH = 100
 GRAM = 20
-SLICE = 2 << 20
-BUCKET = 4_000_000        # bytes of corpus per bucket of anchors
+SLICE = 8 << 20           # bytes of text whose blocks are sent together
+STRETCH = 1 << 19         # bytes of text hashed at a time
+BUCKET = 1_500_000        # bytes of corpus per bucket of anchors
 _LOW = np.iinfo(np.int64).min
 
 _RNG = np.random.default_rng(77)
@@ -119,20 +120,20 @@ def find_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         rk = batch.column("_rk").to_numpy()
         for i, j in T.slices(off, SLICE):
             d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
-            for rows, starts, sizes, anchor, kind in _long_rows(d, o, length):
-                bucket = _u32_share(anchor, buckets)
-                by = np.argsort(bucket, kind="stable")
-                bucket = bucket[by]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(by) else []
-                out = {"bucket": bucket[cut] if len(by) else [], "keys": [], "doc": [], "at": [], "hash": []}
-                for a, z in zip(cut, np.append(cut[1:], len(by)) if len(by) else []):
-                    pick = by[a:z]
-                    used, local = np.unique(rows[pick], return_inverse=True)
-                    out["keys"].append(np.stack([order[i + used], rk[i + used]], 1).astype("<i8").tobytes())
-                    out["doc"].append(local.astype("<i4").tobytes())
-                    out["at"].append(np.stack([starts[pick], sizes[pick]], 1).astype("<u4").tobytes())
-                    out["hash"].append(np.stack([anchor[pick], kind[pick]], 1).astype("<u8").tobytes())
-                yield out
+            rows, starts, sizes, anchor, kind = _all_blocks(d, o, length)
+            bucket = _u32_share(anchor, buckets)
+            by = np.argsort(bucket, kind="stable")
+            bucket = bucket[by]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(by) else []
+            out = {"bucket": bucket[cut] if len(by) else [], "keys": [], "doc": [], "at": [], "hash": []}
+            for a, z in zip(cut, np.append(cut[1:], len(by)) if len(by) else []):
+                pick = by[a:z]
+                used, local = np.unique(rows[pick], return_inverse=True)
+                out["keys"].append(np.stack([order[i + used], rk[i + used]], 1).astype("<i8").tobytes())
+                out["doc"].append(local.astype("<i4").tobytes())
+                out["at"].append(np.stack([starts[pick], sizes[pick]], 1).astype("<u4").tobytes())
+                out["hash"].append(np.stack([anchor[pick], kind[pick]], 1).astype("<u8").tobytes())
+            yield out
 
     def match(key, part: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in part["keys"]]
@@ -167,16 +168,22 @@ def find_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(match, "bucket int, _rk bigint, head binary, body binary")
 
 
-def _long_rows(d: np.ndarray, o: np.ndarray, length: int):
-    """Blocks of a slice; a single very long row is taken in overlapping
-    stretches of 8 MB (the place of an anchor has 24 bits)."""
-    if len(d) <= 8 << 20:
-        yield blocks(d, o, length)
-        return
-    for s in range(0, len(d) - length + 1, 8 << 20):
-        e = min(len(d), s + (8 << 20) + length - 1)
-        r, start, size, anchor, kind = blocks(d[s:e], np.array([0, e - s]), length)
-        yield r, start + s, size, anchor, kind
+def _all_blocks(d: np.ndarray, o: np.ndarray, length: int) -> tuple:
+    """Blocks of the rows, hashed stretch by stretch; a longer row is taken in
+    stretches that overlap by ``length - 1`` bytes, so each window is met once."""
+    found = []
+    for i, j in T.slices(o, STRETCH):
+        if o[j] - o[i] <= 2 * STRETCH:
+            r, *rest = blocks(d[o[i]:o[j]], o[i:j + 1] - o[i], length)
+            found.append((r + i, *rest))
+        else:
+            for s in range(o[i], o[j] - length + 1, STRETCH):
+                e = min(int(o[j]), s + STRETCH + length - 1)
+                r, start, *rest = blocks(d[s:e], np.array([0, e - s]), length)
+                found.append((r + i, start + (s - o[i]), *rest))
+    if not found:
+        return blocks(d[:0], np.zeros(1, np.int64), length)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def covered(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
