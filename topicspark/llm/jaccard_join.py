@@ -12,10 +12,10 @@ fragment counts on its own, and the counts are summed:
    on.  (The fragments see 32-bit hashes here; a chance meeting only lets a
    set pass.)  A shingle met twice within one batch is sent once.
 3. *Stars.*  Every fragment counts, for each of its shingles, one pair per
-   occurrence: the class and the first class (in a seeded order) that holds
-   the shingle.  The partial counts are summed per pair, and each class is
-   verified against its best partner of every seed.  The number of pairs is
-   linear in the occurrences however large a group is.
+   occurrence: the class and the most central class of another component that
+   holds the shingle.  The partial counts are summed per pair, and each class
+   is verified against its best partner.  The number of pairs is linear in the
+   occurrences however large a group is.  Rounds go on while they find links.
 4. *The rest.*  Linked pairs within one component need no more work.  For all
    others the prefix filter over the frequency order lists candidate pairs of
    different components, with the length and position filters, so no link
@@ -49,7 +49,7 @@ PERCENT = 75
 SLICE = 8 << 20
 FRAGMENT = 6_000_000      # shingles per fragment of the repeat count
 SEGMENT = 1_500_000       # shingles per fragment of the overlap counts
-SEEDS = (1, 2)
+ROUNDS = 3                # star rounds at most; the rest is exact whatever they found
 
 
 def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -150,10 +150,9 @@ def repeat_counts(reps: DataFrame, size: int, fragments: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
-    """The fragments of the remaining sets: for each fragment and class its
-    shingles with their number of classes, and the star pairs.  Rows are
-    ``(kind, frag, cid, other, cnt, h, f)``: kind 0 a segment (``h`` hashes,
-    ``f`` frequencies), kind 1.. a partial star count of one seed."""
+    """``(frag, cid, h, f, w)``: for each fragment and class of the remaining
+    sets its shingles that another of them has, the number of classes of each,
+    and the sum of these numbers."""
     def kernel(batch):
         for cids, h, owner in _batch_sets(batch, size):
             frag = _by_fragment(h, fragments)
@@ -169,35 +168,55 @@ def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
         c = np.concatenate([np.frombuffer(x, "<i8") for x in part["c"]])
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))     # repeated rows of one class
-        h, c = h[fresh], c[fresh]
+        fresh_ = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))     # repeated rows of one class
+        h, c = h[fresh_], c[fresh_]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        freq = np.diff(np.append(start, len(h)))
-        each = np.repeat(freq, freq)
-        out = []
+        each = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
         keep = each > 1
         by = np.argsort(c[keep], kind="stable")
-        cc, hh, ff = c[keep][by], h[keep][by], each[keep][by]
-        at = np.flatnonzero(np.append(True, cc[1:] != cc[:-1])) if len(cc) else np.zeros(0, int)
-        end = np.append(at[1:], len(cc))
-        out.append(pd.DataFrame({"kind": 0, "cid": cc[at], "other": 0, "cnt": end - at,
-                                 "h": [hh[a:z].tobytes() for a, z in zip(at, end)],
-                                 "f": [ff[a:z].astype("<i8").tobytes() for a, z in zip(at, end)]}))
-        for seed in SEEDS:
-            rank = T.mix64(c.view(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed))
-            low = np.repeat(np.minimum.reduceat(rank, start) if len(start) else rank, freq)
-            hub_at = np.flatnonzero(rank == low)             # one per shingle: ranks are distinct
-            hub = np.repeat(c[hub_at], freq)
-            use = (hub != c) & keep
-            pairs, cnt = np.unique(np.stack([hub[use], c[use]]), axis=1, return_counts=True)
-            out.append(pd.DataFrame({"kind": seed, "cid": pairs[1], "other": pairs[0], "cnt": cnt, "h": b"", "f": b""}))
-        got = pd.concat(out)
-        got["frag"] = int(key[0])
-        return got[["kind", "frag", "cid", "other", "cnt", "h", "f"]]
+        c, h, f = c[keep][by], h[keep][by], each[keep][by]
+        at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, int)
+        end = np.append(at[1:], len(c))
+        return pd.DataFrame({"frag": int(key[0]), "cid": c[at], "h": [h[a:z].tobytes() for a, z in zip(at, end)],
+                             "f": [f[a:z].astype("<i8").tobytes() for a, z in zip(at, end)],
+                             "w": [int(f[a:z].sum()) for a, z in zip(at, end)]})
 
     sent = arrow_rows(docs.select("_text"), kernel, "frag int, h binary, c binary")
-    return sent.groupBy("frag").applyInPandas(
-        count, "kind int, frag int, cid bigint, other bigint, cnt bigint, h binary, f binary")
+    return sent.groupBy("frag").applyInPandas(count, "frag int, cid bigint, h binary, f binary, w bigint")
+
+
+def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(a, b)``: for each class the partner of another component it shares
+    most with, among the star centres of its shingles.  A shingle's centre is
+    its class of the highest ``centre (cid, p)``; classes of the centre's own
+    component take the highest class of another one.  Partial counts per
+    fragment are summed per pair."""
+    rows = (seg.select("frag", "cid", "h").join(centre, "cid")
+            .join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+            .withColumn("comp", F.coalesce("comp", "cid")))
+
+    def count(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["p", "cid"], kind="stable")
+        n = np.array([len(x) // 8 for x in part["h"]])
+        h = np.concatenate([np.frombuffer(x, "<u8") for x in part["h"]])
+        rank = np.repeat(np.arange(len(part)), n)              # place in the order of (p, cid)
+        order = np.lexsort((rank, h))
+        h, rank = h[order], rank[order]
+        cid, comp_ = part["cid"].to_numpy(), part["comp"].to_numpy()
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.diff(np.append(start, len(h)))
+        top = np.repeat(np.maximum.reduceat(rank, start), many)
+        same = comp_[rank] == comp_[top]
+        other = np.repeat(np.maximum.reduceat(np.where(same, -1, rank), start), many)
+        hub = np.where(same, other, top)
+        use = hub >= 0
+        pairs, cnt = np.unique(hub[use] * len(part) + rank[use], return_counts=True)
+        return pd.DataFrame({"cid": cid[pairs % len(part)], "other": cid[pairs // len(part)], "cnt": cnt})
+
+    return (rows.groupBy("frag").applyInPandas(count, "cid bigint, other bigint, cnt bigint")
+            .groupBy("cid", "other").agg(F.sum("cnt").alias("cnt"))
+            .groupBy("cid").agg(F.max(F.struct("cnt", "other")).alias("best"))
+            .select(F.least("cid", "best.other").alias("a"), F.greatest("cid", "best.other").alias("b")).distinct())
 
 
 def verify(pairs: DataFrame, seg: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -287,6 +306,10 @@ def cross_candidates(seg: DataFrame, sizes: DataFrame, comp: DataFrame, percent:
             .applyInPandas(pair, "a bigint, b bigint").distinct())
 
 
+def spark_empty(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: int = FRAGMENT,
          segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, links, comps)``: rows ``(_rk, _id, n, cid)`` of all documents,
@@ -307,12 +330,17 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: in
     parts = max(1, -(-left // segment))
     near = base.select("_rk", "_text").join(kept.select("_rk").distinct(), "_rk", "left_semi")
     made = checkpoint(segments(near, size, parts))
-    seg = made.where(F.col("kind") == 0).select("cid", "frag", "h", "f")
-    stars = (made.where(F.col("kind") > 0).groupBy("kind", "cid", "other").agg(F.sum("cnt").alias("cnt"))
-             .groupBy("kind", "cid").agg(F.max(F.struct("cnt", "other")).alias("best"))
-             .select(F.least("cid", "best.other").alias("a"), F.greatest("cid", "best.other").alias("b")).distinct())
-    links = checkpoint(verify(stars, seg, kept, percent))
-    comp = checkpoint(components(links))
+    seg = made.select("cid", "frag", "h", "f")
+    # the mean frequency of its shingles: an unedited text of a group comes before its edited copies
+    centre = made.groupBy("cid").agg(F.sum("w").alias("w")).join(kept, "cid").select("cid", (F.col("w") / F.col("n")).alias("p"))
+    links = spark_empty(docs, "a bigint, b bigint")
+    comp = spark_empty(docs, "node bigint, comp bigint")
+    for _ in range(ROUNDS):
+        new = checkpoint(verify(stars(seg, centre, comp), seg, kept, percent))
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        comp = checkpoint(components(links))
     rest = checkpoint(cross_candidates(seg, kept, comp, percent, parts * 4))
     more = checkpoint(verify(rest, seg, kept, percent))
     links = links.unionByName(more)
