@@ -105,8 +105,9 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int):
     return r, start - offsets[r], size, h[anchor], kind
 
 
-def _u32_share(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _bucket(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """Buckets of anchors; mixed again, for a smallest hash is a small number."""
+    return ((T.mix64(anchor + _FACTOR[6]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def find_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -121,7 +122,7 @@ def find_blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for i, j in T.slices(off, SLICE):
             d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
             rows, starts, sizes, anchor, kind = _all_blocks(d, o, length)
-            bucket = _u32_share(anchor, buckets)
+            bucket = _bucket(anchor, buckets)
             by = np.argsort(bucket, kind="stable")
             bucket = bucket[by]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(by) else []
