@@ -246,7 +246,7 @@ def test_nnpu_finds_planted_words():
     score = np.array([bias + sum(weight.get(int(x), 0) for x in ws) for ws in words])
     rank = score.argsort().argsort() + 1
     auc = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / toxic.sum() / (~toxic).sum()
-    assert auc > 0.97 and ((score > 0) == toxic).mean() > 0.85
+    assert auc > 0.95 and ((score > 0) == toxic).mean() > 0.85
     assert set(sorted(weight, key=weight.get)[-2:]) == {0, 1}
 
 
