@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,7 +32,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="topicspark-bench")
+    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="topicspark-bench",
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="topicspark-bench-")})
     qs = all_queries()
     times = {}
     for name in names:

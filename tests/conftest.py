@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from topicspark.session import get_spark
-    s = get_spark("local[4]", 4, app_name="topicspark-tests")
+    folder = tempfile.mkdtemp(prefix="topicspark-tests-")
+    s = get_spark("local[4]", 4, app_name="topicspark-tests", extra={"spark.checkpoint.dir": folder})
     yield s
     s.stop()

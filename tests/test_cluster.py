@@ -1,4 +1,4 @@
-"""Clustering against brute-force twins of the sequential procedures."""
+"""Clustering: the properties that define each result, checked on the output."""
 
 import numpy as np
 import pandas as pd
@@ -12,86 +12,95 @@ from topicspark.operators.peel import rank_peel
 from topicspark.sources import tables
 
 
-def _topk_lists(X, k):
-    S = X @ X.T
-    n = len(X)
-    lists = []
-    for i in range(n):
-        s = S[i].copy()
-        s[i] = np.inf
-        order = sorted(range(n), key=lambda j: (-s[j], j))[:k]
-        lists.append(order)
-    return lists
-
-
-def _sequential(lists, order):
-    visited, clusters = set(), []
-    for p in order:
-        if p in visited:
-            continue
-        new = [q for q in lists[p] if q not in visited]
-        clusters.append(new)
-        visited.update(new)
-    return {q: cid for cid, members in enumerate(clusters) for q in members}
-
-
-def _hier_twin(X, K, t):
-    clusters = [[i] for i in range(len(X))]
-    while len(clusters) > K:
-        before = len(clusters)
-        cents = np.array([X[c].mean(axis=0) for c in clusters])
-        cents = cents / np.linalg.norm(cents, axis=1, keepdims=True)
-        S = cents @ cents.T
-        np.fill_diagonal(S, -np.inf)
-        nearest = [min(range(len(S)), key=lambda j: (-S[i, j], j)) for i in range(len(S))]
-        merged, new = set(), []
-        for i in range(len(clusters)):
-            if i in merged:
-                continue
-            m = nearest[i]
-            if m not in merged and S[i, m] > t:
-                new.append(clusters[i] + clusters[m])
-                merged.update((i, m))
-            else:
-                new.append(clusters[i])
-                merged.add(i)
-        clusters = new
-        if before - len(clusters) < 10:
-            break
-    return {q: cid for cid, members in enumerate(clusters) for q in members}
-
-
 @pytest.fixture(scope="module")
 def unit_small(spark):
     u = V.unit_vectors(tables.embeddings(spark, SF_SMALL))
     pdf = u.orderBy("vec_id").toPandas()
-    X = np.stack(pdf.v.to_numpy())
-    return u, X
+    return u, np.stack(pdf.v.to_numpy())
 
 
 def _as_map(df):
     return {r.vec_id: r.cluster_id for r in df.collect()}
 
 
-def test_sequential_matches_loop(unit_small):
+def _lists(u, k):
+    out = {}
+    for r in C.neighbor_lists(u, k).collect():
+        out.setdefault(r.u, set()).add(r.v)
+    return out
+
+
+def _check_claims(member, lists, rank):
+    """Greedy claiming: clusters are numbered by their heads' ranks; no head
+    stands in an earlier head's list; everyone else belongs to the earliest
+    head that lists it."""
+    heads = {}
+    for p, c in member.items():
+        if c not in heads or rank[p] < rank[heads[c]]:
+            heads[c] = p
+    order = [heads[c] for c in sorted(heads)]
+    assert sorted(heads) == list(range(len(heads)))
+    assert [rank[h] for h in order] == sorted(rank[h] for h in order)
+    for i, h in enumerate(order):
+        assert not any(h in lists[e] for e in order[:i])
+    listing = {p: [i for i, h in enumerate(order) if p in lists[h]] for p in member}
+    assert all(member[p] == listing[p][0] for p in member)
+
+
+def test_sequential_claims(unit_small):
     u, X = unit_small
     got = _as_map(C.sequential_cluster(u, 10))
-    assert got == _sequential(_topk_lists(X, 10), range(len(X)))
+    assert len(got) == len(X)
+    _check_claims(got, _lists(u, 10), {p: p for p in got})
 
 
-def test_seeded_matches_loop(unit_small):
+def test_seeded_claims(unit_small):
     u, X = unit_small
-    seeds = [7, 3, 400, 123, 3]
-    got = _as_map(C.seeded_cluster(u, seeds, 10))
-    order = [7, 3, 400, 123] + [i for i in range(len(X)) if i not in (7, 3, 400, 123)]
-    assert got == _sequential(_topk_lists(X, 10), order)
+    got = _as_map(C.seeded_cluster(u, [7, 3, 400, 123, 3], 10))
+    rank = {p: p for p in got}
+    rank.update({7: -4, 3: -3, 400: -2, 123: -1})
+    _check_claims(got, _lists(u, 10), rank)
 
 
-def test_hierarchical_matches_loop(unit_small):
+def test_merge_rounds(unit_small):
+    """Every pair of a round is a nearest pair above the threshold whose
+    second cluster was still free, and a round leaves no free pair."""
+    u, X = unit_small
+    members = C.singletons(u)
+    for _ in range(2):
+        before = _as_map(members)
+        members = C.merge_round(members, u, 0.3)
+        after = _as_map(members)
+        m = max(before.values()) + 1
+        ids = np.array([before[p] for p in range(len(X))])
+        cents = np.stack([X[ids == c].mean(axis=0) for c in range(m)])
+        sims = cents @ cents.T / np.outer(np.linalg.norm(cents, axis=1), np.linalg.norm(cents, axis=1))
+        np.fill_diagonal(sims, -2.0)
+        into = {}
+        for p in range(len(X)):
+            into.setdefault(after[p], set()).add(int(ids[p]))
+        assert all(len(v) <= 2 for v in into.values())
+        mate = {min(v): max(v) for v in into.values() if len(v) == 2}
+        target = set(mate.values())
+        for i in range(m):
+            near = int(np.argmax(sims[i]))
+            above = sims[i, near] > 0.3
+            if i in mate:
+                assert above and near == mate[i] or mate[i] == near
+            elif i not in target and above:
+                # its nearest was taken before i came: as a head of a smaller number or as a mate
+                owner = next(k for k, v in into.items() if near in v)
+                assert min(into[owner]) < i
+
+
+def test_hierarchical_stops_by_rule(unit_small):
     u, X = unit_small
     members, hist = C.hierarchical_cluster(u, 40, 0.3)
-    assert _as_map(members) == _hier_twin(X, 40, 0.3)
-    assert hist[0][0] == len(X)
+    assert hist[0][0] == len(X) and all(a[1] == b[0] for a, b in zip(hist, hist[1:]))
+    assert all(m > 40 and m - n >= 10 for m, n in hist[:-1])
+    last = hist[-1]
+    assert last[1] <= 40 or last[0] - last[1] < 10
+    assert members.select("cluster_id").distinct().count() == last[1] and members.count() == len(X)
 
 
 def test_peel_chain_and_star(spark):

@@ -56,7 +56,7 @@ def test_lemma_rules(spark):
                                                    "women", "woman", "ideas", "glass"]], "word string")
     lm = {r.word: r.lemma for r in T.lemma_table(words).collect()}
     assert lm["cats"] == "cat" and lm["boxes"] == "box" and lm["wolves"] == "wolf"
-    assert lm["women"] == "women"  # same length as 'woman': the word itself wins the tie
+    assert lm["women"] == "woman"  # on equal length a rule's candidate goes before the word itself
     assert lm["ideas"] == "ideas" and lm["glass"] == "glass"
 
 
@@ -144,3 +144,18 @@ def test_lda_invariants_and_planted_topics(spark):
     np.testing.assert_allclose(be[["b0", "b1"]].sum(axis=0), 1.0, atol=1e-12)
     top = th.set_index("document").sort_index()[["t0", "t1"]].idxmax(axis=1)
     assert top[0] != top[1] and len(set(top[::2])) == 1 and len(set(top[1::2])) == 1
+
+
+def test_text_classes_follow_python(spark):
+    """Marks, numerals, connectors and control separators outside the tables' texts."""
+    import re
+    texts = ["cafe\u0301 na\u00efve", "\u0939\u093f\u0928\u094d\u0926\u0940 text", "x\u00b2 \u00bd \u2460 \u0663 7", "a\u203fb _c",
+             "p\x1cq\x1dr\x1es\x1ft\x85u\xa0v\u3000w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in T.strip_chars(df).collect()}
+    toks = {}
+    for r in T.whitespace_tokens(df).collect():
+        toks.setdefault(r.doc_id, {})[r.pos] = r.token
+    for i, t in enumerate(texts):
+        assert got[i] == re.sub(r"[\d]|[^\w\s]", " ", t)
+        assert [toks[i][k] for k in sorted(toks[i])] == t.lower().split()

@@ -49,8 +49,16 @@ NOUN_SUFFIX_RULES = (
     ("ies", "y"),
 )
 
-# Regular expressions (Java syntax).  (?U) makes \w \d \s Unicode-aware, which
-# is what Python's re does for str patterns.
-WHITESPACE_RE = r"(?U)\s+"
-# every digit, and every char that is neither word char nor whitespace
-CLEAN_RE = r"(?U)[\d]|[^\w\s]"
+# FIXED VALUES: the characters that Python's str.split and re take as white
+# space, as the inside of a character class that Java and RE2 both read.
+WHITESPACE_CLASS = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+WHITESPACE_RE = f"[{WHITESPACE_CLASS}]+"
+# every decimal digit, and every char that is neither a word char (letters,
+# numbers of any kind, underscore; no marks, no other connectors) nor white space
+CLEAN_RE = r"\p{Nd}|[^\p{L}\p{N}_" + f"{WHITESPACE_CLASS}]"
+
+# FIXED VALUES: bounds of the index size search: bits per table are the powers
+# of two from 2^6, tables the powers from 2^1 to 2^(trial - 1).
+FIRST_TRIAL = 6
+MAX_TRIALS = 20

@@ -18,7 +18,3 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-
-
-def scale(a: Column, s: Column) -> Column:
-    return F.transform(a, lambda x: x * s)

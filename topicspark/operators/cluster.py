@@ -65,12 +65,12 @@ def seeded_cluster(vectors: DataFrame, seeds: Sequence[int], cluster_size: int =
 def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(cluster_id, v)``: mean of the member vectors, scaled to unit
     length (a zero mean has no direction and is left out).  Averages run per
-    (cluster, component), so a very large cluster is spread over tasks."""
-    comp = (members.join(vectors, "vec_id")
-            .select("cluster_id", F.posexplode("v").alias("dim", "x"))
-            .groupBy("cluster_id", "dim").agg(F.avg("x").alias("x")))
-    arr = comp.groupBy("cluster_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v"))
+    component as columns: one partial row per cluster and task."""
+    first = vectors.select(F.size("v").alias("d")).first()
+    dim = first["d"] if first else 0
+    means = (members.join(vectors, "vec_id").groupBy("cluster_id")
+             .agg(*[F.avg(F.col("v")[i]).alias(f"x{i}") for i in range(dim)]))
+    arr = means.select("cluster_id", F.array(*[F.col(f"x{i}") for i in range(dim)]).cast("array<double>").alias("v"))
     return (arr.withColumn("_norm", l2_norm(F.col("v"))).where(F.col("_norm") > 0)
             .select("cluster_id", F.transform("v", lambda x: x / F.col("_norm")).alias("v")))
 
@@ -98,8 +98,7 @@ def singletons(vectors: DataFrame) -> DataFrame:
     return with_global_index(vectors.select("vec_id"), [F.col("vec_id").asc()], "cluster_id")
 
 
-def hierarchical_cluster(vectors: DataFrame, K: int, threshold: float = 0.5, min_merges: int = 10,
-                         max_rounds: int | None = None, **kw) -> tuple[DataFrame, list[tuple[int, int]]]:
+def hierarchical_cluster(vectors: DataFrame, K: int, threshold: float = 0.5, min_merges: int = 10, **kw) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Merge rounds until at most ``K`` clusters remain or a round merges
     fewer than ``min_merges`` clusters (``K`` is tested between rounds, so
     the result may drop below it).  Returns the members and the cluster
@@ -107,7 +106,7 @@ def hierarchical_cluster(vectors: DataFrame, K: int, threshold: float = 0.5, min
     members = checkpoint(singletons(vectors))
     m = members.count()
     history = []
-    while m > K and (max_rounds is None or len(history) < max_rounds):
+    while m > K:
         members = checkpoint(merge_round(members, vectors, threshold, **kw))
         m_new = members.select(F.countDistinct("cluster_id")).first()[0]
         history.append((m, m_new))

@@ -27,7 +27,7 @@ from topicspark.session import checkpoint
 UNDECIDED, HEAD, CLAIMED = 0, 1, 2
 
 
-def rank_peel(edges: DataFrame, ranks: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+def rank_peel(edges: DataFrame, ranks: DataFrame) -> tuple[DataFrame, int]:
     """Greedy claiming.
 
     ``edges (u, v)``: v is in the list of u.  ``ranks (node, rnk)``: the
@@ -56,7 +56,7 @@ def rank_peel(edges: DataFrame, ranks: DataFrame, max_rounds: int | None = None)
         seen = {"open": F.sum((F.col("status") == UNDECIDED).cast("long"))}
         state = checkpoint(state.join(agg, F.col("node") == F.col("v"), "left")
                            .select("node", "rnk", new_status.alias("status")), observe=seen)
-        if not seen["open"] or (max_rounds is not None and rounds >= max_rounds):
+        if not seen["open"]:
             break
     heads = state.where(F.col("status") == HEAD).select("node", "rnk")
     claims = (fwd.join(heads.select(F.col("node").alias("u")), "u", "left_semi")

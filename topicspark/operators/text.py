@@ -113,8 +113,8 @@ def lemma_table(words: DataFrame, lexicon: DataFrame | None = None, word_col: st
 
     Candidates are the word itself and every noun suffix detachment that
     applies; candidates present in ``lexicon`` survive, the shortest wins and
-    ties go to the word itself, then to rule order; with no survivor the
-    lemma is the word.  The lexicon defaults to the vocabulary itself.
+    ties go by rule order, the word itself last; with no survivor the lemma
+    is the word.  The lexicon defaults to the vocabulary itself.
     Work is one row per distinct word (never per token).
     """
     w = F.col(word_col)
@@ -122,7 +122,7 @@ def lemma_table(words: DataFrame, lexicon: DataFrame | None = None, word_col: st
     # so the text behind ``words`` is tokenised a single time
     vocab = checkpoint(words.select(w.alias("word")).distinct())
     wc = F.col("word")
-    cands = [F.struct(F.lit(0).alias("prio"), wc.alias("cand"))]
+    cands = [F.struct(F.lit(len(NOUN_SUFFIX_RULES) + 1).alias("prio"), wc.alias("cand"))]
     for i, (suf, rep) in enumerate(NOUN_SUFFIX_RULES, start=1):
         stem = F.expr(f"substring(word, 1, length(word) - {len(suf)})")
         cands.append(F.struct(F.lit(i).alias("prio"),
@@ -155,7 +155,8 @@ def clean_and_normalize(df: DataFrame, text_col: str = "text", id_col: str = "do
     bounded by that document's own text."""
     toks = clean_word_tokens(df, text_col, id_col, stopwords)
     lemmas = lemma_table(toks.select(F.col("token").alias("word")), lexicon)
-    lt = lemmatize(toks, lemmas)
+    changed = lemmas.where(F.col("lemma") != F.col("word"))   # only these need the join
+    lt = lemmatize(toks, changed)
     joined = lt.groupBy(id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
                                  lambda s: s["token"]), " ").alias(text_col))
@@ -178,7 +179,7 @@ def clean_word_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     # written once: the lemma vocabulary and the re-sum both read the pairs
     pairs = checkpoint(toks.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
     lemmas = lemma_table(pairs.select(F.col("token").alias("word")), lexicon)
-    lp = remove_stopwords(lemmatize(pairs, lemmas), sw)
+    lp = remove_stopwords(lemmatize(pairs, lemmas.where(F.col("lemma") != F.col("word"))), sw)
     return lp.groupBy(id_col, F.col("token").alias("word")).agg(F.sum("cnt").alias("cnt"))
 
 
@@ -208,11 +209,13 @@ def to_long_format(df: DataFrame, date_col: str = "date", bag_col: str = "word_f
 
 def tf_idf(counts: DataFrame, id_col: str = "doc_id", word_col: str = "word",
            count_col: str = "cnt") -> DataFrame:
-    """TF-IDF over a count table: ``tf * ln((1 + N) / (1 + df))`` with tf the
-    raw count.  Two groupings (document frequency, corpus size) and a join on
-    the word; the per-word table is vocabulary sized."""
+    """TF-IDF over a count table with one row per (document, word):
+    ``tf * ln((1 + N) / (1 + df))`` with tf the raw count.  The counts are
+    written once and read for the document frequencies, the corpus size and
+    the result; the per-word table is vocabulary sized."""
+    counts = checkpoint(counts)
     n_docs = counts.select(F.countDistinct(id_col)).scalar()  # scalar subquery
-    dfreq = counts.groupBy(word_col).agg(F.countDistinct(id_col).alias("df"))
+    dfreq = counts.groupBy(word_col).agg(F.count(F.lit(1)).alias("df"))
     return (counts.join(dfreq, word_col)
             .select(id_col, word_col, F.col(count_col).alias("tf"), "df",
                     (F.col(count_col) * F.log((1 + n_docs) / (1 + F.col("df")))).alias("tf_idf")))

@@ -8,7 +8,12 @@ are rendered from the same constants module.
 
 from __future__ import annotations
 
-from topicspark.functions.constants import CONTRACTION_SPLITS, ENGLISH_STOP_WORDS, NOUN_SUFFIX_RULES
+from topicspark.functions.constants import (
+    CONTRACTION_SPLITS,
+    ENGLISH_STOP_WORDS,
+    NOUN_SUFFIX_RULES,
+    WHITESPACE_CLASS,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -18,8 +23,9 @@ def _q(s: str) -> str:
 
 
 STOP_LIST = "(" + ", ".join(_q(w) for w in ENGLISH_STOP_WORDS) + ")"
-SPLIT = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
-CLEAN = "regexp_replace({c}, '\\p{{Nd}}|[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')"
+WS = WHITESPACE_CLASS.replace("{", "{{").replace("}", "}}")
+SPLIT = f"list_filter(regexp_split_to_array(lower({{c}}), '[{WS}]+'), lambda x: x <> '')"
+CLEAN = f"regexp_replace({{c}}, '\\p{{{{Nd}}}}|[^\\p{{{{L}}}}\\p{{{{N}}}}_{WS}]', ' ', 'g')"
 CONTRACT = ("flatten(list_transform({a}, lambda x: CASE x "
             + " ".join(f"WHEN {_q(w)} THEN [{', '.join(_q(p) for p in parts)}]" for w, parts in CONTRACTION_SPLITS)
             + " ELSE [x] END))")
@@ -38,7 +44,7 @@ CLEAN_NOSTOP = f"SELECT * FROM ({CLEAN_TOKENS}) WHERE token NOT IN {STOP_LIST}"
 
 def _lemma_cte(vocab_sql: str) -> str:
     """``lemma(word, lemma)`` over the words of ``vocab_sql`` (lexicon = same words)."""
-    parts = ["SELECT word, 0 AS prio, word AS cand FROM vocab"]
+    parts = [f"SELECT word, {len(NOUN_SUFFIX_RULES) + 1} AS prio, word AS cand FROM vocab"]
     for i, (suf, rep) in enumerate(NOUN_SUFFIX_RULES, start=1):
         parts.append(f"SELECT word, {i} AS prio, left(word, length(word) - {len(suf)}) || {_q(rep)} AS cand "
                      f"FROM vocab WHERE ends_with(word, {_q(suf)})")
@@ -90,19 +96,11 @@ ORACLE["tf_idf"] = (
     f"FROM clean_counts c JOIN dfreq d ON c.word = d.word, n"
 )
 
-# stream: the days the watermark (max event time - 1 day) has closed
-ORACLE["stream_daily_word_freq"] = (
-    f"WITH d AS ({ORACLE['daily_word_freq']}) "
-    "SELECT * FROM d WHERE date <= (SELECT max(date) FROM d) - INTERVAL 2 DAY"
-)
+# the stream sums up to the batch result
+ORACLE["stream_daily_word_freq"] = ORACLE["daily_word_freq"]
 
 
 def oracle_sql() -> dict[str, str]:
     # later modules add their SQL on import
-    for mod in ("vector_oracle", "cluster_oracle", "topic_oracle"):
-        try:
-            __import__(f"topicspark.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"topicspark.plans.{mod}":
-                raise
+    from topicspark.plans import cluster_oracle, topic_oracle, vector_oracle  # noqa: F401
     return dict(ORACLE)

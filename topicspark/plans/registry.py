@@ -30,11 +30,11 @@ def register(name: str) -> Callable[[QueryFn], QueryFn]:
 
 def all_queries() -> dict[str, QueryFn]:
     # importing the plan modules fills the registry
-    from topicspark.plans import text_queries  # noqa: F401
-    for mod in ("vector_queries", "cluster_queries", "topic_queries", "lda_queries"):
-        try:
-            __import__(f"topicspark.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"topicspark.plans.{mod}":
-                raise
+    from topicspark.plans import (  # noqa: F401
+        cluster_queries,
+        lda_queries,
+        text_queries,
+        topic_queries,
+        vector_queries,
+    )
     return dict(QUERIES)

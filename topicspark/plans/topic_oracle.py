@@ -38,11 +38,9 @@ ORACLE["lsa_cluster_status"] = (
     "FROM sizes s LEFT JOIN used u ON s.cluster_id = u.cluster_id"
 )
 ORACLE["doc_topic_wide"] = (
-    f"{CDW}, l1 AS (SELECT cluster_id, document, CAST(sum(cnt) AS BIGINT) AS loading FROM cdw GROUP BY 1, 2), "
-    "docs AS (SELECT DISTINCT document FROM l1), cl AS (SELECT DISTINCT cluster_id FROM l1), "
-    "full_l1 AS (SELECT d.document, 'topic_loading_' || c.cluster_id AS col, coalesce(l1.loading, 0) AS loading "
-    "FROM docs d CROSS JOIN cl c LEFT JOIN l1 ON l1.document = d.document AND l1.cluster_id = c.cluster_id) "
-    "PIVOT full_l1 ON col USING first(loading) GROUP BY document"
+    f"{CDW}, l1 AS (SELECT cluster_id, document, CAST(sum(cnt) AS BIGINT) AS loading FROM cdw GROUP BY 1, 2) "
+    "SELECT document, CAST(count(*) AS INTEGER) AS n_topics, "
+    "string_agg(cluster_id || ':' || loading, ' ' ORDER BY cluster_id) AS loadings FROM l1 GROUP BY document"
 )
 ORACLE["lda_input"] = (
     f"{SEQ}, {CLEAN_COUNTS_CTES}, {WORDS} SELECT wc.cluster_id, c.doc_id AS document, c.word AS ngram, "

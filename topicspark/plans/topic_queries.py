@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.operators import cluster as C
@@ -62,8 +62,11 @@ def l1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("doc_topic_wide")
 def doc_topic_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, one L1 loading column per cluster, 0 when absent."""
-    return R.document_topics_wide(TP.l1_doc_loading(doc_word(spark, sf_dir)[0]))
+    """One row per document with its L1 loadings in cluster order, written
+    ``cluster:loading``; clusters not listed have loading 0."""
+    got = R.document_topics(TP.l1_doc_loading(doc_word(spark, sf_dir)[0]))
+    pairs = F.transform("topics", lambda t: F.concat_ws(":", t["cluster_id"], t["loading"]))
+    return got.select("document", F.size("topics").alias("n_topics"), F.array_join(pairs, " ").alias("loadings"))
 
 
 @register("topic_words_table")
@@ -107,9 +110,8 @@ def lsa_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsa_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic-word weights, ranked by weight within each topic."""
     res = _lsa(spark, sf_dir)
-    w = Window.partitionBy("cluster_id", "topic").orderBy(F.col("weight").desc(), F.col("ngram"))
-    return (res["words"].withColumn("rnk", F.row_number().over(w))
-            .withColumn("weight", F.round("weight", 6)))
+    return R.rank_within(res["words"], ["cluster_id", "topic"], [F.col("weight").desc(), F.col("ngram").asc()]) \
+        .withColumn("weight", F.round("weight", 6))
 
 
 @register("lsa_doc_loading")

@@ -73,13 +73,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only for local runs.
-
-    On a cluster the folder must be shared storage named by
-    ``spark.checkpoint.dir``; a machine-local folder would lose checkpoints
-    with the executor.  Only a ``local[...]`` master without that setting gets
-    a scratch folder under the system temp dir.
-    """
+    """Return the folder of written tables and checkpoints: the session's
+    ``spark.checkpoint.dir``, or, where it is unset (as in tests), a folder
+    beside the session's tables (``spark.sql.warehouse.dir``)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -93,10 +89,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="topicspark-ckpt-"))
-        return sc.getCheckpointDir()
-    raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    sc.setCheckpointDir(f"{warehouse}/topicspark-checkpoints")
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame, observe: dict | None = None) -> DataFrame:

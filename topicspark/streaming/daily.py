@@ -1,9 +1,10 @@
 """Daily word counts of arriving documents (Structured Streaming).
 
-The batch T8 aggregation on a stream: tokens of each arriving document are
-counted per (1-day event-time window, word).  A watermark bounds the state:
-rows later than the watermark are dropped, and in append mode a day is
-emitted once the watermark passes its end, after which its state is freed.
+Every micro-batch counts its own documents (T1-T3, T8) and writes the partial
+``(date, word, cnt)`` under its batch id; writing a batch again replaces it, so
+a retry after a failure is safe.  The daily counts are the sums over all
+batches, taken on read.  Nothing waits for a day to close and no document is
+late: there is no watermark and no state besides the sink.
 """
 
 from __future__ import annotations
@@ -16,32 +17,38 @@ from pyspark.sql import functions as F
 from topicspark.operators import text as T
 from topicspark.session import ensure_checkpoint_dir
 
+PARTIAL_SCHEMA = "date date, word string, word_freq bigint"
 
-def daily_word_counts_stream(stream: DataFrame, ts_col: str = "ts", text_col: str = "text",
-                             id_col: str = "doc_id", watermark: str = "1 day") -> DataFrame:
-    """Streaming ``(date, word, word_freq)`` from a stream of documents with
-    an event time; only closed days are emitted in append mode."""
-    toks = T.remove_stopwords(_tokens_with_ts(stream, ts_col, text_col, id_col, watermark))
-    return (toks.groupBy(F.window(ts_col, "1 day"), F.col("token").alias("word"))
-            .agg(F.count(F.lit(1)).alias("word_freq"))
-            .select(F.col("window.start").cast("date").alias("date"), "word", "word_freq"))
 
+def partial_daily_counts(batch: DataFrame, date_col: str = "date", text_col: str = "text") -> DataFrame:
+    """``(date, word, word_freq)`` of one micro-batch; rows without a date are dropped."""
+    tokens = batch.where(F.col(date_col).isNotNull()).select(
+        F.col(date_col).alias("date"), F.explode(T.split_words(F.col(text_col))).alias("token"))
+    return (T.remove_stopwords(tokens).groupBy("date", F.col("token").alias("word"))
+            .agg(F.count(F.lit(1)).alias("word_freq")))
 
-def _tokens_with_ts(stream: DataFrame, ts_col: str, text_col: str, id_col: str, watermark: str) -> DataFrame:
-    """T1 on the stream, keeping the event time of each token."""
-    src = stream.withWatermark(ts_col, watermark)
-    return src.select(id_col, ts_col, F.explode(T.split_words(F.col(text_col))).alias("token"))
 
+def total_daily_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """The sums over all written batches."""
+    return (spark.read.schema(PARTIAL_SCHEMA).option("recursiveFileLookup", "true").parquet(sink)
+            .groupBy("date", "word").agg(F.sum("word_freq").cast("long").alias("word_freq")))
 
-def run_available_now(spark: SparkSession, source_dir: str, glob: str, schema: str,
-                      build, name: str = "daily") -> DataFrame:
-    """Run ``build(stream)`` over everything in ``source_dir`` matching
-    ``glob`` with an ``availableNow`` trigger, into a parquet sink under the
-    checkpoint folder; return the sink as a batch DataFrame."""
+
+def run_available_now(spark: SparkSession, source: str, schema: str, dated, name: str = "daily",
+                      files_per_trigger: int | None = None) -> DataFrame:
+    """Run the stream over everything now in ``source`` (a folder of Parquet
+    files, or a pattern) and return the daily counts.  ``dated`` adds the
+    column ``date`` to the source's rows."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    q = (build(stream).writeStream.outputMode("append").format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial_daily_counts(batch).write.mode("overwrite").parquet(f"{base}/out/{batch_id:012d}")
+
+    spark.createDataFrame([], PARTIAL_SCHEMA).write.parquet(f"{base}/out/none")   # a sink also for no input
+    query = (dated(reader.parquet(source)).writeStream.foreachBatch(write)
+             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return total_daily_counts(spark, f"{base}/out")
