@@ -65,3 +65,19 @@ def test_lsa_matches_dense_svd(spark):
             np.testing.assert_allclose(w.reindex(m.columns).to_numpy(), v, atol=1e-6)
             lv = loads[(loads.cluster_id == cid) & (loads.topic == t)].set_index("document").loading
             np.testing.assert_allclose(lv.reindex(m.index).to_numpy(), A @ v, atol=1e-5)
+
+
+@pytest.mark.parametrize("big", [100, 3000, 100000])
+def test_lsa_keeps_a_weak_second_topic(spark, big):
+    """One word dominates the cluster; the second topic must not be lost."""
+    rows = [(0, 1, "a", big), (0, 2, "b", 1), (0, 2, "c", 1), (0, 3, "d", 1), (0, 4, "e", 1), (0, 3, "a", 2)]
+    cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt bigint")
+    res = TP.lsa(cdw, 2)
+    m = _dense(cdw.toPandas())[0]
+    _, s, vt = np.linalg.svd(m.to_numpy(float), full_matrices=False)
+    got = {r.topic: (r.sigma, r.converged) for r in res["singular"].collect()}
+    np.testing.assert_allclose([got[1][0], got[2][0]], s[:2], rtol=1e-6)
+    assert got[1][1] and got[2][1]
+    w = {(r.topic, r.ngram): r.weight for r in res["words"].collect()}
+    second = np.array([w[(2, c)] for c in m.columns])
+    assert abs(abs(second @ vt[1]) - 1) < 1e-6

@@ -10,8 +10,8 @@ matrix at once, by randomized subspace iteration (Halko, Martinsson, Tropp
 2011) written as joins: ``A Z`` and ``A^T Y`` are a join on the count table
 and a sum over fixed-width columns, so no pairs of words or documents are
 ever formed.  Only ``r x r`` matrices per cluster (``r = n_topics +
-oversample``) reach numpy, one cluster per row in ``mapInPandas``.  The loop
-runs until the Ritz values of every cluster settle.
+oversample``) reach numpy, as stacks in ``mapInPandas``.  The loop runs until
+the singular values of every cluster settle.
 """
 
 from __future__ import annotations
@@ -69,34 +69,61 @@ def _pairs(r: int):
     return [(i, j) for i in range(r) for j in range(i, r)]
 
 
-def _eig_step(r: int, n_topics: int):
-    """Per cluster: whitening of the new block (from its Gram) and the Ritz
-    pairs of the old orthonormal block (from the cross Gram)."""
-    pairs = _pairs(r)
+def _whiten(r: int):
+    """Per cluster: from the Gram matrix of a block of columns the matrix that
+    makes them orthonormal.  Columns are scaled to unit length first, so only
+    their directions decide what counts as numerically dependent; dependent
+    directions become zero columns.  ``low`` is the smallest kept eigenvalue
+    of the scaled Gram matrix."""
+    rows, cols = np.triu_indices(r)
+    names = [f"g_{i}_{j}" for i, j in zip(rows, cols)]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for _, row in pdf.iterrows():
-                G = np.zeros((r, r))
-                for (i, j) in pairs:
-                    G[i, j] = G[j, i] = row[f"g_{i}_{j}"]
-                M = np.array([[row[f"m_{i}_{j}"] for j in range(r)] for i in range(r)])
-                M = (M + M.T) / 2.0
-                lam, U = np.linalg.eigh(G)
-                lam, U = lam[::-1], U[:, ::-1]
-                keep = lam > max(lam[0], 0.0) * 1e-13 * r
-                T = np.zeros((r, r))
-                T[:, keep] = U[:, keep] / np.sqrt(lam[keep])
-                mu, S = np.linalg.eigh(M)
-                mu, S = mu[::-1], S[:, ::-1]
-                rows.append((row["cluster_id"], T.ravel().tolist(), S[:, :n_topics].ravel().tolist(),
-                             np.clip(mu[:n_topics], 0.0, None).tolist()))
-            yield pd.DataFrame(rows, columns=["cluster_id", "t", "s", "ritz"])
+            n = len(pdf)
+            gram = np.zeros((n, r, r))
+            gram[:, rows, cols] = gram[:, cols, rows] = pdf[names].to_numpy(float)
+            size = np.sqrt(np.maximum(gram[:, range(r), range(r)], 0))
+            inv = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+            lam, vec = np.linalg.eigh(gram * inv[:, :, None] * inv[:, None, :])
+            keep = lam > 1e-15 * r
+            root = np.divide(1.0, np.sqrt(np.abs(lam)), out=np.zeros_like(lam), where=keep)
+            out = inv[:, :, None] * vec * root[:, None, :]
+            low = np.where(keep, lam, np.inf).min(axis=1)
+            yield pd.DataFrame({"cluster_id": pdf["cluster_id"], "t": list(out.reshape(n, -1)), "low": low})
 
     return run
 
 
+def _rotation(r: int):
+    """Per cluster: singular values of ``A^T Q = Z R`` and the rotation of Z
+    to its right singular vectors, from the cross products R."""
+    names = [f"m_{i}_{j}" for i in range(r) for j in range(r)]
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            u, sigma, _ = np.linalg.svd(pdf[names].to_numpy(float).reshape(n, r, r))
+            yield pd.DataFrame({"cluster_id": pdf["cluster_id"], "t": list(u.reshape(n, -1)), "sigma": list(sigma)})
+
+    return run
+
+
+def _orthonormal(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns ``cols`` of each cluster made orthonormal; the factorisation
+    is done again where the first one was ill conditioned."""
+    r = len(cols)
+    for _ in range(2):
+        gram = df.groupBy("cluster_id").agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g_{i}_{j}")
+                                              for i, j in _pairs(r)])
+        seen = {"low": F.min("low")}
+        fix = checkpoint(gram.mapInPandas(_whiten(r), "cluster_id long, t array<double>, low double"), observe=seen)
+        df = checkpoint(_combine(df.join(fix.select("cluster_id", "t"), "cluster_id"), "t", cols, cols, r))
+        if seen["low"] is None or seen["low"] > 1e-3:
+            break
+    return df
+
+
 def _combine(df: DataFrame, mat_col: str, in_cols: list[str], out_cols: list[str], ncols: int) -> DataFrame:
     """``out_j = sum_i in_i * mat[i, j]`` with ``mat`` row-major (len(in) x ncols)."""
     exprs = []
@@ -110,67 +137,75 @@ def _combine(df: DataFrame, mat_col: str, in_cols: list[str], out_cols: list[str
 
 
 def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e-12,
-        max_iter: int = 60, seed: int = 42) -> dict[str, DataFrame]:
+        seed: int = 42) -> dict[str, DataFrame]:
     """F5-F9 for every cluster of ``cdw`` at once.
 
-    Returns ``singular (cluster_id, topic, sigma)``, ``words (cluster_id,
-    topic, ngram, weight)``, ``loadings (cluster_id, topic, document,
-    loading)`` and ``iterations`` (int).  Topics are numbered from 1.  Signs:
-    in each topic the word of largest absolute weight is positive (ties: the
-    smaller word).  Loadings are ``A v`` (document coordinates times sigma).
+    Returns ``singular (cluster_id, topic, sigma, converged)``, ``words
+    (cluster_id, topic, ngram, weight)``, ``loadings (cluster_id, topic,
+    document, loading)`` and ``iterations`` (int).  Topics are numbered from 1.
+    Signs: in each topic the word of largest absolute weight is positive (ties:
+    the smaller word).  Loadings are ``A v`` (document coordinates times sigma).
+
+    Both half steps are made orthonormal, so a singular value enters squared
+    at most and weak topics beside a strong one survive.  A cluster leaves the
+    loop when its singular values settle (or no longer move towards that:
+    ``converged`` is false then); the loop ends when none is left.
     """
     r = n_topics + oversample
     zc = [f"z{j}" for j in range(r)]
-    yc = [f"y{j}" for j in range(r)]
-    pc = [f"p{j}" for j in range(r)]
     A = checkpoint(cdw.select("cluster_id", "document", "ngram", F.col("cnt").cast("double").alias("x")))
-    words = A.select("cluster_id", "ngram").distinct()
-    Zw = checkpoint(words.select("cluster_id", "ngram",
-                                 *[_uniform(["cluster_id", "ngram"], j, seed).alias(zc[j]) for j in range(r)]))
-    eig_fn = _eig_step(r, n_topics)
-    eig_schema = "cluster_id long, t array<double>, s array<double>, ritz array<double>"
-    prev = None
+    spark = A.sparkSession
+    Z = A.select("cluster_id", "ngram").distinct().select(
+        "cluster_id", "ngram", *[_uniform(["cluster_id", "ngram"], j, seed).alias(zc[j]) for j in range(r)])
+    Z, live = checkpoint(Z), A
+    state = spark.createDataFrame([], "cluster_id long, was array<double>, best double, stuck int")
+    done_words = spark.createDataFrame([], "cluster_id long, ngram string, topic int, weight double")
+    done_sigma = spark.createDataFrame([], "cluster_id long, topic int, sigma double, converged boolean")
     it = 0
-    for it in range(1, max_iter + 1):
-        Y = (A.join(Zw, ["cluster_id", "ngram"]).groupBy("cluster_id", "document")
-             .agg(*[F.sum(F.col("x") * F.col(zc[j])).alias(yc[j]) for j in range(r)]))
-        Zp = checkpoint(A.join(Y, ["cluster_id", "document"]).groupBy("cluster_id", "ngram")
-                        .agg(*[F.sum(F.col("x") * F.col(yc[j])).alias(pc[j]) for j in range(r)]))
-        both = Zp.join(Zw, ["cluster_id", "ngram"])
-        sums = ([F.sum(F.col(pc[i]) * F.col(pc[j])).alias(f"g_{i}_{j}") for i, j in _pairs(r)]
-                + [F.sum(F.col(zc[i]) * F.col(pc[j])).alias(f"m_{i}_{j}") for i in range(r) for j in range(r)])
-        eig = both.groupBy("cluster_id").agg(*sums).mapInPandas(eig_fn, eig_schema)
-        seen = None
-        if prev is not None:
-            # largest change of the Ritz values, relative to the cluster's first
-            change = F.aggregate(F.zip_with("ritz", "_was", lambda a, b: F.abs(a - b)), F.lit(0.0),
-                                 lambda acc, v: F.greatest(acc, v)) / F.greatest(F.col("ritz")[0], F.lit(1e-300))
-            eig = (eig.join(prev.select("cluster_id", F.col("ritz").alias("_was")), "cluster_id", "left")
-                   .withColumn("_change", F.coalesce(change, F.lit(float("inf")))).drop("_was"))
-            seen = {"change": F.max("_change")}
-        eig = checkpoint(eig, observe=seen)
-        basis = Zw
-        # next basis, written: left lazy, the optimiser would fold the r x r
-        # combination into every count-row aggregate of the next iteration
-        Zw = checkpoint(_combine(Zp.join(eig.select("cluster_id", "t"), "cluster_id"), "t", pc, zc, r))
-        if seen is not None and (seen["change"] is None or seen["change"] < tol):
-            break
-        prev = eig
-    # Ritz vectors of the last orthonormal basis: v_i = basis @ S[:, i]
-    tc = [f"v{i}" for i in range(n_topics)]
-    V = _combine(basis.join(eig.select("cluster_id", "s"), "cluster_id"), "s", zc, tc, n_topics)
-    V = V.select("cluster_id", "ngram", F.posexplode(F.array(*tc)).alias("topic", "weight")) \
-        .withColumn("topic", F.col("topic") + 1)
-    sigma = eig.select("cluster_id", F.posexplode("ritz").alias("topic", "mu")) \
-        .select("cluster_id", (F.col("topic") + 1).alias("topic"), F.sqrt("mu").alias("sigma"))
-    pivot = (V.groupBy("cluster_id", "topic")
+    while not live.isEmpty():
+        it += 1
+        Y = checkpoint(live.join(Z, ["cluster_id", "ngram"]).groupBy("cluster_id", "document")
+                       .agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in zc]))
+        Q = _orthonormal(Y, zc)
+        P = checkpoint(live.join(Q, ["cluster_id", "document"]).groupBy("cluster_id", "ngram")
+                       .agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in zc]))
+        B = _orthonormal(P, zc)
+        cross = (B.join(P.select("cluster_id", "ngram", *[F.col(c).alias(f"p_{c}") for c in zc]), ["cluster_id", "ngram"])
+                 .groupBy("cluster_id")
+                 .agg(*[F.sum(F.col(zc[i]) * F.col(f"p_{zc[j]}")).alias(f"m_{i}_{j}") for i in range(r) for j in range(r)])
+                 .mapInPandas(_rotation(r), "cluster_id long, t array<double>, sigma array<double>"))
+        top = F.slice("sigma", 1, n_topics)
+        moved = F.aggregate(F.zip_with(top, "was", lambda a, b: F.abs(a - b) / (a * tol + F.col("sigma")[0] * 1e-15 + 1e-300)),
+                            F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+        step = (cross.join(state, "cluster_id", "left")
+                .withColumn("moved", F.coalesce(moved, F.lit(float("inf"))))
+                .withColumn("stuck", F.when(F.col("moved") < 0.5 * F.coalesce("best", F.lit(float("inf"))), 0)
+                            .otherwise(F.coalesce("stuck", F.lit(0)) + F.when(F.col("moved") < float("inf"), 1).otherwise(0)))
+                .withColumn("best", F.least("moved", F.coalesce("best", F.lit(float("inf")))))
+                .withColumn("settled", F.col("moved") <= 1)
+                .withColumn("ends", F.col("settled") | (F.col("stuck") >= 20)))
+        step = checkpoint(step.select("cluster_id", "t", "sigma", top.alias("was"), "best", "stuck", "settled", "ends"))
+        Z = checkpoint(_combine(B.join(step.select("cluster_id", "t"), "cluster_id"), "t", zc, zc, r))
+        ended = step.where("ends")
+        if not ended.isEmpty():
+            done_words = done_words.unionByName(
+                Z.join(ended.select("cluster_id"), "cluster_id", "left_semi")
+                .select("cluster_id", "ngram", F.posexplode(F.array(*zc[:n_topics])).alias("topic", "weight"))
+                .withColumn("topic", F.col("topic") + 1))
+            done_sigma = done_sigma.unionByName(
+                ended.select("cluster_id", F.posexplode("was").alias("topic", "sigma"), F.col("settled").alias("converged"))
+                .withColumn("topic", F.col("topic") + 1))
+            going = step.where("not ends").select("cluster_id")
+            live = checkpoint(live.join(going, "cluster_id", "left_semi"))
+        state = step.where("not ends").select("cluster_id", "was", "best", "stuck")
+    pivot = (done_words.groupBy("cluster_id", "topic")
              .agg(F.min(F.struct((-F.abs("weight")).alias("a"), F.col("ngram"), F.col("weight"))).alias("m"))
              .select("cluster_id", "topic", F.when(F.col("m.weight") < 0, -1.0).otherwise(1.0).alias("sgn")))
-    V = checkpoint(V.join(pivot, ["cluster_id", "topic"])
+    V = checkpoint(done_words.join(pivot, ["cluster_id", "topic"])
                    .select("cluster_id", "topic", "ngram", (F.col("weight") * F.col("sgn")).alias("weight")))
     loadings = (A.join(V, ["cluster_id", "ngram"]).groupBy("cluster_id", "topic", "document")
                 .agg(F.sum(F.col("x") * F.col("weight")).alias("loading")))
-    return {"singular": sigma, "words": V, "loadings": loadings, "iterations": it}
+    return {"singular": done_sigma, "words": V, "loadings": loadings, "iterations": it}
 
 
 def lsa_status(word_clusters: DataFrame, cdw: DataFrame, n_topics: int = 2, min_words: int = 5) -> DataFrame:
@@ -199,7 +234,8 @@ def lsa_topics(word_clusters: DataFrame, cdw: DataFrame, n_topics: int = 2, min_
            .join(res["singular"], ["cluster_id", "topic"])
            .select("cluster_id", "topic", (F.col("l1") * F.abs("sigma")).alias("importance")))
     res["importance"] = imp
-    res["status"] = status
+    settled = res["singular"].groupBy("cluster_id").agg(F.min("converged").alias("converged"))
+    res["status"] = status.join(settled, "cluster_id", "left")
     return res
 
 
