@@ -1,3 +1,65 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
 ORACLE: dict[str, str] = {}
+
+# operator 1: every 100-byte string by its hexadecimal digits; gaps and islands
+ORACLE["op1_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, length(hex(coalesce(text, ''))) // 2 AS n FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(0, n - 100)) AS p, h FROM d WHERE n >= 100),
+k AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 200)) AS s FROM w),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM k)
+          WHERE r > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100
+                                    OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS fresh
+           FROM later),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z
+         FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
+cuts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs
+         UNION ALL SELECT d.doc_id, coalesce(max(r.z), 0), any_value(d.n) FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id
+         GROUP BY d.doc_id),
+kept AS (SELECT c.doc_id, string_agg(substr(d.h, CAST(2 * c.s + 1 AS BIGINT), CAST(2 * (c.e - c.s) AS BIGINT)), '' ORDER BY c.s) AS h
+         FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id),
+total AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN total t ON t.doc_id = d.doc_id
+"""
+
+_REACH = """
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, l.b FROM reach r JOIN ends l ON l.a = r.b),
+low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+"""
+
+# operator 3: shingle pairs counted directly, components by reachability
+ORACLE["op3_jaccard_join"] = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id
+      GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
+""" + _REACH + """
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, t.doc_id) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN low ON low.a = t.doc_id
+"""
+
+# operator 6: all pairs by cosine (the query reaches them through its windows and components)
+ORACLE["op6_embedding_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM e
+      WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_dot_product(v, v) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+          WHERE list_dot_product(x.v, y.v) / (x.l * y.l) >= 0.95),
+""" + _REACH + """,
+c AS (SELECT a, count(*) AS n FROM ends GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(low.c, e.vec_id) AS component_id,
+       coalesce(low.c, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
