@@ -26,6 +26,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,15 +154,16 @@ class Codec:
         found = [self.split.findall(t) for t in texts]
         flat = pa.array([p for f in found for p in f], pa.string()).dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        missing = [p for p in distinct if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = distinct
+        coded = [self.cache.get(p) for p in distinct]
+        missing = [i for i, c in enumerate(coded) if c is None]
         step = 20_000
         for i in range(0, len(missing), step):
-            part = missing[i:i + step]
-            self.cache.update(zip(part, self.encode_pieces(part)))
-        coded = [self.cache[p] for p in distinct]
+            part = [distinct[k] for k in missing[i:i + step]]
+            for k, p, c in zip(missing[i:i + step], part, self.encode_pieces(part)):
+                coded[k] = c
+                self.cache[p] = c
+        if len(self.cache) > CACHE:                       # start again from the pieces of this slice
+            self.cache = dict(zip(distinct, coded))
         values = np.frombuffer(b"".join(coded), "<i4")
         size = np.array([len(c) // 4 for c in coded], np.int64)
         start = np.cumsum(size) - size
@@ -201,7 +203,6 @@ def defaults() -> tuple[str, str]:
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Every row and column of ``docs`` plus the token ids of its text."""
-    @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec = Codec.of(path, pattern)
         _, off = T.text_bytes(texts)
@@ -215,7 +216,9 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", o
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()),
                                         pa.array(np.concatenate(ids), pa.int32()))
 
-    return docs.withColumn(out_col, encode(F.col(text_col)))
+    # declared so that the optimiser never copies the call into each use of the ids
+    call = F.arrow_udf(encode, "array<int>").asNondeterministic()
+    return docs.withColumn(out_col, call(F.col(text_col)))
 
 
 def with_bytes(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -240,8 +243,8 @@ def with_id_digest(rows: DataFrame, ids_col: str = "ids", out_col: str = "ids_di
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string>")
     def digest(ids: pa.Array) -> pa.Array:
         flat, off = _flat(ids)
-        sha = [hashlib.sha256(" ".join(map(str, flat[a:z].tolist())).encode()).hexdigest()
-               for a, z in zip(off[:-1], off[1:])]
+        words = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat).cast(pa.string()))
+        sha = [hashlib.sha256(t.encode()).hexdigest() for t in pc.binary_join(words, " ").to_pylist()]
         return pa.StructArray.from_arrays([pa.array(np.diff(off)), pa.array(sha, pa.string())],
                                           names=["n_tokens", "ids_sha256"])
 
