@@ -159,3 +159,28 @@ def test_text_classes_follow_python(spark):
     for i, t in enumerate(texts):
         assert got[i] == re.sub(r"[\d]|[^\w\s]", " ", t)
         assert [toks[i][k] for k in sorted(toks[i])] == t.lower().split()
+
+
+def test_ties_do_not_depend_on_the_blocks(spark):
+    """Groups of equal vectors: the same lists for any block size."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    rows = [(i, [float(v) for v in base[i // 3]]) for i in range(180)]
+    u = V.unit_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = [sorted(tuple(r) for r in V.knn_exact(u, 5, block_rows=b).collect()) for b in (16384, 100, 37)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_topk_of_query_points_and_tuned_bits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 8))
+    u = V.unit_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)],
+                                             "vec_id bigint, embedding array<double>"))
+    got = V.find_topk(u.where("vec_id < 3"), u, 4).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(3):
+        assert [r.n for r in sorted(got, key=lambda r: r.rnk) if r.q == q] == np.argsort(-(x @ x[q]))[:4].tolist()
+    tuning = V.lsh_tuning(u, 0.3, n_queries=20)
+    rows = sorted(tuning.collect(), key=lambda r: r.cell)
+    assert [r.chosen for r in rows] == [False] * (len(rows) - 1) + [True]
+    assert V.tuned_bits(tuning) == rows[-1].nbits

@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicspark.functions.constants import FIRST_TRIAL, MAX_TRIALS
 from topicspark.functions.vector import dot, l2_norm
+from topicspark.session import checkpoint
 
 KNN_SCHEMA = "q long, n long, label int, score double"
 QUERY_CHUNK = 512
@@ -33,8 +35,8 @@ MIN_BLOCKS = 3
 def unit_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(vec_id, v array<double>)`` scaled to unit length.
 
-    Zero-length vectors have no direction and are left out (see
-    ``zero_vectors`` to count them)."""
+    Zero-length vectors have no direction and are left out; ``zero_vectors``
+    reports them."""
     v = F.col(vec_col).cast("array<double>")
     return (df.select(F.col(id_col).alias("vec_id"), v.alias("v"))
             .withColumn("_norm", l2_norm(F.col("v")))
@@ -67,6 +69,27 @@ def _scores_hamming(Q: np.ndarray, C: np.ndarray, labels):
         yield bits, -dist.astype(np.float64)
 
 
+def _best(Q, C, S, R, k: int, exact: bool):
+    """``(row, column, score)`` of the k best candidates of each query row,
+    ties by column.  A matrix product adds up in an order that depends on the
+    shape of the block, so equal vectors may differ in the last bit; every
+    candidate within 1e-9 of the k-th score is scored again in one fixed order
+    of summation, and these scores rank."""
+    floor = np.partition(R, R.shape[1] - k, axis=1)[:, R.shape[1] - k]
+    row, col = np.nonzero((R >= floor[:, None] - (1e-9 if exact else 0.0)) & (R > -np.inf))
+    score = S[row, col]
+    if exact:
+        for s in range(0, len(row), 1 << 16):
+            part = slice(s, s + (1 << 16))
+            score[part] = (Q[row[part]] * C[col[part]]).sum(axis=1)
+    key = np.where(np.isinf(R[row, col]), np.inf, score)
+    order = np.lexsort((col, -key, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, np.arange(len(Q)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep], score[keep]
+
+
 def _block_kernel(kind: str, k: int, self_mode: str, labels: tuple[int, ...]):
     scorer = _scores_cosine if kind == "cosine" else _scores_hamming
     empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"),
@@ -91,15 +114,10 @@ def _block_kernel(kind: str, k: int, self_mode: str, labels: tuple[int, ...]):
                     R[same] = np.inf
                 elif self_mode == "exclude":
                     R[same] = -np.inf
-                # candidates are in id order, so a stable sort breaks ties by id
-                order = np.argsort(-R, axis=1, kind="stable")[:, :kk]
-                top_r = np.take_along_axis(R, order, axis=1)
-                keep = top_r > -np.inf
-                rows = np.repeat(qids, kk).reshape(len(qids), kk)
+                row, col, score = _best(Q, C, S, R, kk, exact=kind == "cosine")
                 parts.append(pd.DataFrame({
-                    "q": rows[keep], "n": cids[order][keep],
-                    "label": np.full(int(keep.sum()), label, dtype=np.int32),
-                    "score": np.take_along_axis(S, order, axis=1)[keep]}))
+                    "q": qids[row], "n": cids[col], "label": np.full(len(row), label, dtype=np.int32),
+                    "score": score}))
         return pd.concat(parts, ignore_index=True) if parts else empty
 
     return run
@@ -199,6 +217,7 @@ def lsh_signatures(vectors: DataFrame, nbits: int, seed: int = 42, dim: int | No
 def knn_hamming(signatures: DataFrame, k: int, self_mode: str = "first", **kw) -> DataFrame:
     """Top-k by Hamming distance over signatures (flat scan of codes):
     ``(q, n, rnk, hamming)``; ties by id."""
+    signatures = checkpoint(signatures)   # the scan reads them for both sides
     nbits = 32 * len(signatures.select("sig").first()[0])
     x = signatures.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"))
     if "n_queries" not in kw:
@@ -242,17 +261,6 @@ def query_sample(vectors: DataFrame, m: int, seed: int = 42) -> DataFrame:
             .select("vec_id"))
 
 
-def _grid(max_trials: int, max_bits: int) -> list[tuple[int, int, int, int]]:
-    """The size grid in search order: (trial, bits per table, tables, bits)."""
-    cells = []
-    for trial in range(6, max_trials + 1):
-        for t in range(1, trial):
-            bpt, tables = 2 ** trial, 2 ** t
-            if bpt * tables <= max_bits:
-                cells.append((trial, bpt, tables, bpt * tables))
-    return cells
-
-
 def index_recall(vectors: DataFrame, nbits_list: list[int], n_queries: int = 1000, seed: int = 42,
                  plane_seed: int = 42, **kw) -> DataFrame:
     """Share of sampled queries whose Hamming-nearest other point equals
@@ -265,7 +273,7 @@ def index_recall(vectors: DataFrame, nbits_list: list[int], n_queries: int = 100
     cand = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
     qvec = cand.join(sample.select(F.col("vec_id").alias("id")), "id", "left_semi")
     exact = block_topk(qvec, cand, 1, "cosine", "exclude", **kw).select("q", "n")
-    sigs = lsh_signatures(vectors, labels[-1], plane_seed)
+    sigs = checkpoint(lsh_signatures(vectors, labels[-1], plane_seed))
     xc = sigs.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"))
     xq = xc.join(sample.select(F.col("vec_id").alias("id")), "id", "left_semi")
     approx = (block_topk(xq, xc, 1, "hamming", "exclude", labels=labels, **kw)
@@ -277,19 +285,43 @@ def index_recall(vectors: DataFrame, nbits_list: list[int], n_queries: int = 100
             .withColumn("accuracy", F.col("hits") / F.col("n_queries")))
 
 
-def lsh_tuning(vectors: DataFrame, target_accuracy: float = 0.9, max_trials: int = 20,
-               max_bits: int = 4096, n_queries: int = 1000, seed: int = 42, **kw) -> DataFrame:
-    """Every grid cell within the bit budget with its accuracy, in the
-    search order, and ``chosen`` on the first cell reaching the target.
-    Accuracy depends only on the total bit count, which is scored once."""
-    cells = _grid(max_trials, max_bits)
-    if not cells:
-        raise ValueError("no grid cell fits the bit budget")
-    spark = vectors.sparkSession
-    grid = spark.createDataFrame(
-        [(i, tr, bpt, tb, nb) for i, (tr, bpt, tb, nb) in enumerate(cells)],
-        "cell int, trial int, bits_per_table int, n_tables int, nbits int")
-    acc = index_recall(vectors, sorted({c[3] for c in cells}), n_queries, seed, **kw)
-    scored = grid.join(F.broadcast(acc.select("nbits", "accuracy")), "nbits")
-    first_ok = scored.where(F.col("accuracy") >= target_accuracy).select(F.min("cell")).scalar()
-    return scored.withColumn("chosen", F.coalesce(F.col("cell") == first_ok, F.lit(False)))
+def lsh_tuning(vectors: DataFrame, target_accuracy: float = 0.9, max_trials: int = MAX_TRIALS,
+               n_queries: int = 1000, seed: int = 42, **kw) -> DataFrame:
+    """The size grid in search order up to the first cell that reaches the
+    target: ``(cell, trial, bits_per_table, n_tables, nbits, accuracy,
+    chosen)``.  Accuracy depends on the total bit count alone, so each new size
+    is scored once, when the search first meets it; ``max_trials`` is the only
+    bound.  The driver holds one number per size."""
+    scored: dict[int, float] = {}
+    rows = []
+    for trial in range(FIRST_TRIAL, max_trials + 1):
+        for t in range(1, trial):
+            nbits = 2 ** trial * 2 ** t
+            if nbits not in scored:
+                got = index_recall(vectors, [nbits], n_queries, seed, **kw).first()
+                scored[nbits] = float(got["accuracy"]) if got else 0.0
+            hit = scored[nbits] >= target_accuracy
+            rows.append((len(rows), trial, 2 ** trial, 2 ** t, nbits, scored[nbits], hit))
+            if hit:
+                break
+        else:
+            continue
+        break
+    return vectors.sparkSession.createDataFrame(
+        rows, "cell int, trial int, bits_per_table int, n_tables int, nbits int, accuracy double, chosen boolean")
+
+
+def tuned_bits(tuning: DataFrame, default: int = 32) -> int:
+    """The chosen size, to be passed on as ``nbits``; ``default`` if no cell
+    reached the target."""
+    row = tuning.where("chosen").select("nbits").first()
+    return int(row[0]) if row else default
+
+
+def find_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """Top-k of given query points: ``queries (vec_id, v)`` against ``vectors``
+    by cosine: ``(q, n, rnk, sim)``.  A query whose id is among the vectors
+    comes first in its own list."""
+    q = queries.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    c = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    return block_topk(q, c, k, "cosine", "first", **kw).select("q", "n", "rnk", F.col("score").alias("sim"))

@@ -78,33 +78,34 @@ ORACLE["index_recall"] = (
 )
 
 
-def _tuning_sql(max_bits: int = 2048, target: float = 0.9) -> str:
-    cells = []
-    for trial in range(6, 21):
-        for t in range(1, trial):
-            if 2 ** trial * 2 ** t <= max_bits:
-                cells.append((len(cells), trial, 2 ** trial, 2 ** t, 2 ** trial * 2 ** t))
-    values = ", ".join(f"({c}, {tr}, {b}, {tb}, {nb})" for c, tr, b, tb, nb in cells)
-    sizes = sorted({c[4] for c in cells})
-    ham_parts = " UNION ALL ".join(
-        f"SELECT {nb} AS nbits, a.vec_id AS q, b.vec_id AS n, sum(bit_count(xor(a.bits, b.bits))) AS hamming "
-        f"FROM sig a JOIN sig b ON a.word = b.word AND a.word < {nb // 32} "
-        f"WHERE a.vec_id IN (SELECT vec_id FROM sample) AND a.vec_id <> b.vec_id GROUP BY 2, 3"
-        for nb in sizes)
-    return (
-        f"WITH {UNIT}, {SIMS}, {SAMPLE.format(m=1000)}, {sig_ctes(max(sizes))}, {NEAREST_EXACT}, "
-        f"hams AS ({ham_parts}), "
-        "ap AS (SELECT nbits, q, n FROM (SELECT *, row_number() OVER (PARTITION BY nbits, q ORDER BY hamming, n) "
-        "AS rk FROM hams) WHERE rk = 1), "
-        "acc AS (SELECT nbits, sum(CASE WHEN ap.n = ex.n THEN 1 ELSE 0 END) / count(*) AS accuracy "
-        "FROM ap JOIN ex ON ap.q = ex.q GROUP BY nbits), "
-        f"grid AS (SELECT * FROM (VALUES {values}) g(cell, trial, bits_per_table, n_tables, nbits)), "
-        "scored AS (SELECT g.*, a.accuracy FROM grid g JOIN acc a ON g.nbits = a.nbits), "
-        f"first_ok AS (SELECT min(cell) AS c FROM scored WHERE accuracy >= {target}) "
-        "SELECT CAST(nbits AS INTEGER) AS nbits, CAST(cell AS INTEGER) AS cell, CAST(trial AS INTEGER) AS trial, "
-        "CAST(bits_per_table AS INTEGER) AS bits_per_table, CAST(n_tables AS INTEGER) AS n_tables, "
-        "round(accuracy, 6) AS accuracy, coalesce(cell = (SELECT c FROM first_ok), false) AS chosen FROM scored"
-    )
-
+ORACLE["zero_vectors"] = (
+    "SELECT vec_id FROM embeddings WHERE NOT (list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0)"
+)
+ORACLE["topk_queries"] = (
+    f"WITH {UNIT}, {SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY (q = n) DESC, "
+    f"sim DESC, n) AS rnk FROM sims WHERE q % 100 = 0) "
+    f"SELECT q, n, CAST(rnk AS INTEGER) AS rnk, round(sim, 6) AS sim FROM r WHERE rnk <= 10"
+)
 
-ORACLE["lsh_tuning"] = _tuning_sql()
+# the search order in SQL; sizes of up to 2048 bits are scored, which the target 0.5 does not pass on these tables
+ORACLE["lsh_tuning"] = (
+    f"WITH {UNIT}, {SIMS}, {SAMPLE.format(m=1000)}, {sig_ctes(2048)}, {NEAREST_EXACT}, "
+    "sizes AS (SELECT CAST(pow(2, range) AS BIGINT) AS nbits FROM range(7, 12)), "
+    "words AS (SELECT a.word, a.vec_id AS q, b.vec_id AS n, bit_count(xor(a.bits, b.bits)) AS x FROM sig a "
+    "JOIN sig b ON a.word = b.word WHERE a.vec_id IN (SELECT vec_id FROM sample) AND a.vec_id <> b.vec_id), "
+    "hams AS (SELECT s.nbits, w.q, w.n, sum(w.x) AS hamming FROM words w JOIN sizes s ON w.word < s.nbits // 32 "
+    "GROUP BY 1, 2, 3), "
+    "ap AS (SELECT nbits, q, n FROM (SELECT *, row_number() OVER (PARTITION BY nbits, q ORDER BY hamming, n) "
+    "AS rk FROM hams) WHERE rk = 1), "
+    "acc AS (SELECT nbits, sum(CASE WHEN ap.n = ex.n THEN 1 ELSE 0 END) / count(*) AS accuracy "
+    "FROM ap JOIN ex ON ap.q = ex.q GROUP BY nbits), "
+    "cells AS (SELECT row_number() OVER (ORDER BY a.range, b.range) - 1 AS cell, a.range AS trial, "
+    "CAST(pow(2, a.range) AS BIGINT) AS bits_per_table, CAST(pow(2, b.range) AS BIGINT) AS n_tables "
+    "FROM range(6, 21) a, range(1, 20) b WHERE b.range < a.range), "
+    "scored AS (SELECT c.*, c.bits_per_table * c.n_tables AS nbits, acc.accuracy FROM cells c "
+    "LEFT JOIN acc ON acc.nbits = c.bits_per_table * c.n_tables), "
+    "hit AS (SELECT min(cell) AS c FROM scored WHERE accuracy >= 0.5) "
+    "SELECT CAST(cell AS INTEGER) AS cell, CAST(trial AS INTEGER) AS trial, CAST(bits_per_table AS INTEGER) AS bits_per_table, "
+    "CAST(n_tables AS INTEGER) AS n_tables, CAST(nbits AS INTEGER) AS nbits, round(accuracy, 6) AS accuracy, "
+    "cell = (SELECT c FROM hit) AS chosen FROM scored WHERE cell <= (SELECT c FROM hit)"
+)

@@ -14,7 +14,7 @@ CUT = 0.3           # find_topk default similarity threshold
 LSH_BITS = 32       # default index size: 8 bits per table x 4 tables
 SAMPLE_M = 100
 RECALL_QUERIES = 1000
-TUNING_MAX_BITS = 2048
+TUNING_TARGET = 0.5
 
 
 def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,19 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lsh_tuning")
 def lsh_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of every index size of the search grid (bit budget 2048)."""
-    return (V.lsh_tuning(_unit(spark, sf_dir), 0.9, max_bits=TUNING_MAX_BITS, n_queries=RECALL_QUERIES)
+    """The index sizes in search order up to the first with accuracy 0.5."""
+    return (V.lsh_tuning(_unit(spark, sf_dir), TUNING_TARGET, n_queries=RECALL_QUERIES)
             .withColumn("accuracy", F.round("accuracy", 6)))
+
+
+@register("zero_vectors")
+def zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings without a direction, which the other operators leave out."""
+    return V.zero_vectors(tables.embeddings(spark, sf_dir))
+
+
+@register("topk_queries")
+def topk_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-10 of every vector whose id is divisible by 100, against all."""
+    u = _unit(spark, sf_dir)
+    return V.find_topk(u.where(F.col("vec_id") % 100 == 0), u, KNN_K).withColumn("sim", F.round("sim", 6))
