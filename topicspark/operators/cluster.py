@@ -123,6 +123,16 @@ def word_cluster(members: DataFrame, words: DataFrame) -> DataFrame:
     return members.join(words, "vec_id").select("ngram", "cluster_id")
 
 
+def word_cluster_table(methods: dict[str, DataFrame], words: DataFrame) -> DataFrame:
+    """``(ngram, <method>_cluster, ...)``: one column per clustering method,
+    null where a method leaves the word out.  Any of the columns can be the
+    ``cluster_col`` of the topic operators."""
+    out = words.select("vec_id", "ngram")
+    for name, members in methods.items():
+        out = out.join(members.select("vec_id", F.col("cluster_id").alias(f"{name}_cluster")), "vec_id", "left")
+    return out.drop("vec_id")
+
+
 def cluster_words(word_clusters: DataFrame) -> DataFrame:
     """``(cluster_id, n_words, words)``: the words of a cluster, sorted and
     space-joined.  Meant for clusters of bounded size (C1/C2 clusters hold at

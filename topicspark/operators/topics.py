@@ -29,8 +29,9 @@ from topicspark.session import checkpoint
 def cluster_doc_word(counts: DataFrame, word_clusters: DataFrame, cluster_col: str = "cluster_id",
                      doc_col: str = "document", word_col: str = "ngram", count_col: str = "count") -> DataFrame:
     """``(cluster_id, document, ngram, cnt)``: counts of the cluster's
-    words, duplicate (document, ngram) rows summed; absent pairs are zeros."""
-    wc = word_clusters.select(F.col(word_col).alias("ngram"), F.col(cluster_col).alias("cluster_id"))
+    words, duplicate (document, ngram) rows summed; absent pairs are zeros.
+    ``cluster_col`` is any method column of the word-cluster table."""
+    wc = word_clusters.where(F.col(cluster_col).isNotNull()).select(F.col(word_col).alias("ngram"), F.col(cluster_col).alias("cluster_id"))
     c = counts.select(F.col(doc_col).alias("document"), F.col(word_col).alias("ngram"),
                       F.col(count_col).alias("cnt"))
     return (c.join(wc, "ngram").groupBy("cluster_id", "document", "ngram")

@@ -96,6 +96,8 @@ ORACLE["tf_idf"] = (
     f"FROM clean_counts c JOIN dfreq d ON c.word = d.word, n"
 )
 
+ORACLE["daily_bag_long"] = f"SELECT date, word AS word_id, word_freq FROM ({ORACLE['daily_word_freq']})"
+
 # the stream sums up to the batch result
 ORACLE["stream_daily_word_freq"] = ORACLE["daily_word_freq"]
 

@@ -77,6 +77,14 @@ def daily_word_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.to_long_format(daily)
 
 
+@register("daily_bag_long")
+def daily_bag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3, T9, T8 on bags: a map of counts per document, exploded and summed per date."""
+    bags = T.word_frequency_map(T.word_frequencies(tables.documents(spark, sf_dir)))
+    long = T.to_long_format(bindings.with_document_date(bags))
+    return T.daily_word_frequencies(long, word_col="word_id", count_col="word_freq")
+
+
 @register("tf_idf")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: TF-IDF over the cleaned per-document counts."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from topicspark.plans.cluster_oracle import SEQ, WORDS
+from topicspark.plans.cluster_oracle import EXACT_LISTS, ORDER_SEEDED, SEQ, WORDS, walk_sql
 from topicspark.plans.oracle import CLEAN_COUNTS_CTES, ORACLE
 
-CDW = (
-    f"{SEQ}, {CLEAN_COUNTS_CTES}, {WORDS}, "
+CDW_OF = (
+    "{seq}, " + f"{CLEAN_COUNTS_CTES}, {WORDS}, ".replace("{", "{{").replace("}", "}}") +
     "cdw AS (SELECT wc.cluster_id, c.doc_id AS document, c.word AS ngram, CAST(sum(c.cnt) AS BIGINT) AS cnt "
     "FROM clean_counts c JOIN wc ON wc.ngram = c.word GROUP BY 1, 2, 3), "
     "tw AS (SELECT cluster_id, ngram, sum(cnt) AS cnt FROM cdw GROUP BY 1, 2), "
@@ -14,6 +14,18 @@ CDW = (
     "shares AS (SELECT tw.cluster_id, tw.ngram, CAST(tw.cnt AS BIGINT) AS cnt, tw.cnt / tot.total AS weight "
     "FROM tw JOIN tot ON tw.cluster_id = tot.cluster_id)"
 )
+CDW = CDW_OF.format(seq=SEQ)
+SEEDED = walk_sql(EXACT_LISTS, ORDER_SEEDED)
+
+ORACLE["word_cluster_table"] = (
+    f"SELECT s.ngram, s.cluster_id AS sequential_cluster, d.cluster_id AS seeded_cluster "
+    f"FROM ({SEQ}, {CLEAN_COUNTS_CTES}, {WORDS} SELECT ngram, cluster_id FROM wc) s "
+    f"JOIN ({SEEDED}, {CLEAN_COUNTS_CTES}, {WORDS} SELECT ngram, cluster_id FROM wc) d ON d.ngram = s.ngram"
+)
+ORACLE["l1_importance_seeded"] = (
+    f"{CDW_OF.format(seq=SEEDED)} SELECT cluster_id, CAST(sum(cnt) AS BIGINT) AS total, "
+    "round(sum(weight), 6) AS share_sum FROM shares GROUP BY 1"
+)
 
 ORACLE["cluster_doc_word"] = f"{CDW} SELECT cluster_id, document, ngram, cnt FROM cdw"
 ORACLE["l1_doc_loading"] = (

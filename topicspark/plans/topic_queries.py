@@ -9,7 +9,7 @@ from topicspark.operators import cluster as C
 from topicspark.operators import text as T
 from topicspark.operators import topics as TP
 from topicspark.operators import report as R
-from topicspark.plans.cluster_queries import CLUSTER_SIZE, unit
+from topicspark.plans.cluster_queries import CLUSTER_SIZE, SEEDS, unit
 from topicspark.plans.registry import register
 from topicspark.session import checkpoint
 from topicspark.sources import bindings, tables
@@ -31,6 +31,33 @@ def topic_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return counts, checkpoint(C.word_cluster(members, words))
 
 
+def method_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts and the word-cluster table with a column for each method."""
+    counts = checkpoint(T.clean_word_counts(tables.documents(spark, sf_dir))
+                        .select(F.col("doc_id").alias("document"), F.col("word").alias("ngram"),
+                                F.col("cnt").alias("count")))
+    u = unit(spark, sf_dir)
+    words = bindings.bind_vocabulary(
+        bindings.ranked_vocabulary(counts, word_col="ngram", count_col="count"), u)
+    methods = {"sequential": C.sequential_cluster(u, CLUSTER_SIZE),
+               "seeded": C.seeded_cluster(u, SEEDS, CLUSTER_SIZE)}
+    return counts, checkpoint(C.word_cluster_table(methods, words))
+
+
+@register("word_cluster_table")
+def word_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word with its cluster under every method."""
+    return method_inputs(spark, sf_dir)[1]
+
+
+@register("l1_importance_seeded")
+def l1_importance_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F0-F4 over the seeded clusters: cluster total and the sum of shares."""
+    counts, wc = method_inputs(spark, sf_dir)
+    return TP.l1_importance(TP.cluster_doc_word(counts, wc, "seeded_cluster")) \
+        .withColumn("share_sum", F.round("share_sum", 6))
+
+
 def doc_word(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts, wc = topic_inputs(spark, sf_dir)
     return TP.cluster_doc_word(counts, wc), wc
