@@ -128,3 +128,29 @@ def test_centroids_unit_length(unit_small, spark):
     exp0 = (X[0] + X[1]) / np.linalg.norm(X[0] + X[1])
     np.testing.assert_allclose(cents[0], exp0, atol=1e-12)
     np.testing.assert_allclose(np.linalg.norm(cents[1]), 1.0, atol=1e-12)
+
+
+def test_rounds_follow_the_ranges_not_the_chain(spark):
+    """Points whose lists are their five neighbours on either side, in id
+    order: the longest chain is as long as the table."""
+    for n in (400, 2000):
+        edges = spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.col("id") - 5, F.col("id") + 5)).alias("v")) \
+            .where(f"v >= 0 and v < {n}")
+        ranks = spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("rnk"))
+        out, rounds = rank_peel(edges, ranks)
+        got = {r.node: r.cluster_id for r in out.collect()}
+        assert got == {i: i // 6 for i in range(n)} and rounds <= 5
+
+
+def test_peel_is_the_same_for_any_range(spark):
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 120, (500, 2))})
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    order = rng.permutation(120)
+    ranks = spark.createDataFrame([(int(x), i) for i, x in enumerate(order)], "node long, rnk long")
+    lists = {i: {i} for i in range(120)}
+    for a, b in pairs:
+        lists[a].add(b)
+    got = [{r.node: r.cluster_id for r in rank_peel(edges, ranks, w)[0].collect()} for w in (7, 1000)]
+    assert got[0] == got[1]
+    _check_claims(got[0], lists, {int(x): i for i, x in enumerate(order)})
