@@ -81,6 +81,25 @@ def _home(u: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.nda
     return (_bucket(u, buckets) + np.where(spread, salt, 0)) % buckets
 
 
+def _pack_contexts(ctx: np.ndarray, words: np.ndarray) -> bytes:
+    """Contexts as steps through the words of the same bucket, which most of
+    them are; the others (spread contexts, the begin) are written out."""
+    at = np.searchsorted(words, ctx)
+    at[at == len(words)] = 0
+    own = words[at] == ctx if len(words) else np.zeros(len(ctx), bool)
+    step = np.zeros(len(ctx), "<i4")
+    step[own] = np.diff(at[own], prepend=0)
+    return step.tobytes() + (~own).astype("u1").tobytes() + ctx[~own].astype("<u8").tobytes()
+
+
+def _unpack_contexts(raw: bytes, words: np.ndarray, n: int) -> np.ndarray:
+    step, away = np.frombuffer(raw[:4 * n], "<i4"), np.frombuffer(raw[4 * n:5 * n], "u1").astype(bool)
+    out = np.empty(n, np.uint64)
+    out[~away] = words[np.cumsum(step[~away])]
+    out[away] = np.frombuffer(raw[5 * n:], "<u8")
+    return out
+
+
 class Pairs:
     """The distinct pairs and words of a group, in an order that depends on
     the group's set of texts alone."""
@@ -211,7 +230,8 @@ def score(docs: DataFrame, train: Column, group: int = GROUP, bucket: int = BUCK
             if z > a or e > s:
                 new = np.flatnonzero(np.append(True, u[a + 1:z] != u[a:z - 1])) if z > a else np.zeros(0, np.int64)
                 high, low = (w[a:z] >> np.uint64(32)).astype("<u4"), (w[a:z] >> np.uint64(16)).astype("<u2")
-                rows.append((b, int(key[0]), pairs.words[s:e].astype("<u8").tobytes(), u[a:z][new].astype("<u8").tobytes(),
+                rows.append((b, int(key[0]), pairs.words[s:e].astype("<u8").tobytes(),
+                             _pack_contexts(u[a:z][new], pairs.words[s:e]),
                              np.diff(np.append(new, z - a)).astype("<i4").tobytes(), high.tobytes() + low.tobytes(),
                              count[a:z].astype("<i4").tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "grp", "words", "ctx", "len", "next", "cnt"])
@@ -224,7 +244,8 @@ def score(docs: DataFrame, train: Column, group: int = GROUP, bucket: int = BUCK
         holds tables per word for that word's bucket."""
         part = part.sort_values("grp", kind="stable")
         known_w, known_c, _ = shared.value
-        ctx = [np.frombuffer(x, "<u8") for x in part["ctx"]]
+        ctx = [_unpack_contexts(x, np.frombuffer(w, "<u8"), len(k) // 4)
+               for x, w, k in zip(part["ctx"], part["words"], part["len"])]
         n_of = [np.frombuffer(x, "<i4") for x in part["len"]]
         cnt = [np.frombuffer(x, "<i4") for x in part["cnt"]]
         w = np.concatenate([(np.frombuffer(x[:4 * len(c)], "<u4").astype(np.uint64) << np.uint64(32))
