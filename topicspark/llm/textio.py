@@ -17,6 +17,7 @@ import pyarrow as pa
 MASK64 = (1 << 64) - 1
 _RNG = np.random.default_rng(20240229)
 _MAX_WORD = 4096
+STRETCH = 1 << 20         # bytes hashed at a time
 #: multilinear hash: one random odd factor per byte position, one random value per byte
 _POS = _RNG.integers(0, 2 ** 63, _MAX_WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = _RNG.integers(0, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,23 +68,41 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """``(hash, row, start, end)`` of every word of the rows, in order."""
+    """``(hash, row, start, end)`` of every word of the rows, in order.  The
+    bytes are taken in stretches that end at white space, so the working memory
+    does not grow with the rows (but for a longer word)."""
+    found, a = [], 0
+    while a < len(data):
+        b = min(len(data), a + STRETCH)
+        while b < len(data):
+            gap = np.flatnonzero(_SPACE[data[b:b + STRETCH]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(len(data), b + STRETCH)
+        near = offsets[np.searchsorted(offsets, a, "left"):np.searchsorted(offsets, b, "left")]
+        h, start, end = _stretch_words(data[a:b], near - a, lower)
+        start = start + a
+        found.append((h, np.searchsorted(offsets, start, "right") - 1, start, end + a))
+        a = b
+    if not found:
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), empty, empty, empty
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _stretch_words(data: np.ndarray, row_starts: np.ndarray, lower: bool):
+    """``(hash, start, end)`` of the words of one stretch."""
     n = len(data)
     empty = np.zeros(0, np.int64)
-    if n == 0:
-        return np.zeros(0, np.uint64), empty, empty, empty
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    row_starts = offsets[:-1][offsets[:-1] < n]
     begins[row_starts] |= inside[row_starts]      # a row end also ends a word
     start = np.flatnonzero(begins)
     if len(start) == 0:
-        return np.zeros(0, np.uint64), empty, empty, empty
-    row = np.searchsorted(offsets, start, "right") - 1
-    nxt = np.append(start[1:], n)
+        return np.zeros(0, np.uint64), empty, empty
     length = np.add.reduceat(inside, start, dtype=np.int64)
-    del nxt
     pos = np.arange(n, dtype=np.int64)
     pos -= np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [n]))))
     np.minimum(pos, _MAX_WORD - 1, out=pos)
@@ -94,7 +113,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         raw = data[start[i]:start[i] + length[i]].tobytes()
         raw = raw.lower() if lower else raw
         h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-    return h, row, start, start + length
+    return h, start, start + length
 
 
 def shingles(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
