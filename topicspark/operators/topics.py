@@ -117,9 +117,9 @@ def _orthonormal(df: DataFrame, cols: list[str]) -> DataFrame:
     for _ in range(2):
         gram = df.groupBy("cluster_id").agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g_{i}_{j}")
                                               for i, j in _pairs(r)])
+        fix = gram.mapInPandas(_whiten(r), "cluster_id long, t array<double>, low double")
         seen = {"low": F.min("low")}
-        fix = checkpoint(gram.mapInPandas(_whiten(r), "cluster_id long, t array<double>, low double"), observe=seen)
-        df = checkpoint(_combine(df.join(fix.select("cluster_id", "t"), "cluster_id"), "t", cols, cols, r))
+        df = checkpoint(_combine(df.join(fix, "cluster_id"), "t", cols, cols, r), observe=seen).drop("low")
         if seen["low"] is None or seen["low"] > 1e-3:
             break
     return df
@@ -162,8 +162,8 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
     state = spark.createDataFrame([], "cluster_id long, was array<double>, best double, stuck int")
     done_words = spark.createDataFrame([], "cluster_id long, ngram string, topic int, weight double")
     done_sigma = spark.createDataFrame([], "cluster_id long, topic int, sigma double, converged boolean")
-    it = 0
-    while not live.isEmpty():
+    it, going = 0, not A.isEmpty()
+    while going:
         it += 1
         Y = checkpoint(live.join(Z, ["cluster_id", "ngram"]).groupBy("cluster_id", "document")
                        .agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in zc]))
@@ -185,10 +185,13 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
                 .withColumn("best", F.least("moved", F.coalesce("best", F.lit(float("inf")))))
                 .withColumn("settled", F.col("moved") <= 1)
                 .withColumn("ends", F.col("settled") | (F.col("stuck") >= 20)))
-        step = checkpoint(step.select("cluster_id", "t", "sigma", top.alias("was"), "best", "stuck", "settled", "ends"))
+        seen = {"ended": F.sum(F.col("ends").cast("long")), "going": F.sum((~F.col("ends")).cast("long"))}
+        step = checkpoint(step.select("cluster_id", "t", "sigma", top.alias("was"), "best", "stuck", "settled", "ends"),
+                          observe=seen)
+        going = bool(seen["going"])
         Z = checkpoint(_combine(B.join(step.select("cluster_id", "t"), "cluster_id"), "t", zc, zc, r))
         ended = step.where("ends")
-        if not ended.isEmpty():
+        if seen["ended"]:
             done_words = done_words.unionByName(
                 Z.join(ended.select("cluster_id"), "cluster_id", "left_semi")
                 .select("cluster_id", "ngram", F.posexplode(F.array(*zc[:n_topics])).alias("topic", "weight"))
@@ -196,8 +199,8 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
             done_sigma = done_sigma.unionByName(
                 ended.select("cluster_id", F.posexplode("was").alias("topic", "sigma"), F.col("settled").alias("converged"))
                 .withColumn("topic", F.col("topic") + 1))
-            going = step.where("not ends").select("cluster_id")
-            live = checkpoint(live.join(going, "cluster_id", "left_semi"))
+            if going:
+                live = checkpoint(live.join(step.where("not ends").select("cluster_id"), "cluster_id", "left_semi"))
         state = step.where("not ends").select("cluster_id", "was", "best", "stuck")
     pivot = (done_words.groupBy("cluster_id", "topic")
              .agg(F.min(F.struct((-F.abs("weight")).alias("a"), F.col("ngram"), F.col("weight"))).alias("m"))
