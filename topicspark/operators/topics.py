@@ -203,7 +203,7 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
                 live = checkpoint(live.join(step.where("not ends").select("cluster_id"), "cluster_id", "left_semi"))
         state = step.where("not ends").select("cluster_id", "was", "best", "stuck")
     pivot = (done_words.groupBy("cluster_id", "topic")
-             .agg(F.min(F.struct((-F.abs("weight")).alias("a"), F.col("ngram"), F.col("weight"))).alias("m"))
+             .agg(F.min(F.struct((-F.round(F.abs("weight"), 9)).alias("a"), F.col("ngram"), F.col("weight"))).alias("m"))
              .select("cluster_id", "topic", F.when(F.col("m.weight") < 0, -1.0).otherwise(1.0).alias("sgn")))
     V = checkpoint(done_words.join(pivot, ["cluster_id", "topic"])
                    .select("cluster_id", "topic", "ngram", (F.col("weight") * F.col("sgn")).alias("weight")))

@@ -104,5 +104,5 @@ ORACLE["stream_daily_word_freq"] = ORACLE["daily_word_freq"]
 
 def oracle_sql() -> dict[str, str]:
     # later modules add their SQL on import
-    from topicspark.plans import cluster_oracle, lda_oracle, topic_oracle, vector_oracle  # noqa: F401
+    from topicspark.plans import cluster_oracle, lda_oracle, lsa_oracle, topic_oracle, vector_oracle  # noqa: F401
     return dict(ORACLE)
