@@ -47,7 +47,7 @@ from topicspark.llm.components import components
 SIZE = 5
 PERCENT = 75
 SLICE = 8 << 20
-FRAGMENT = 6_000_000      # shingles per fragment of the repeat count
+FRAGMENT = 2_000_000      # shingles per fragment of the repeat count
 SEGMENT = 1_500_000       # shingles per fragment of the overlap counts
 ROUNDS = 3                # star rounds at most; the rest is exact whatever they found
 
