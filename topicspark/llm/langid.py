@@ -35,7 +35,7 @@ ALPHA = 0.05
 EM_STEPS = 12
 PENALTY = 3.0
 MAX_LANGUAGES = 512
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 #: letters keep their (lower-case) byte, other ASCII becomes a blank
 _FOLD = np.full(256, 32, np.uint32)
@@ -172,7 +172,7 @@ def with_language(docs: DataFrame, model: dict, text_col: str = "text", out_col:
     """Every row and column of ``docs`` plus a struct ``(lang, score, n_langs)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = "struct<lang: string, score: double, n_langs: int>"
-    limit = max(SLICE // 4, 1) if len(model["langs"]) <= 8 else max(1 << 16, SLICE // len(model["langs"]))
+    limit = max(1 << 16, SLICE // max(2, len(model["langs"]) // 4))
 
     @F.arrow_udf(kind)
     def predict(texts: pa.Array) -> pa.Array:
