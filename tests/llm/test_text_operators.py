@@ -75,6 +75,19 @@ def test_repeats_edges(spark, edge, length):
         assert (r.score, r.idx, r._rk) == (0.5, 7, "mine")
 
 
+def test_repeats_keep_the_first_of_repeated_rows(spark):
+    """Rows equal in id and text count once, also where they are the first of their text."""
+    rng = np.random.default_rng(8)
+    a, b = ("".join(chr(c) for c in rng.integers(97, 123, 400)) for _ in range(2))
+    rows = [(1, a), (1, a), (2, a), (3, b[:250]), (3, b[:250]), (3, b[:250]), (4, "x" + b), (None, b[50:]), (None, b[50:])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = repeats.cut_column(repeats.find(docs)).collect()
+    want = brute_cut(rows, 100)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r._cut.n_bytes, r._cut.n_removed, r._cut.n_spans, r._cut.kept_sha256) == want[(r.doc_id, r.text)]
+
+
 def test_repeats_in_a_very_long_text(spark):
     rng = np.random.default_rng(0)
     word = "".join(chr(c) for c in rng.integers(97, 123, 300))

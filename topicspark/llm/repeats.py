@@ -25,8 +25,8 @@ the input; they never cross documents.
 A bucket holds the distinct surroundings of its anchors, not their copies.
 
 Defined results: a null text counts as empty; rows are ordered by (id, row
-key), null ids first; rows equal in id and text get the same result; extra
-columns are ignored; an empty table gives no rows.
+key), null ids first; rows equal in id and text count once and get the same
+result; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -281,7 +281,13 @@ def find(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, id_col: st
     firsts = rows.groupBy("same").agg(F.min(F.struct("_id", "_rk")).alias("f"))
     copies = checkpoint(rows.join(firsts, "same").where(F.col("f._rk") != F.col("_rk"))
                         .groupBy("_rk").agg(F.max("n").alias("copied")))
-    reps = base.join(copies, "_rk", "left_anti").where(F.octet_length("_text") >= length)
+    reps = base.where(F.octet_length("_text") >= length)
+    again = checkpoint(rows.where(F.col("n") >= length).groupBy("_rk").agg(F.count(F.lit(1)).alias("times"))
+                       .where(F.col("times") > 1).select("_rk"))
+    if not again.isEmpty():                              # a repeated row takes part once
+        reps = reps.join(again, "_rk", "left_anti").unionByName(
+            reps.join(again, "_rk", "left_semi").dropDuplicates(["_rk"]))
+    reps = reps.join(copies, "_rk", "left_anti")
     total = rows.agg(F.sum("n")).first()[0] or 0
     found = checkpoint(find_blocks(reps, length, max(1, -(-total // bucket))))
     release(docs)
