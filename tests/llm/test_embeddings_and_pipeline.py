@@ -55,6 +55,29 @@ def test_embedding_hot_group_and_edges(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_pairs_in_a_dense_cloud(spark):
+    """A cloud just below the threshold fills the windows; its pairs must be found anyway."""
+    rng = np.random.default_rng(4)
+    dim, n, planted = 48, 1500, 60
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    side = unit(rng.standard_normal((n, dim)))
+    side[:, 0] = 0
+    side = unit(side)
+    cloud = np.sqrt(0.12) * side
+    cloud[:, 0] = np.sqrt(0.88)                          # mutual cosine about 0.88
+    mate = unit(cloud[:planted] + 0.28 * unit(rng.standard_normal((planted, dim))))
+    x = np.concatenate([cloud, mate, rng.standard_normal((500, dim))])
+    links, comp = brute_links(x)
+    assert (links > 0).sum() >= planted
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = embedding_dedup.dedup(df.repartition(6), window=8, block=256).toPandas().sort_values("id")
+    wrong = (got.n_links.to_numpy() != links).mean() * len(x) / (links > 0).sum()
+    assert wrong <= 0.02 and (got.component_id.to_numpy() != comp).sum() <= 0.02 * planted
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200), (250, 300)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
