@@ -81,3 +81,14 @@ def test_lsa_keeps_a_weak_second_topic(spark, big):
     w = {(r.topic, r.ngram): r.weight for r in res["words"].collect()}
     second = np.array([w[(2, c)] for c in m.columns])
     assert abs(abs(second @ vt[1]) - 1) < 1e-6
+
+
+def test_lsa_goes_on_while_a_flat_spectrum_converges(spark):
+    """Singular values close together settle slowly but steadily."""
+    s = np.array([10.0, 9.8, 8.6, 8.4, 8.2, 8.0, 7.0, 6.0])
+    rows = [(0, i, f"w{i}", float(v)) for i, v in enumerate(s)]
+    cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
+    res = TP.lsa(cdw, 2, oversample=1)
+    got = {r.topic: (r.sigma, r.converged) for r in res["singular"].collect()}
+    assert got[1][1] and got[2][1] and res["iterations"] > 22
+    np.testing.assert_allclose([got[1][0], got[2][0]], s[:2], rtol=1e-10)

@@ -149,8 +149,9 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
 
     Both half steps are made orthonormal, so a singular value enters squared
     at most and weak topics beside a strong one survive.  A cluster leaves the
-    loop when its singular values settle (or no longer move towards that:
-    ``converged`` is false then); the loop ends when none is left.
+    loop when its singular values settle (or when, near rounding, 20 steps
+    bring no smaller change: ``converged`` is false then); however slowly it
+    converges, it stays.  The loop ends when none is left.
     """
     r = n_topics + oversample
     zc = [f"z{j}" for j in range(r)]
@@ -180,8 +181,8 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
                             F.lit(0.0), lambda acc, v: F.greatest(acc, v))
         step = (cross.join(state, "cluster_id", "left")
                 .withColumn("moved", F.coalesce(moved, F.lit(float("inf"))))
-                .withColumn("stuck", F.when(F.col("moved") < 0.5 * F.coalesce("best", F.lit(float("inf"))), 0)
-                            .otherwise(F.coalesce("stuck", F.lit(0)) + F.when(F.col("moved") < float("inf"), 1).otherwise(0)))
+                .withColumn("stuck", F.when((F.col("moved") < F.col("best")) | (F.col("moved") > 1e6), 0)
+                            .otherwise(F.coalesce("stuck", F.lit(0)) + 1))
                 .withColumn("best", F.least("moved", F.coalesce("best", F.lit(float("inf")))))
                 .withColumn("settled", F.col("moved") <= 1)
                 .withColumn("ends", F.col("settled") | (F.col("stuck") >= 20)))
