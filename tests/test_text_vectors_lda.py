@@ -184,3 +184,28 @@ def test_topk_of_query_points_and_tuned_bits(spark):
     rows = sorted(tuning.collect(), key=lambda r: r.cell)
     assert [r.chosen for r in rows] == [False] * (len(rows) - 1) + [True]
     assert V.tuned_bits(tuning) == rows[-1].nbits
+
+
+def test_size_search_goes_beyond_2048_bits(spark, monkeypatch):
+    """The registered search at target 0.9 against brute force over the same signatures."""
+    from topicspark.plans import vector_queries
+    from topicspark.plans.registry import all_queries
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 24))
+    u = V.unit_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)],
+                                             "vec_id bigint, embedding array<double>"))
+    monkeypatch.setattr(vector_queries, "_unit", lambda *_: u)
+    rows = sorted(all_queries()["lsh_tuning_full"](spark, "unused").collect(), key=lambda r: r.cell)
+    assert [r.chosen for r in rows] == [False] * (len(rows) - 1) + [True]
+    assert rows[-1].nbits > 2048 and rows[-1].accuracy >= 0.9
+    assert [(r.trial, r.bits_per_table, r.n_tables) for r in rows] == \
+        [(a, 2 ** a, 2 ** b) for a in range(6, 21) for b in range(1, a)][:len(rows)]
+    sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    np.fill_diagonal(sims, -2)
+    for nbits in sorted({r.nbits for r in rows}):
+        sig = {r.vec_id: r.sig for r in V.lsh_signatures(u, nbits).collect()}
+        s = np.array([sig[i] for i in range(300)], np.uint64)
+        ham = np.bitwise_count(s[:, None, :] ^ s[None, :, :]).sum(2).astype(int)
+        np.fill_diagonal(ham, nbits + 1)
+        want = (ham.argmin(1) == sims.argmax(1)).mean()
+        assert {r.accuracy for r in rows if r.nbits == nbits} == {round(float(want), 6)}
