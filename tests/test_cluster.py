@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 from topicspark.operators import cluster as C
 from topicspark.operators import vectors as V
 from topicspark.operators.peel import rank_peel

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 
 @pytest.mark.parametrize("files", [1, 3])
