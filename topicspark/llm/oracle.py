@@ -63,3 +63,75 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(low.c, e.vec_id) AS compo
        coalesce(low.c, e.vec_id) = e.vec_id AS kept
 FROM e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
+
+# operator 11: crc32 bit by bit; words one edit apart share what is left when one letter of them goes
+ORACLE["op11_spelling_variants"] = """
+WITH RECURSIVE run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS k, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)),
+pair AS (SELECT k, r, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY k, r),
+bits AS (SELECT k, r, n, hex(encode(k || r)) AS x FROM pair),
+crc AS (SELECT r, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(generate_series(1, length(x) // 2), lambda i:
+    list_transform(generate_series(0, 7), lambda b:
+      ((CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT) >> CAST(b AS BIGINT)) & 1))))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h FROM bits),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) + 2 AS BIGINT)) ELSE r END AS word, n
+         FROM crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gap AS MATERIALIZED (SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, CAST(unnest(generate_series(1, length(word))) AS BIGINT) AS i FROM w)),
+near AS (SELECT DISTINCT a, b, bn FROM (
+  SELECT x.word AS a, y.word AS b, y.n AS bn FROM gap x JOIN gap y ON x.rest = y.rest AND x.i = y.i WHERE x.word <> y.word
+  UNION ALL SELECT g.word, w.word, w.n FROM gap g JOIN w ON g.rest = w.word
+  UNION ALL SELECT w.word, g.word, g.n FROM gap g JOIN w ON g.rest = w.word)),
+best AS (SELECT a, count(*) AS n_near, max(bn) AS most, arg_min(b, struct_pack(m := -bn, b := encode(b))) AS other FROM near GROUP BY a),
+placed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.other END AS form,
+                  CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n FROM w LEFT JOIN best b ON b.a = w.word),
+walk(word, top, step) AS (SELECT word, form, 1 FROM placed WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, p.form, step + 1 FROM walk JOIN placed p ON p.word = walk.top WHERE p.form IS NOT NULL),
+ends AS (SELECT word, arg_max(top, step) AS root FROM walk GROUP BY word)
+SELECT p.word, p.form, coalesce(e.root, p.word) AS root, p.n, p.n_near, p.form_n FROM placed p LEFT JOIN ends e ON e.word = p.word
+"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+# operator 12: all products
+ORACLE["op12_topk_search"] = f"""
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """Operator 13: every round's assignment by all distances, each codebook a table."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (
+  SELECT x.vec_id, x.p, b.e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM x JOIN b{r} b ON b.p = x.p) GROUP BY vec_id, p)"""
+    mean = """b{s} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+  SELECT p, e, list(m ORDER BY i) AS v FROM (
+    SELECT p, e, i, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (
+      SELECT a.p, a.e, unnest(x.v) AS c, unnest(generate_series(1, len(x.v))) AS i FROM a{r} a JOIN x ON x.vec_id = a.vec_id AND x.p = a.p)
+    GROUP BY p, e, i) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [mean.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH q AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(4096 * x) AS BIGINT)) AS v
+           FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v
+                   FROM (SELECT vec_id, v, unnest(generate_series(0, 7)) AS p FROM q)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x
+                    WHERE vec_id IN (SELECT vec_id FROM q ORDER BY vec_id LIMIT 16)),
+{', '.join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT q.label, CAST(sum(c.error) AS BIGINT) AS label_error FROM q JOIN c ON c.vec_id = q.vec_id GROUP BY q.label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, l.label_error, h.s AS codebooks_sha256
+FROM c JOIN q ON q.vec_id = c.vec_id JOIN l ON l.label IS NOT DISTINCT FROM q.label, h
+"""
+
+
+ORACLE["op13_vector_codes"] = _codes()

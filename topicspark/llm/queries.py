@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, embedding_dedup, fingerprints, hpylm, jaccard_join, langid, packing, repeats, sharding, toxicity
+from topicspark.llm import (bpe, embedding_dedup, fingerprints, hpylm, jaccard_join, langid, packing, repeats, sharding, spelling,
+                            topk_search, toxicity, vector_codes)
 from topicspark.llm.common import fold
 from topicspark.session import prepare
 from topicspark.sources.tables import read_table
@@ -115,6 +116,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of seven letters and two occurrences or more."""
+    return spelling.variants(_docs(spark, sf_dir))
+
+
+@query
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id 20 divides."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by eight codebooks of 16 entries, learnt in six rounds."""
+    got, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    return got.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                      F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query; see ``oracle``."""
     from topicspark.llm.oracle import ORACLE
