@@ -43,6 +43,7 @@ SEGMENT = 1 << 16
 STRETCH = 1 << 20                    # characters of a text taken at a time
 FLUSH = 1 << 17                      # different words a task holds before it passes them on
 CHUNK = 1 << 19                      # codes made at a time
+LONG = 512                           # letters up to which Spark's own distance verifies a pair
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -194,12 +195,9 @@ def bit_table(words: DataFrame, bits: int) -> np.ndarray:
     return table.ravel()
 
 
-def near_codes(words: DataFrame, symbols: int, bits: int) -> DataFrame:
+def near_codes(words: DataFrame, symbols: int, bits: int, shared) -> DataFrame:
     """``(near, word, n)``: the own code, and those of the neighbourhood that
     are smaller and may belong to a word."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(bit_table(words, bits))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -207,9 +205,9 @@ def near_codes(words: DataFrame, symbols: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), word, n], names=["near", "word", "n"])
             for at, some, length in by_length(word):
                 for row, code in neighbourhood(reduced(some, length, symbols), symbols):
-                    code_at = code >> np.uint64(20)
-                    code_at %= np.uint64(bits)
-                    maybe = (table[(code_at >> np.uint64(3)).astype(np.int64)] >> (code_at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    bit = code >> np.uint64(20)
+                    bit %= np.uint64(bits)
+                    maybe = (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     maybe &= code <= own[at[row]]
                     row, code = row[maybe], code[maybe]
                     if len(row):
@@ -220,18 +218,44 @@ def near_codes(words: DataFrame, symbols: int, bits: int) -> DataFrame:
     return words.select("word", "n", "code").mapInArrow(run, "near bigint, word string, n bigint")
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words differ by one inserted, deleted or replaced letter (time linear in their length)."""
+    if len(a) > len(b):
+        a, b = b, a
+    lo, hi = 0, len(a)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return a != b and (a[lo:] == b[lo + 1:] or (len(a) == len(b) and a[lo + 1:] == b[lo + 1:]))
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [one_edit(a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(2))]
+            yield batch.filter(pa.array(hit, pa.bool_()))
+
+    return pairs.select("word", "n", "other", "other_n").mapInArrow(run, "word string, n bigint, other string, other_n bigint")
+
+
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS, bits: int = FILTER_BITS) -> DataFrame:
-    """``(word, n, other, other_n)``: both directions of every pair of ``words
-    (word, n, code)`` one edit apart."""
-    left = near_codes(words, symbols, bits)
-    right = words.select(F.col("code").alias("near"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    found = left.join(right, "near").where((F.col("word") != F.col("other"))
-                                           & (F.abs(F.length("word") - F.length("other")) <= 1)
-                                           & (F.levenshtein("word", "other", 1) == 1))
-    found = found.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b"),
-                         F.when(F.col("word") < F.col("other"), F.col("n")).otherwise(F.col("other_n")).alias("an"),
-                         F.when(F.col("word") < F.col("other"), F.col("other_n")).otherwise(F.col("n")).alias("bn"))
-    return found.distinct()
+    """``(a, b, an, bn)``: the pairs ``a < b`` of ``words (word, n, code)`` one
+    edit apart, with their counts."""
+    shared = words.sparkSession.sparkContext.broadcast(bit_table(words, bits))
+
+    def joined(some: DataFrame) -> DataFrame:
+        right = some.select(F.col("code").alias("near"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+        return near_codes(some, symbols, bits, shared).join(right, "near").where(
+            (F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 1))
+
+    # Spark's bounded distance still walks a word once per letter; long words are compared by halving
+    short = joined(words.where(F.length("word") <= LONG)).where(F.levenshtein("word", "other", 1) == 1)
+    long = _verified(joined(words.where(F.length("word") >= LONG)).where(F.greatest(F.length("word"), F.length("other")) > LONG))
+    found = short.select("word", "n", "other", "other_n").unionByName(long)
+    ahead = F.col("word") < F.col("other")
+    return found.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b"),
+                        F.when(ahead, F.col("n")).otherwise(F.col("other_n")).alias("an"),
+                        F.when(ahead, F.col("other_n")).otherwise(F.col("n")).alias("bn")).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
