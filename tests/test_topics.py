@@ -84,11 +84,35 @@ def test_lsa_keeps_a_weak_second_topic(spark, big):
 
 
 def test_lsa_goes_on_while_a_flat_spectrum_converges(spark):
-    """Singular values close together settle slowly but steadily."""
-    s = np.array([10.0, 9.8, 8.6, 8.4, 8.2, 8.0, 7.0, 6.0])
-    rows = [(0, i, f"w{i}", float(v)) for i, v in enumerate(s)]
+    """Singular values close together, more words than one basis holds: no step solves it at once."""
+    s = np.concatenate([[10.0, 9.9], np.linspace(9.4, 6.0, 58)])
+    rows = [(0, i, f"w{i:02d}", float(v)) for i, v in enumerate(s)]
     cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
-    res = TP.lsa(cdw, 2, oversample=1)
+    res = TP.lsa(cdw, 2, oversample=2, chunk=16, word_part=16)
     got = {r.topic: (r.sigma, r.converged) for r in res["singular"].collect()}
-    assert got[1][1] and got[2][1] and res["iterations"] > 22
+    assert got[1][1] and got[2][1] and res["iterations"] > 3
     np.testing.assert_allclose([got[1][0], got[2][0]], s[:2], rtol=1e-10)
+    w = {(r.topic, r.ngram): r.weight for r in res["words"].collect()}
+    assert abs(w[1, "w00"] - 1) < 1e-9 and abs(w[2, "w01"] - 1) < 1e-9
+
+
+def test_lsa_does_not_depend_on_the_chunks(spark):
+    """A cluster in one chunk or in many, its words in one part or in several."""
+    rng = np.random.default_rng(7)
+    rows = [(c, d, f"w{w}", float(n)) for c in (0, 1) for d in range(40) for w in range(60) if (n := rng.poisson(0.3 + (w + d) % 7 / 9))]
+    cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
+    got = []
+    for kw in ({}, {"chunk": 100, "word_part": 9}):
+        res = TP.lsa(cdw, 2, **kw)
+        got.append((sorted((r.cluster_id, r.topic, round(r.sigma, 8)) for r in res["singular"].collect()),
+                    sorted((r.cluster_id, r.topic, r.ngram, round(r.weight, 6) + 0.0) for r in res["words"].collect()),
+                    sorted((r.cluster_id, r.topic, r.document, round(r.loading, 5) + 0.0) for r in res["loadings"].collect())))
+    assert got[0] == got[1]
+
+
+def test_superseded_tables_are_emptied(spark, tmp_path):
+    from topicspark.session import checkpoint, discard
+    df = checkpoint(spark.range(1000))
+    path = df.written_to
+    discard(df)
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == ["id"]

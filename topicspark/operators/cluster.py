@@ -33,8 +33,7 @@ def neighbor_lists(vectors: DataFrame, k: int, method: str = "exact", cut: float
         ranked = V.knn_exact(vectors, k)
     elif method == "lsh":
         ranked = V.topk_threshold(
-            V.attach_similarity(V.knn_hamming(V.lsh_signatures(vectors, nbits, seed), k), vectors)
-            .select("q", "n", "rnk", "sim"), cut, "prefix")
+            V.knn_hamming(V.lsh_signatures(vectors, nbits, seed, keep=True), k).select("q", "n", "rnk", "sim"), cut, "prefix")
     else:
         raise ValueError(f"unknown method {method}")
     return ranked.select(F.col("q").alias("u"), F.col("n").alias("v"))

@@ -6,12 +6,11 @@ group-by (not a window), so a cluster holding a third of all rows is spread
 over tasks like any other.
 
 LSA is a rank-``n_topics`` truncated SVD of every cluster's document-word
-matrix at once, by randomized subspace iteration (Halko, Martinsson, Tropp
-2011) written as joins: ``A Z`` and ``A^T Y`` are a join on the count table
-and a sum over fixed-width columns, so no pairs of words or documents are
-ever formed.  Only ``r x r`` matrices per cluster (``r = n_topics +
-oversample``) reach numpy, as stacks in ``mapInPandas``.  The loop runs until
-the singular values of every cluster settle.
+matrix at once, by a block Krylov iteration (Musco and Musco 2015; the basis of
+three blocks is that of Knyazev 2001).  The counts are packed once by
+documents (``packed``); a chunk multiplies its documents with the basis rows of
+its words inside one task, so no pairs of words or documents are ever formed.
+The loop runs until the residuals of every cluster settle.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.session import checkpoint
+from topicspark.operators.packed import KEYS, TARGET, pack, sums, unpack, uses
+from topicspark.session import checkpoint, discard
 
 
 # ------------------------------------------------------------------ F1-F4
@@ -66,79 +66,93 @@ def _uniform(cols, j: int, seed: int):
     return (F.pmod(h, F.lit(1 << 20)).cast("double") / float(1 << 19)) - 1.0
 
 
-def _pairs(r: int):
-    return [(i, j) for i in range(r) for j in range(i, r)]
-
-
-def _whiten(r: int):
-    """Per cluster: from the Gram matrix of a block of columns the matrix that
-    makes them orthonormal.  Columns are scaled to unit length first, so only
-    their directions decide what counts as numerically dependent; dependent
-    directions become zero columns.  ``low`` is the smallest kept eigenvalue
-    of the scaled Gram matrix."""
-    rows, cols = np.triu_indices(r)
-    names = [f"g_{i}_{j}" for i, j in zip(rows, cols)]
+def _products(m: int):
+    """Of a chunk and the basis rows ``s0..`` of its words: ``A^T A S`` for its
+    words (``t0..``), and the triangular factor of ``A S`` (one row more)."""
+    s, t = [f"s{j}" for j in range(m)], [f"t{j}" for j in range(m)]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["cluster_id", "ngram", *t, "factor"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        row, right = left.iloc[0], right.sort_values("pos")
+        d, w, x = unpack(row)
+        y = sums(x[:, None] * right[s].to_numpy()[w], d, len(row["docs"]))
+        back = sums(x[:, None] * y[d], w, len(row["words"]))
+        out = pd.DataFrame(np.vstack([back, np.zeros(m)]), columns=t)
+        out["cluster_id"], out["ngram"] = row["cluster_id"], [*right["ngram"], None]
+        out["factor"] = [None] * len(back) + [np.linalg.qr(y, mode="r").tobytes()]
+        return out[names]
+
+    return run, "cluster_id long, ngram string, " + ", ".join(f"{c} double" for c in t) + ", factor binary"
+
+
+def _stacked(blobs, m: int) -> np.ndarray:
+    return np.linalg.qr(np.vstack([np.frombuffer(b).reshape(-1, m) for b in blobs]), mode="r")
+
+
+def _solve(m: int, r: int):
+    """Per cluster, from the triangular factor of ``A S`` and the Gram matrix
+    of ``S``: the singular values in the space of S, and the matrix that takes
+    S to its right singular vectors."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["cluster_id", "sigma", "c"])
+        tri = _stacked(left["factor"], m)
+        gram = sum(np.frombuffer(g).reshape(m, m) for g in right["g"])
+        size = np.sqrt(np.maximum(np.diag(gram), 0))
+        inv = np.divide(1.0, size, out=np.zeros(m), where=size > 0)
+        lam, vec = np.linalg.eigh(gram * inv[:, None] * inv[None, :])
+        keep = lam > 1e-10 * m                                  # the rest is linearly dependent
+        flat = inv[:, None] * vec[:, keep] / np.sqrt(lam[keep])
+        _, sigma, vt = np.linalg.svd(tri @ flat, full_matrices=False)
+        turn = (flat @ vt.T)[:, :r]
+        c = np.zeros((m, r))
+        c[:, :turn.shape[1]] = turn
+        return pd.DataFrame({"cluster_id": left["cluster_id"][:1], "sigma": [np.append(sigma, np.zeros(r))[:r]], "c": [c.ravel()]})
+
+    return run, "cluster_id long, sigma array<double>, c array<double>"
+
+
+def _next_basis(m: int, r: int):
+    """Rows of a word's basis ``s``, its product ``t`` and its cluster's
+    ``sigma`` and ``c`` -> the new basis: the singular vectors X, their
+    residuals ``A^T A X - X sigma^2``, and the part of X that is not from the
+    old X.  One row more per cluster: the Gram matrix of these rows."""
+    s, t = [f"s{j}" for j in range(m)], [f"t{j}" for j in range(m)]
 
     def run(batches):
-        for pdf in batches:
-            n = len(pdf)
-            gram = np.zeros((n, r, r))
-            gram[:, rows, cols] = gram[:, cols, rows] = pdf[names].to_numpy(float)
-            size = np.sqrt(np.maximum(gram[:, range(r), range(r)], 0))
-            inv = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
-            lam, vec = np.linalg.eigh(gram * inv[:, :, None] * inv[:, None, :])
-            keep = lam > 1e-15 * r
-            root = np.divide(1.0, np.sqrt(np.abs(lam)), out=np.zeros_like(lam), where=keep)
-            out = inv[:, :, None] * vec * root[:, None, :]
-            low = np.where(keep, lam, np.inf).min(axis=1)
-            yield pd.DataFrame({"cluster_id": pdf["cluster_id"], "t": list(out.reshape(n, -1)), "low": low})
-
-    return run
-
-
-def _rotation(r: int):
-    """Per cluster: singular values of ``A^T Q = Z R`` and the rotation of Z
-    to its right singular vectors, from the cross products R."""
-    names = [f"m_{i}_{j}" for i in range(r) for j in range(r)]
+        key, gram, part = None, np.zeros((m, m)), 0
+
+        def total():
+            out = pd.DataFrame(np.zeros((1, m)), columns=s)
+            out.insert(0, "cluster_id", key), out.insert(1, "part", part), out.insert(2, "ngram", None)
+            out["g"], out["rest"] = [gram.tobytes()], [np.diag(gram)[r:2 * r]]
+            return out
 
-    def run(batches):
         for pdf in batches:
-            n = len(pdf)
-            u, sigma, _ = np.linalg.svd(pdf[names].to_numpy(float).reshape(n, r, r))
-            yield pd.DataFrame({"cluster_id": pdf["cluster_id"], "t": list(u.reshape(n, -1)), "sigma": list(sigma)})
-
-    return run
-
-
-def _orthonormal(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The columns ``cols`` of each cluster made orthonormal; the factorisation
-    is done again where the first one was ill conditioned."""
-    r = len(cols)
-    for _ in range(2):
-        gram = df.groupBy("cluster_id").agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g_{i}_{j}")
-                                              for i, j in _pairs(r)])
-        fix = gram.mapInPandas(_whiten(r), "cluster_id long, t array<double>, low double")
-        seen = {"low": F.min("low")}
-        df = checkpoint(_combine(df.join(fix, "cluster_id"), "t", cols, cols, r), observe=seen).drop("low")
-        if seen["low"] is None or seen["low"] > 1e-3:
-            break
-    return df
-
-
-def _combine(df: DataFrame, mat_col: str, in_cols: list[str], out_cols: list[str], ncols: int) -> DataFrame:
-    """``out_j = sum_i in_i * mat[i, j]`` with ``mat`` row-major (len(in) x ncols)."""
-    exprs = []
-    for j, name in enumerate(out_cols):
-        terms = [F.col(c) * F.col(mat_col)[i * ncols + j] for i, c in enumerate(in_cols)]
-        acc = terms[0]
-        for t in terms[1:]:
-            acc = acc + t
-        exprs.append(acc.alias(name))
-    return df.select(*[c for c in df.columns if c not in in_cols and c != mat_col], *exprs)
-
-
-def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e-12,
-        seed: int = 42) -> dict[str, DataFrame]:
+            for cluster, rows in pdf.groupby("cluster_id", sort=True):
+                if key is not None and cluster != key:
+                    yield total()
+                    gram = np.zeros((m, m))
+                key, part = cluster, int(rows["part"].iloc[0])
+                c, sigma = rows["c"].iloc[0].reshape(m, r), rows["sigma"].iloc[0]
+                old = rows[s].to_numpy()
+                x = old @ c
+                new = np.hstack([x, rows[t].to_numpy() @ c - x * sigma ** 2, old[:, r:] @ c[r:]])[:, :m]
+                gram = gram + new.T @ new
+                out = pd.DataFrame(new, columns=s)
+                out.insert(0, "cluster_id", cluster), out.insert(1, "part", rows["part"].to_numpy()), out.insert(2, "ngram", rows["ngram"].to_numpy())
+                out["g"], out["rest"] = None, None
+                yield out
+        if key is not None:
+            yield total()
+
+    return run, "cluster_id long, part long, ngram string, " + ", ".join(f"{c} double" for c in s) + ", g binary, rest array<double>"
+
+
+def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e-10,
+        seed: int = 42, chunk: int = TARGET, word_part: int = 1 << 14) -> dict[str, DataFrame]:
     """F5-F9 for every cluster of ``cdw`` at once.
 
     Returns ``singular (cluster_id, topic, sigma, converged)``, ``words
@@ -147,70 +161,125 @@ def lsa(cdw: DataFrame, n_topics: int = 2, oversample: int = 10, tol: float = 1e
     Signs: in each topic the word of largest absolute weight is positive (ties:
     the smaller word).  Loadings are ``A v`` (document coordinates times sigma).
 
-    Both half steps are made orthonormal, so a singular value enters squared
-    at most and weak topics beside a strong one survive.  A cluster leaves the
-    loop when its singular values settle (or when, near rounding, 20 steps
-    bring no smaller change: ``converged`` is false then); however slowly it
-    converges, it stays.  The loop ends when none is left.
+    A block Krylov iteration per cluster: the basis holds the current
+    approximate vectors X, their residuals and the last step, and X is solved
+    for in their joint space.  The singular values come from the triangular
+    factor of ``A S``, reduced over the chunks as a tree, so they are not
+    squared and weak topics beside a strong one survive.  An iteration writes
+    three tables: products and factors of the chunks; one small matrix per
+    cluster; the new basis with its Gram matrix.
+
+    A cluster is settled when the residual of each topic is at most ``tol``
+    times its distance to the other singular values (squared), or at the level
+    of rounding.  It leaves the loop when settled, or with ``converged`` false
+    when 20 steps bring no smaller residual.
     """
     r = n_topics + oversample
-    zc = [f"z{j}" for j in range(r)]
-    A = checkpoint(cdw.select("cluster_id", "document", "ngram", F.col("cnt").cast("double").alias("x")))
-    spark = A.sparkSession
-    Z = A.select("cluster_id", "ngram").distinct().select(
-        "cluster_id", "ngram", *[_uniform(["cluster_id", "ngram"], j, seed).alias(zc[j]) for j in range(r)])
-    Z, live = checkpoint(Z), A
-    state = spark.createDataFrame([], "cluster_id long, was array<double>, best double, stuck int")
-    done_words = spark.createDataFrame([], "cluster_id long, ngram string, topic int, weight double")
-    done_sigma = spark.createDataFrame([], "cluster_id long, topic int, sigma double, converged boolean")
-    it, going = 0, not A.isEmpty()
-    while going:
+    m = 3 * r
+    s, t = [f"s{j}" for j in range(m)], [f"t{j}" for j in range(m)]
+    spark = cdw.sparkSession
+    chunks = pack(cdw.select(F.col("cluster_id").cast("long"), "document", "ngram", F.col("cnt").cast("double").alias("x")), chunk)
+    used = checkpoint(uses(chunks))
+    words = used.select("cluster_id", "ngram").distinct()
+    sizes = words.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / word_part).alias("_n"))
+    words = checkpoint(words.join(sizes, "cluster_id").select("cluster_id", F.pmod(F.xxhash64("ngram"), F.col("_n")).cast("long").alias("part"), "ngram"))
+
+    def formed(rows: DataFrame) -> DataFrame:
+        run, schema = _next_basis(m, r)
+        return checkpoint(rows.repartition("cluster_id", "part").sortWithinPartitions("cluster_id").mapInPandas(run, schema))
+
+    unit = np.zeros((m, r))
+    unit[:r] = np.eye(r)
+    start = words.select("*", *[_uniform(["cluster_id", "ngram"], j, seed).alias(c) for j, c in enumerate(s)],
+                         *[_uniform(["cluster_id", "ngram"], m + j, seed).alias(c) for j, c in enumerate(t)])
+    # random X, "residuals" and last step: every column of the first basis is random
+    basis = formed(start.withColumn("c", F.array(*[F.lit(float(v)) for v in (unit + np.eye(m, r, -r) * 0.5).ravel()]))
+                   .withColumn("sigma", F.array(*[F.lit(0.5)] * r)))
+    going = spark.createDataFrame([], "cluster_id long, best double, stuck int")
+    live, it, more = words.select("cluster_id").distinct(), 0, not words.isEmpty()
+    finished = []
+    while more:
         it += 1
-        Y = checkpoint(live.join(Z, ["cluster_id", "ngram"]).groupBy("cluster_id", "document")
-                       .agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in zc]))
-        Q = _orthonormal(Y, zc)
-        P = checkpoint(live.join(Q, ["cluster_id", "document"]).groupBy("cluster_id", "ngram")
-                       .agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in zc]))
-        B = _orthonormal(P, zc)
-        cross = (B.join(P.select("cluster_id", "ngram", *[F.col(c).alias(f"p_{c}") for c in zc]), ["cluster_id", "ngram"])
-                 .groupBy("cluster_id")
-                 .agg(*[F.sum(F.col(zc[i]) * F.col(f"p_{zc[j]}")).alias(f"m_{i}_{j}") for i in range(r) for j in range(r)])
-                 .mapInPandas(_rotation(r), "cluster_id long, t array<double>, sigma array<double>"))
-        top = F.slice("sigma", 1, n_topics)
-        moved = F.aggregate(F.zip_with(top, "was", lambda a, b: F.abs(a - b) / (a * tol + F.col("sigma")[0] * 1e-15 + 1e-300)),
-                            F.lit(0.0), lambda acc, v: F.greatest(acc, v))
-        step = (cross.join(state, "cluster_id", "left")
-                .withColumn("moved", F.coalesce(moved, F.lit(float("inf"))))
-                .withColumn("stuck", F.when((F.col("moved") < F.col("best")) | (F.col("moved") > 1e6), 0)
-                            .otherwise(F.coalesce("stuck", F.lit(0)) + 1))
-                .withColumn("best", F.least("moved", F.coalesce("best", F.lit(float("inf")))))
-                .withColumn("settled", F.col("moved") <= 1)
-                .withColumn("ends", F.col("settled") | (F.col("stuck") >= 20)))
-        seen = {"ended": F.sum(F.col("ends").cast("long")), "going": F.sum((~F.col("ends")).cast("long"))}
-        step = checkpoint(step.select("cluster_id", "t", "sigma", top.alias("was"), "best", "stuck", "settled", "ends"),
-                          observe=seen)
-        going = bool(seen["going"])
-        Z = checkpoint(_combine(B.join(step.select("cluster_id", "t"), "cluster_id"), "t", zc, zc, r))
-        ended = step.where("ends")
+        run, schema = _products(m)
+        now = used.join(basis.where(F.col("ngram").isNotNull()).select("cluster_id", "ngram", *s), ["cluster_id", "ngram"])
+        made = checkpoint(chunks.join(live, "cluster_id", "left_semi").groupBy(*KEYS).cogroup(now.groupBy(*KEYS)).applyInPandas(run, schema))
+        factors = made.where(F.col("ngram").isNull()).select("cluster_id", "factor")
+        tree = (factors.withColumn("k", F.pmod(F.xxhash64("factor"), F.lit(64))).groupBy("cluster_id", "k")
+                .applyInPandas(lambda p: pd.DataFrame({"cluster_id": p["cluster_id"][:1], "factor": [_stacked(p["factor"], m).tobytes()]}),
+                               "cluster_id long, factor binary"))
+        grams = basis.where(F.col("ngram").isNull()).join(live, "cluster_id", "left_semi").select("cluster_id", "g")
+        run, schema = _solve(m, r)
+        small = checkpoint(tree.groupBy("cluster_id").cogroup(grams.groupBy("cluster_id")).applyInPandas(run, schema))
+        products = made.where(F.col("ngram").isNotNull()).groupBy("cluster_id", "ngram").agg(*[F.sum(c).alias(c) for c in t])
+        old, basis = basis, formed(products.join(basis.where(F.col("ngram").isNotNull()).select("cluster_id", "part", "ngram", *s),
+                                                 ["cluster_id", "ngram"]).join(small, "cluster_id"))
+        state = checkpoint(_state(basis, small, going, n_topics, tol), observe=(seen := {
+            "ended": F.sum(F.col("ends").cast("long")), "going": F.sum((~F.col("ends")).cast("long"))}))
+        ended = state.where("ends")
         if seen["ended"]:
-            done_words = done_words.unionByName(
-                Z.join(ended.select("cluster_id"), "cluster_id", "left_semi")
-                .select("cluster_id", "ngram", F.posexplode(F.array(*zc[:n_topics])).alias("topic", "weight"))
-                .withColumn("topic", F.col("topic") + 1))
-            done_sigma = done_sigma.unionByName(
-                ended.select("cluster_id", F.posexplode("was").alias("topic", "sigma"), F.col("settled").alias("converged"))
-                .withColumn("topic", F.col("topic") + 1))
-            if going:
-                live = checkpoint(live.join(step.where("not ends").select("cluster_id"), "cluster_id", "left_semi"))
-        state = step.where("not ends").select("cluster_id", "was", "best", "stuck")
+            finished.append((basis, ended))
+        if all(kept is not old for kept, _ in finished):
+            discard(old)
+        discard(made, small)
+        more = bool(seen["going"])
+        going = state.where("not ends").select("cluster_id", "best", "stuck")
+        live = going.select("cluster_id")
+    done_words = spark.createDataFrame([], "cluster_id long, ngram string, topic int, weight double")
+    done_sigma = spark.createDataFrame([], "cluster_id long, topic int, sigma double, converged boolean")
+    for rows, ended in finished:
+        done_words = done_words.unionByName(
+            rows.where(F.col("ngram").isNotNull()).join(ended.select("cluster_id"), "cluster_id", "left_semi")
+            .select("cluster_id", "ngram", F.posexplode(F.array(*s[:n_topics])).alias("topic", "weight"))
+            .withColumn("topic", F.col("topic") + 1))
+        done_sigma = done_sigma.unionByName(
+            ended.select("cluster_id", F.posexplode("top").alias("topic", "sigma"), F.col("settled").alias("converged"))
+            .withColumn("topic", F.col("topic") + 1))
     pivot = (done_words.groupBy("cluster_id", "topic")
              .agg(F.min(F.struct((-F.round(F.abs("weight"), 9)).alias("a"), F.col("ngram"), F.col("weight"))).alias("m"))
              .select("cluster_id", "topic", F.when(F.col("m.weight") < 0, -1.0).otherwise(1.0).alias("sgn")))
     V = checkpoint(done_words.join(pivot, ["cluster_id", "topic"])
                    .select("cluster_id", "topic", "ngram", (F.col("weight") * F.col("sgn")).alias("weight")))
-    loadings = (A.join(V, ["cluster_id", "ngram"]).groupBy("cluster_id", "topic", "document")
-                .agg(F.sum(F.col("x") * F.col("weight")).alias("loading")))
-    return {"singular": done_sigma, "words": V, "loadings": loadings, "iterations": it}
+    return {"singular": done_sigma, "words": V, "loadings": _loadings(chunks, used, V, n_topics), "iterations": it}
+
+
+def _state(basis: DataFrame, small: DataFrame, going: DataFrame, n_topics: int, tol: float) -> DataFrame:
+    """Which clusters end: ``(cluster_id, top, best, stuck, settled, ends)``."""
+    rest = (basis.where(F.col("ngram").isNull()).select("cluster_id", F.posexplode("rest").alias("j", "v"))
+            .where(F.col("j") < n_topics).groupBy("cluster_id", "j").agg(F.sqrt(F.sum("v")).alias("v"))
+            .groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("rest")))
+    sq = F.transform(F.slice("sigma", 1, n_topics + 1), lambda v: v * v)
+    floor = F.col("sq")[0] * 1e-14 + 1e-300
+    # distance of each topic's squared singular value to the others', but not below a millionth of it
+    gap = F.transform(F.slice("sq", 1, n_topics), lambda a, i: F.greatest(a * 1e-6, F.array_min(F.transform(
+        "sq", lambda b, k: F.when(k == i, F.lit(float("inf"))).otherwise(F.abs(a - b))))))
+    off = F.aggregate(F.zip_with("rest", "gap", lambda v, g: v / F.greatest(F.lit(tol) * F.least(g, F.col("sq")[0]), floor)),
+                      F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+    return (small.join(rest, "cluster_id").join(going, "cluster_id", "left")
+            .withColumn("sq", sq).withColumn("gap", gap).withColumn("off", off)
+            .withColumn("stuck", F.when(F.col("off") < F.coalesce("best", F.lit(float("inf"))), 0)
+                        .otherwise(F.coalesce("stuck", F.lit(0)) + 1))
+            .withColumn("best", F.least("off", F.coalesce("best", F.lit(float("inf")))))
+            .withColumn("settled", F.col("off") <= 1).withColumn("ends", F.col("settled") | (F.col("stuck") >= 20))
+            .select("cluster_id", F.slice("sigma", 1, n_topics).alias("top"), "best", "stuck", "settled", "ends"))
+
+
+def _loadings(chunks: DataFrame, used: DataFrame, V: DataFrame, n_topics: int) -> DataFrame:
+    """``(cluster_id, topic, document, loading)``: ``A v`` of every chunk."""
+    kind = chunks.schema["docs"].dataType.elementType.simpleString()
+    cols = [f"v{j}" for j in range(n_topics)]
+    wide = V.groupBy("cluster_id", "ngram").agg(*[F.max(F.when(F.col("topic") == j + 1, F.col("weight"))).alias(c) for j, c in enumerate(cols)])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["cluster_id", "topic", "document", "loading"])
+        row = left.iloc[0]
+        d, w, x = unpack(row)
+        y = sums(x[:, None] * right.sort_values("pos")[cols].to_numpy()[w], d, len(row["docs"]))
+        return pd.DataFrame({"cluster_id": row["cluster_id"], "topic": np.tile(np.arange(1, n_topics + 1, dtype=np.int32), len(y)),
+                             "document": np.repeat(np.asarray(row["docs"]), n_topics), "loading": y.ravel()})
+
+    return chunks.groupBy(*KEYS).cogroup(used.join(wide, ["cluster_id", "ngram"]).groupBy(*KEYS)) \
+        .applyInPandas(run, f"cluster_id long, topic int, document {kind}, loading double")
 
 
 def lsa_status(word_clusters: DataFrame, cdw: DataFrame, n_topics: int = 2, min_words: int = 5) -> DataFrame:

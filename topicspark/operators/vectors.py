@@ -2,32 +2,28 @@
 sampling, index recall and the LSH size search.
 
 Nearest-neighbour search is an all-pairs problem.  It never becomes a cross
-join here: rows are hashed into blocks, each (query block, candidate block)
-pair is one cogroup that scores its pairs with a single matrix product inside
-the task and keeps only the top-k per query, and a window over at most
-``k * blocks`` rows per query merges the blocks.  The block count grows with
-the data (``ceil(n / block_rows)``), so every task holds a bounded slice.
+join here: ``blockscan`` cuts the rows into blocks of similar ones, skips the
+blocks that the triangle inequality rules out, and keeps the top-k per query
+inside the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions.constants import FIRST_TRIAL, MAX_TRIALS
-from topicspark.functions.vector import dot, l2_norm
-from topicspark.session import checkpoint
+from topicspark.functions.vector import l2_norm
+from topicspark.operators.blockscan import topk
+from topicspark.session import checkpoint, discard
 
-KNN_SCHEMA = "q long, n long, label int, score double"
-QUERY_CHUNK = 512
-BLOCK_ROWS = 16384
-MIN_BLOCKS = 3
+PLANES = 512          # planes drawn at a time
 
 
 # ------------------------------------------------------------------ E1
@@ -49,125 +45,12 @@ def zero_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return df.where(~(l2_norm(v) > 0)).select(F.col(id_col).alias("vec_id"))
 
 
-# ------------------------------------------------------------------ kernel
-
-def _scores_cosine(Q: np.ndarray, C: np.ndarray, labels):
-    yield 0, Q @ C.T
-
-
-def _scores_hamming(Q: np.ndarray, C: np.ndarray, labels):
-    """Negative Hamming distance over 32-bit words; one score matrix per
-    prefix length in ``labels`` (bits, multiples of 32, ascending)."""
-    Qu, Cu = Q.astype(np.uint64), C.astype(np.uint64)
-    dist = np.zeros((Q.shape[0], C.shape[0]), dtype=np.int64)
-    done = 0
-    for bits in labels:
-        words = bits // 32
-        for w in range(done, words):
-            dist += np.bitwise_count(Qu[:, w][:, None] ^ Cu[:, w][None, :]).astype(np.int64)
-        done = words
-        yield bits, -dist.astype(np.float64)
-
-
-def _best(Q, C, S, R, k: int, exact: bool):
-    """``(row, column, score)`` of the k best candidates of each query row,
-    ties by column.  A matrix product adds up in an order that depends on the
-    shape of the block, so equal vectors may differ in the last bit; every
-    candidate within 1e-9 of the k-th score is scored again in one fixed order
-    of summation, and these scores rank."""
-    floor = np.partition(R, R.shape[1] - k, axis=1)[:, R.shape[1] - k]
-    row, col = np.nonzero((R >= floor[:, None] - (1e-9 if exact else 0.0)) & (R > -np.inf))
-    score = S[row, col]
-    if exact:
-        for s in range(0, len(row), 1 << 16):
-            part = slice(s, s + (1 << 16))
-            score[part] = (Q[row[part]] * C[col[part]]).sum(axis=1)
-    key = np.where(np.isinf(R[row, col]), np.inf, score)
-    order = np.lexsort((col, -key, row))
-    row, col, score = row[order], col[order], score[order]
-    first = np.searchsorted(row, np.arange(len(Q)))
-    keep = np.arange(len(row)) - first[row] < k
-    return row[keep], col[keep], score[keep]
-
-
-def _block_kernel(kind: str, k: int, self_mode: str, labels: tuple[int, ...]):
-    scorer = _scores_cosine if kind == "cosine" else _scores_hamming
-    empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"),
-                          "label": pd.Series(dtype="int32"), "score": pd.Series(dtype="float64")})
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("cid", kind="stable")
-        cids = right["cid"].to_numpy(np.int64)
-        C = np.stack(right["cx"].to_numpy())
-        qids_all = left["id"].to_numpy(np.int64)
-        Q_all = np.stack(left["x"].to_numpy())
-        kk = min(k, len(cids))
-        parts = []
-        for s in range(0, len(qids_all), QUERY_CHUNK):
-            qids, Q = qids_all[s:s + QUERY_CHUNK], Q_all[s:s + QUERY_CHUNK]
-            same = qids[:, None] == cids[None, :]
-            for label, S in scorer(Q, C, labels):
-                R = S.copy()
-                if self_mode == "first":
-                    R[same] = np.inf
-                elif self_mode == "exclude":
-                    R[same] = -np.inf
-                row, col, score = _best(Q, C, S, R, kk, exact=kind == "cosine")
-                parts.append(pd.DataFrame({
-                    "q": qids[row], "n": cids[col], "label": np.full(len(row), label, dtype=np.int32),
-                    "score": score}))
-        return pd.concat(parts, ignore_index=True) if parts else empty
-
-    return run
-
-
-def _n_blocks(n: int, block_rows: int, min_blocks: int) -> int:
-    return max(min_blocks, math.ceil(n / block_rows))
-
-
-def block_topk(queries: DataFrame, candidates: DataFrame, k: int, kind: str = "cosine",
-               self_mode: str = "first", labels: tuple[int, ...] = (0,),
-               block_rows: int = BLOCK_ROWS, min_blocks: int = MIN_BLOCKS,
-               n_queries: int | None = None, n_candidates: int | None = None) -> DataFrame:
-    """Top-k candidates per query: ``(q, n, label, score, rnk)``.
-
-    Inputs are ``(id, x)`` with ``x`` an array (unit vector for ``cosine``,
-    32-bit signature words for ``hamming``).  Higher score is better
-    (Hamming scores are negated distances).  ``self_mode``: ``first`` puts
-    the query itself at rank 1, ``exclude`` drops it, ``none`` ranks it like
-    any other point.  Ties go to the smaller candidate id.
-    """
-    nq = n_queries if n_queries is not None else queries.count()
-    nc = n_candidates if n_candidates is not None else candidates.count()
-    bq, bc = _n_blocks(nq, block_rows, min_blocks), _n_blocks(nc, block_rows, min_blocks)
-    left = (queries.select("id", "x")
-            .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)))
-            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<long>"))))
-    # fresh names: a cogroup of a table with itself must not share attributes
-    right = (candidates.select(F.col("id").alias("cid"), F.col("x").alias("cx"))
-             .withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(bc)))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
-    kernel = _block_kernel(kind, k, self_mode, tuple(labels))
-    partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(kernel, KNN_SCHEMA)
-    order = [F.col("score").desc(), F.col("n").asc()]
-    if self_mode == "first":
-        order.insert(0, (F.col("q") == F.col("n")).desc())
-    w = Window.partitionBy("q", "label").orderBy(*order)
-    return partial.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
-
-
 # ------------------------------------------------------------------ E2, E5
 
 def knn_exact(vectors: DataFrame, k: int, self_mode: str = "first", **kw) -> DataFrame:
     """Exact cosine top-k of every unit vector: ``(q, n, rnk, sim)``."""
     x = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
-    if "n_queries" not in kw:
-        n = x.count()  # one count sizes both sides
-        kw = {**kw, "n_queries": n, "n_candidates": n}
-    return (block_topk(x, x, k, "cosine", self_mode, **kw)
-            .select("q", "n", "rnk", F.col("score").alias("sim")))
+    return topk(x, x, k, "cosine", self_mode, **kw).select("q", "n", "rnk", F.col("score").alias("sim"))
 
 
 def nearest_other(vectors: DataFrame, **kw) -> DataFrame:
@@ -177,62 +60,62 @@ def nearest_other(vectors: DataFrame, **kw) -> DataFrame:
 
 # ------------------------------------------------------------------ E3
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=64)
+def _planes(first: int, last: int, dim: int, seed: int) -> np.ndarray:
+    out = np.empty((last - first, dim), dtype=np.float64)
+    for j in range(first, last):
+        for i in range(dim):
+            out[j - first, i] = 1.0 if hashlib.md5(f"{seed}:{j}:{i}".encode()).hexdigest()[0] < "8" else -1.0
+    return out
+
+
 def lsh_planes(nbits: int, dim: int, seed: int = 42) -> np.ndarray:
     """±1 hyperplanes, row j = bit j.  Entry (j, i) is +1 when the first hex
     digit of md5('seed:j:i') is below 8.  Bit j depends on j only, so a
     signature of b bits is the prefix of any longer one."""
-    out = np.empty((nbits, dim), dtype=np.float64)
-    for j in range(nbits):
-        for i in range(dim):
-            out[j, i] = 1.0 if hashlib.md5(f"{seed}:{j}:{i}".encode()).hexdigest()[0] < "8" else -1.0
-    return out
+    return _planes(0, nbits, dim, seed)
 
 
-def lsh_signatures(vectors: DataFrame, nbits: int, seed: int = 42, dim: int | None = None) -> DataFrame:
+def lsh_signatures(vectors: DataFrame, nbits: int, seed: int = 42, first: int = 0, keep: bool = False) -> DataFrame:
     """``(vec_id, sig array<bigint>)``: bit j = dot(v, plane_j) >= 0,
-    packed 32 bits per word (bit j in word j // 32 at position j % 32)."""
-    if nbits % 32:
+    packed 32 bits per word (bit j in word j // 32 at position j % 32).
+
+    ``first``: only the words of the bits from there on.  ``keep``: the vector
+    stays beside its signature (column ``v``).  The planes are drawn in the
+    workers from the seed, some at a time; none travel."""
+    if nbits % 32 or first % 32:
         raise ValueError("nbits must be a multiple of 32")
-    if dim is None:
-        dim = len(vectors.select("v").first()[0])
-    planes = lsh_planes(nbits, dim, seed)
     weights = (1 << np.arange(32, dtype=np.int64))
 
     def sign_bits(batches):
         for pdf in batches:
             if pdf.empty:
-                yield pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "sig": pd.Series(dtype=object)})
                 continue
             V = np.stack(pdf["v"].to_numpy())
-            bits = (V @ planes.T >= 0).astype(np.int64).reshape(len(pdf), nbits // 32, 32)
-            words = (bits * weights).sum(axis=2)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "sig": list(words)})
+            words = []
+            for s in range(first, nbits, PLANES):
+                planes = _planes(s, min(nbits, s + PLANES), V.shape[1], seed)
+                bits = (V @ planes.T >= 0).astype(np.int64).reshape(len(pdf), -1, 32)
+                words.append((bits * weights).sum(axis=2))
+            out = pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "sig": list(np.hstack(words))})
+            if keep:
+                out["v"] = pdf["v"].to_numpy()
+            yield out
 
-    return vectors.select("vec_id", "v").mapInPandas(sign_bits, "vec_id long, sig array<long>")
+    return vectors.select("vec_id", "v").mapInPandas(sign_bits, "vec_id long, sig array<long>" + (", v array<double>" if keep else ""))
 
 
 # ------------------------------------------------------------------ E4, E9
 
 def knn_hamming(signatures: DataFrame, k: int, self_mode: str = "first", **kw) -> DataFrame:
     """Top-k by Hamming distance over signatures (flat scan of codes):
-    ``(q, n, rnk, hamming)``; ties by id."""
-    signatures = checkpoint(signatures)   # the scan reads them for both sides
-    nbits = 32 * len(signatures.select("sig").first()[0])
-    x = signatures.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"))
-    if "n_queries" not in kw:
-        n = x.count()
-        kw = {**kw, "n_queries": n, "n_candidates": n}
-    return (block_topk(x, x, k, "hamming", self_mode, labels=(nbits,), **kw)
-            .select("q", "n", "rnk", (-F.col("score")).cast("long").alias("hamming")))
-
-
-def attach_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add the cosine ``sim`` of each ``(q, n)`` pair (two joins on the
-    vector table; vectors are read once per side, not per pair)."""
-    a = vectors.select(F.col("vec_id").alias("q"), F.col("v").alias("_vq"))
-    b = vectors.select(F.col("vec_id").alias("n"), F.col("v").alias("_vn"))
-    return pairs.join(a, "q").join(b, "n").withColumn("sim", dot(F.col("_vq"), F.col("_vn"))).drop("_vq", "_vn")
+    ``(q, n, rnk, hamming)``; ties by id.  Where ``signatures`` hold the
+    vectors too (``v``), ``sim`` is the cosine of each pair, taken where the
+    pair is scored."""
+    extra = ["v"] if "v" in signatures.columns else []
+    x = signatures.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"), *extra)
+    return topk(x, x, k, "hamming", self_mode, **kw) \
+        .select("q", "n", "rnk", (-F.col("score")).cast("long").alias("hamming"), *(["sim"] if extra else []))
 
 
 def topk_threshold(ranked: DataFrame, cut: float, mode: str = "prefix") -> DataFrame:
@@ -261,28 +144,49 @@ def query_sample(vectors: DataFrame, m: int, seed: int = 42) -> DataFrame:
             .select("vec_id"))
 
 
+def _nearest(vectors: DataFrame, sample: DataFrame, kind: str, **kw) -> DataFrame:
+    """``(q, n)``: the nearest other row of every sampled one."""
+    queries = vectors.join(sample.select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return topk(queries, vectors, 1, kind, "exclude", **kw).select("q", "n")
+
+
+def _hits(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    return approx.join(exact.select("q", F.col("n").alias("n_exact")), "q").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum((F.col("n") == F.col("n_exact")).cast("long")), F.lit(0)).alias("hits"))
+
+
 def index_recall(vectors: DataFrame, nbits_list: list[int], n_queries: int = 1000, seed: int = 42,
                  plane_seed: int = 42, **kw) -> DataFrame:
     """Share of sampled queries whose Hamming-nearest other point equals
     the exact nearest other point, for each signature length:
-    ``(nbits, n_queries, hits, accuracy)``.  One signature pass at the
-    longest length; shorter lengths are its prefixes, all scored in the same
-    block scan."""
-    labels = tuple(sorted(set(nbits_list)))
-    sample = query_sample(vectors, n_queries, seed)
-    cand = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
-    qvec = cand.join(sample.select(F.col("vec_id").alias("id")), "id", "left_semi")
-    exact = block_topk(qvec, cand, 1, "cosine", "exclude", **kw).select("q", "n")
-    sigs = checkpoint(lsh_signatures(vectors, labels[-1], plane_seed))
-    xc = sigs.select(F.col("vec_id").alias("id"), F.col("sig").alias("x"))
-    xq = xc.join(sample.select(F.col("vec_id").alias("id")), "id", "left_semi")
-    approx = (block_topk(xq, xc, 1, "hamming", "exclude", labels=labels, **kw)
-              .select("q", F.col("label").alias("nbits"), F.col("n").alias("n_approx")))
-    hits = approx.join(exact.select("q", F.col("n").alias("n_exact")), "q")
-    return (hits.groupBy("nbits")
-            .agg(F.count(F.lit(1)).alias("n_queries"),
-                 F.sum((F.col("n_approx") == F.col("n_exact")).cast("long")).alias("hits"))
-            .withColumn("accuracy", F.col("hits") / F.col("n_queries")))
+    ``(nbits, n_queries, hits, accuracy)``.  The exact neighbours are found
+    once; a longer signature adds its new words to the shorter one."""
+    rows = [(nbits, n, hits) for nbits, n, hits in recalls(vectors, sorted(set(nbits_list)), n_queries, seed, plane_seed, **kw) if n]
+    return vectors.sparkSession.createDataFrame(rows, "nbits int, n_queries long, hits long") \
+        .withColumn("accuracy", F.col("hits") / F.col("n_queries"))
+
+
+def recalls(vectors: DataFrame, sizes: Iterable[int], n_queries: int = 1000, seed: int = 42, plane_seed: int = 42,
+            **kw) -> Iterator[tuple[int, int, int]]:
+    """``(nbits, n_queries, hits)`` of each size, worked as it is asked for.
+    One exact search; each size is one scan of signatures that hold the words
+    of the sizes before it and the new ones."""
+    sample = checkpoint(query_sample(vectors, n_queries, seed))
+    x = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    exact = checkpoint(_nearest(x, sample, "cosine", **kw))
+    had, sigs = 0, None
+    for nbits in sizes:
+        if nbits < had:
+            raise ValueError("sizes must rise")
+        if nbits > had:
+            new = lsh_signatures(vectors, nbits, plane_seed, first=had, keep=False)
+            if sigs is not None:
+                new = sigs.join(new.withColumnRenamed("sig", "_new"), "vec_id").select("vec_id", F.concat("sig", "_new").alias("sig"))
+            old, sigs = sigs, checkpoint(new)
+            discard(old)
+            had = nbits
+        got = _hits(_nearest(sigs.select(F.col("vec_id").alias("id"), F.col("sig").alias("x")), sample, "hamming", **kw), exact).first()
+        yield nbits, got["n_queries"], got["hits"]
 
 
 def lsh_tuning(vectors: DataFrame, target_accuracy: float = 0.9, max_trials: int = MAX_TRIALS,
@@ -290,23 +194,20 @@ def lsh_tuning(vectors: DataFrame, target_accuracy: float = 0.9, max_trials: int
     """The size grid in search order up to the first cell that reaches the
     target: ``(cell, trial, bits_per_table, n_tables, nbits, accuracy,
     chosen)``.  Accuracy depends on the total bit count alone, so each new size
-    is scored once, when the search first meets it; ``max_trials`` is the only
-    bound.  The driver holds one number per size."""
+    is scored once, when the search first meets it; new sizes only rise.
+    ``max_trials`` is the only bound.  The driver holds one number per size."""
     scored: dict[int, float] = {}
+    grid = [(trial, t, 2 ** trial * 2 ** t) for trial in range(FIRST_TRIAL, max_trials + 1) for t in range(1, trial)]
+    found = recalls(vectors, list(dict.fromkeys(nbits for _, _, nbits in grid)), n_queries, seed, **kw)
     rows = []
-    for trial in range(FIRST_TRIAL, max_trials + 1):
-        for t in range(1, trial):
-            nbits = 2 ** trial * 2 ** t
-            if nbits not in scored:
-                got = index_recall(vectors, [nbits], n_queries, seed, **kw).first()
-                scored[nbits] = float(got["accuracy"]) if got else 0.0
-            hit = scored[nbits] >= target_accuracy
-            rows.append((len(rows), trial, 2 ** trial, 2 ** t, nbits, scored[nbits], hit))
-            if hit:
-                break
-        else:
-            continue
-        break
+    for trial, t, nbits in grid:
+        if nbits not in scored:
+            _, n, hits = next(found)
+            scored[nbits] = hits / n if n else 0.0
+        hit = scored[nbits] >= target_accuracy
+        rows.append((len(rows), trial, 2 ** trial, 2 ** t, nbits, scored[nbits], hit))
+        if hit:
+            break
     return vectors.sparkSession.createDataFrame(
         rows, "cell int, trial int, bits_per_table int, n_tables int, nbits int, accuracy double, chosen boolean")
 
@@ -324,4 +225,4 @@ def find_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, **kw) -> Data
     comes first in its own list."""
     q = queries.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
     c = vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("x"))
-    return block_topk(q, c, k, "cosine", "first", **kw).select("q", "n", "rnk", F.col("score").alias("sim"))
+    return topk(q, c, k, "cosine", "first", **kw).select("q", "n", "rnk", F.col("score").alias("sim"))

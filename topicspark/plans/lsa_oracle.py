@@ -54,14 +54,14 @@ FIT = ", ".join([
 
 ORACLE["lsa_singular_values"] = (
     f"{FIT} SELECT c AS cluster_id, round(max(s) FILTER (topic = 1), 4) AS leading_singular, "
-    "round(max(s) FILTER (topic = 2), 4) AS second_singular FROM sig GROUP BY c"
+    "round(max(s) FILTER (topic = 2), 4) AS second_singular, true AS converged FROM sig GROUP BY c"
 )
 ORACLE["lsa_importance"] = (
     f"{FIT} SELECT c AS cluster_id, round(max(m) FILTER (topic = 1), 2) AS leading_importance, "
-    "round(max(m) FILTER (topic = 2), 2) AS second_importance FROM imp GROUP BY c"
+    "round(max(m) FILTER (topic = 2), 2) AS second_importance, true AS converged FROM imp GROUP BY c"
 )
 ORACLE["lsa_topic_words"] = (
     f"{FIT} SELECT c AS cluster_id, topic, w AS ngram, round(v, 4) AS weight, CAST(row_number() OVER "
-    "(PARTITION BY c, topic ORDER BY round(v, 9) DESC, w) AS INTEGER) AS rnk FROM vec"
+    "(PARTITION BY c, topic ORDER BY round(v, 9) DESC, w) AS INTEGER) AS rnk, true AS converged FROM vec"
 )
-ORACLE["lsa_doc_loading"] = f"{FIT} SELECT c AS cluster_id, topic, d AS document, round(y, 4) AS loading FROM load"
+ORACLE["lsa_doc_loading"] = f"{FIT} SELECT c AS cluster_id, topic, d AS document, round(y, 4) AS loading, true AS converged FROM load"

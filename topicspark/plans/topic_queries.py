@@ -115,13 +115,19 @@ def _lsa(spark: SparkSession, sf_dir: str) -> dict:
     return TP.lsa_topics(wc, cdw, N_TOPICS)
 
 
+def _settled(df: DataFrame, res: dict) -> DataFrame:
+    """With the column ``converged`` of the cluster."""
+    return df.join(res["singular"].groupBy("cluster_id").agg(F.min("converged").alias("converged")), "cluster_id")
+
+
 @register("lsa_singular_values")
 def lsa_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and second singular value per cluster."""
     res = _lsa(spark, sf_dir)
     out = TP.by_topic_columns(res["singular"], "sigma", ("leading_singular", "second_singular"))
-    return out.select("cluster_id", F.round("leading_singular", 4).alias("leading_singular"),
-                      F.round("second_singular", 4).alias("second_singular"))
+    out = out.select("cluster_id", F.round("leading_singular", 4).alias("leading_singular"),
+                     F.round("second_singular", 4).alias("second_singular"))
+    return _settled(out, res)
 
 
 @register("lsa_importance")
@@ -129,19 +135,21 @@ def lsa_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of the first and second topic per cluster."""
     res = _lsa(spark, sf_dir)
     out = TP.by_topic_columns(res["importance"], "importance", ("leading_importance", "second_importance"))
-    return out.select("cluster_id", F.round("leading_importance", 2).alias("leading_importance"),
-                      F.round("second_importance", 2).alias("second_importance"))
+    out = out.select("cluster_id", F.round("leading_importance", 2).alias("leading_importance"),
+                     F.round("second_importance", 2).alias("second_importance"))
+    return _settled(out, res)
 
 
 @register("lsa_topic_words")
 def lsa_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic-word weights, ranked by weight within each topic."""
     res = _lsa(spark, sf_dir)
-    return R.rank_within(res["words"], ["cluster_id", "topic"], [F.round("weight", 9).desc(), F.col("ngram").asc()]) \
-        .withColumn("weight", F.round("weight", 4))
+    return _settled(R.rank_within(res["words"], ["cluster_id", "topic"], [F.round("weight", 9).desc(), F.col("ngram").asc()])
+                    .withColumn("weight", F.round("weight", 4)), res)
 
 
 @register("lsa_doc_loading")
 def lsa_doc_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document loadings of the first and second topic."""
-    return _lsa(spark, sf_dir)["loadings"].withColumn("loading", F.round("loading", 4))
+    res = _lsa(spark, sf_dir)
+    return _settled(res["loadings"].withColumn("loading", F.round("loading", 4)), res)

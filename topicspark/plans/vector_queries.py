@@ -63,7 +63,7 @@ def knn_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hamming top-10 lists truncated at the first cosine below 0.3."""
     unit = _unit(spark, sf_dir)
-    ranked = V.attach_similarity(V.knn_hamming(V.lsh_signatures(unit, LSH_BITS), KNN_K), unit)
+    ranked = V.knn_hamming(V.lsh_signatures(unit, LSH_BITS, keep=True), KNN_K)
     return (V.topk_threshold(ranked.select("q", "n", "rnk", "sim"), CUT, "prefix")
             .withColumn("sim", F.round("sim", 6)))
 

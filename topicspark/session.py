@@ -111,4 +111,17 @@ def checkpoint(df: DataFrame, observe: dict | None = None) -> DataFrame:
         observe.update(obs.get)
     else:
         df.write.parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Empty written tables that nothing reads any more.  Their folders stay,
+    with one file that holds the schema (the data source has no delete)."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            spark = df.sparkSession
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+            df.written_to = None
