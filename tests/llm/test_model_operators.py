@@ -286,3 +286,21 @@ def test_words_follow_the_pattern(text):
     assert [data[s:e].tobytes().decode() for s, e, r in zip(start, end, row) if r == 0] == want
     lower = T.words(*T.text_bytes(pa.array([re.sub("[A-Z]", lambda m: m.group().lower(), text)])))[0]
     assert h[row == 0].tolist() == lower.tolist()
+
+
+def test_toxicity_predicted_on_held_out_rows(spark):
+    """The cut at 0.5 itself, not only the ranking."""
+    folder = "/root/testdata/sf0.1"
+    got = QUERIES["op10_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.85 and got[got.toxic == 0].predicted.mean() <= 0.07
+
+
+def test_toxicity_refit_lowers_the_risk():
+    rng = np.random.default_rng(1)
+    positive = np.arange(4000) < 1000
+    truth = np.where(positive, True, rng.random(4000) < 0.1)
+    z = np.where(truth, 0.5, 0.0) + 0.02 * rng.standard_normal(4000)              # shrunk values that rank well
+    gain_p, gain_u = np.where(positive, 0.1 / 1000, 0.0), np.where(positive, 0.0, 1 / 3000)
+    scale, bias = toxicity.refit(z, -2.2, gain_p, gain_u)
+    assert ((scale * z + bias >= 0) == truth).mean() > 0.99
+    assert toxicity.refit(np.zeros(10), -1.0, gain_p[:10], gain_u[:10]) == (1.0, -1.0)

@@ -4,7 +4,10 @@ Confirmed toxic texts (P) and unlabelled texts (U) train linear classifiers on
 hashed word densities.  With the class prior ``pi`` and the logistic loss, the
 risk is ``pi R_P+ + max(0, R_U- - pi R_P-)``; where the second term falls below
 zero its gradient is turned round, so it never goes far below (Kiryo et al.
-2017).  An L1 step keeps only the words that matter.
+2017).  An L1 step keeps only the words that matter; as it also shrinks their
+weights, scale and bias are fitted again under the same risk afterwards.  The
+value of a word is the root of its density, so that a long text with a word
+once is not lost beside a short one.
 
 The training rows are a bounded sample (``max_positive``, ``max_unlabelled``
 rows, chosen by a hash of the id; both bounds are parameters).  The sample is
@@ -37,13 +40,38 @@ SLICE = 4 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """``(row, bucket, value)``: hashed words, value = DENSITY * count / words."""
+    """``(row, bucket, value)``: hashed words, value = root of DENSITY * count / words."""
     h, row, _, _ = T.words(data, offsets)
     bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     key, cnt = np.unique((row << BUCKET_BITS) | bucket, return_counts=True)
     r = key >> BUCKET_BITS
     total = np.bincount(row, minlength=len(offsets) - 1)
-    return r, key & ((1 << BUCKET_BITS) - 1), DENSITY * cnt / np.maximum(total[r], 1)
+    return r, key & ((1 << BUCKET_BITS) - 1), np.sqrt(DENSITY * cnt / np.maximum(total[r], 1))
+
+
+def risk_gradient(z: np.ndarray, gain_p: np.ndarray, gain_u: np.ndarray) -> np.ndarray:
+    """Gradient of the non-negative risk by the rows' values ``z``.  ``gain_p``
+    is a row's weight in R_P+ (and, negated, in R_P-), ``gain_u`` in R_U-."""
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    loss_neg = np.logaddexp(0, z)                      # loss of calling a row negative
+    if float(gain_u @ loss_neg - gain_p @ loss_neg) >= 0:
+        return gain_p * (s - 1) + (gain_u - gain_p) * s
+    return -(gain_u - gain_p) * s                      # non-negative correction
+
+
+def refit(z: np.ndarray, bias: float, gain_p: np.ndarray, gain_u: np.ndarray, steps: int = 400,
+          rate: float = 0.05) -> tuple[float, float]:
+    """Scale of ``z`` and bias of least risk."""
+    spread = float(z.std())
+    if not spread:
+        return 1.0, bias
+    x, at, m, v = z / spread, np.array([spread, bias]), np.zeros(2), np.zeros(2)
+    for t in range(1, steps + 1):
+        g = risk_gradient(at[0] * x + at[1], gain_p, gain_u)
+        g = np.array([g @ x, g.sum()])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        at = at - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return float(at[0] / spread), float(at[1])
 
 
 def fit_nnpu(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, positive: np.ndarray,
@@ -67,13 +95,7 @@ def fit_nnpu(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, positive: n
     gain_u = np.where(positive, 0.0, 1.0 / n_u)
     for t in range(1, steps + 1):
         z = b + np.bincount(row, weights=w[col] * value, minlength=n)
-        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss_neg = np.logaddexp(0, z)                  # loss of calling a row negative
-        inner = float(gain_u @ loss_neg - gain_p @ loss_neg)
-        if inner >= 0:
-            g = gain_p * (s - 1) + (gain_u - gain_p) * s
-        else:                                          # non-negative correction
-            g = -(gain_u - gain_p) * s
+        g = risk_gradient(z, gain_p, gain_u)
         gw = np.bincount(col, weights=g[row] * value, minlength=len(seen)) * live
         gb = float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -84,7 +106,8 @@ def fit_nnpu(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, positive: n
         w = np.sign(w) * np.maximum(np.abs(w) - scale * l1, 0)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-4)
     kept = w != 0
-    return seen[kept], w[kept], b
+    scale, b = refit(np.bincount(row, weights=w[col] * value, minlength=n), b, gain_p, gain_u)
+    return seen[kept], w[kept] * scale, b
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
@@ -147,11 +170,9 @@ def score_texts(col: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     if not np.isfinite(bias):
         return out
     for i, j in T.slices(off, SLICE):
-        h, row, _, _ = T.words(data[off[i]:off[j]], off[i:j + 1] - off[i])
-        hit = table[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        # sums in word order of the row alone, so equal texts score alike
-        total = np.bincount(row, minlength=j - i)
-        z = bias + DENSITY * np.bincount(row, weights=hit, minlength=j - i) / np.maximum(total, 1)
+        row, bucket, value = features(data[off[i]:off[j]], off[i:j + 1] - off[i])
+        # sums in bucket order of the row alone, so equal texts score alike
+        z = bias + np.bincount(row, weights=table[bucket] * value, minlength=j - i)
         out[i:j] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     return out
 
