@@ -9,9 +9,9 @@
    codes: the code is a polynomial, so an edit changes it by a term and a shift
    of the rest.  Of two neighbours the one with the larger code finds the
    other, so half of the codes are kept.
-4. Codes that belong to no word are left out early by a bit table of fixed size
-   (``filter_bits``); where it fills up it lets more through, and the join
-   decides.  The rest is joined with the codes of the vocabulary.
+4. Codes that belong to no word are left out early by a bit table of 64 bits a
+   word, at most ``filter_bits``; where it fills up it lets more through, and
+   the join decides.  The rest is joined with the codes of the vocabulary.
 5. The pairs are verified on the original words.
 
 Defined results: null texts hold no words; a null id counts as an empty one in
@@ -38,7 +38,7 @@ from topicspark.llm.common import checkpoint
 LETTERS = "A-Za-zÀ-ÿ"      # fixed by the contract
 SHORTEST, TWICE, CUT, RATIO = 7, 2, 31, 10
 SYMBOLS = 8
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 27                # bits of the table at most; 64 a word below that
 SEGMENT = 1 << 16
 STRETCH = 1 << 20                    # characters of a text taken at a time
 FLUSH = 1 << 17                      # different words a task holds before it passes them on
@@ -241,6 +241,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS, bits: int = FILTER_BITS) -> DataFrame:
     """``(a, b, an, bn)``: the pairs ``a < b`` of ``words (word, n, code)`` one
     edit apart, with their counts."""
+    bits = min(bits, 1 << max(10, (64 * words.count() - 1).bit_length()))
     shared = words.sparkSession.sparkContext.broadcast(bit_table(words, bits))
 
     def joined(some: DataFrame) -> DataFrame:
