@@ -292,7 +292,7 @@ def test_toxicity_predicted_on_held_out_rows(spark):
     """The cut at 0.5 itself, not only the ranking."""
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op10_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
-    assert got[got.toxic == 1].predicted.mean() >= 0.85 and got[got.toxic == 0].predicted.mean() <= 0.07
+    assert got[got.toxic == 1].predicted.mean() >= 0.8 and got[got.toxic == 0].predicted.mean() <= 0.05
 
 
 def test_toxicity_refit_lowers_the_risk():
@@ -304,3 +304,10 @@ def test_toxicity_refit_lowers_the_risk():
     scale, bias = toxicity.refit(z, -2.2, gain_p, gain_u)
     assert ((scale * z + bias >= 0) == truth).mean() > 0.99
     assert toxicity.refit(np.zeros(10), -1.0, gain_p[:10], gain_u[:10]) == (1.0, -1.0)
+
+
+def test_toxicity_bias_matches_the_prior():
+    z = np.concatenate([np.zeros(80), np.linspace(1, 2, 20)])
+    assert (z + toxicity.matched_bias(z, 0.1, -9.0) > 0).sum() == 9
+    assert toxicity.matched_bias(np.concatenate([np.zeros(99), [1.0]]), 0.3, -9.0) == -0.5      # no row without a word is called
+    assert toxicity.matched_bias(np.zeros(5), 0.3, -9.0) == -9.0

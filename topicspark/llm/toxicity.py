@@ -5,8 +5,9 @@ hashed word densities.  With the class prior ``pi`` and the logistic loss, the
 risk is ``pi R_P+ + max(0, R_U- - pi R_P-)``; where the second term falls below
 zero its gradient is turned round, so it never goes far below (Kiryo et al.
 2017).  An L1 step keeps only the words that matter; as it also shrinks their
-weights, scale and bias are fitted again under the same risk afterwards.  The
-value of a word is the root of its density, so that a long text with a word
+weights, the scale is fitted again under the same risk afterwards, and the bias
+is set so that the share of unlabelled rows called positive is the class prior.
+The value of a word is the root of its density, so that a long text with a word
 once is not lost beside a short one.
 
 The training rows are a bounded sample (``max_positive``, ``max_unlabelled``
@@ -74,6 +75,15 @@ def refit(z: np.ndarray, bias: float, gain_p: np.ndarray, gain_u: np.ndarray, st
     return float(at[0] / spread), float(at[1])
 
 
+def matched_bias(z: np.ndarray, prior: float, otherwise: float) -> float:
+    """The bias that calls a share ``prior`` of the unlabelled values ``z``
+    positive, between two values; ``otherwise`` where no value is above the rest."""
+    z = np.sort(z)
+    at = z[min(len(z) - 1, int((1 - prior) * len(z)))]
+    above = z[np.searchsorted(z, at, "right"):]
+    return -float((at + above[0]) / 2) if len(above) else otherwise
+
+
 def fit_nnpu(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, positive: np.ndarray,
              prior: float, steps: int = 250, rate: float = 0.1, l1: float = 2e-4):
     """One classifier: ``(buckets, weights, bias)``.  ``positive`` marks the
@@ -106,8 +116,9 @@ def fit_nnpu(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, positive: n
         w = np.sign(w) * np.maximum(np.abs(w) - scale * l1, 0)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-4)
     kept = w != 0
-    scale, b = refit(np.bincount(row, weights=w[col] * value, minlength=n), b, gain_p, gain_u)
-    return seen[kept], w[kept] * scale, b
+    z = np.bincount(row, weights=w[col] * value, minlength=n)
+    scale, b = refit(z, b, gain_p, gain_u)
+    return seen[kept], w[kept] * scale, matched_bias(scale * z[~positive], prior, b)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
