@@ -204,12 +204,55 @@ def test_bpe_query_and_edges(spark, edge):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
-def test_bpe_heap_and_query_agree():
+def test_bpe_long_pieces_equal_tiktoken():
+    """Pieces without a limit, cut and uncut, whose merges open pairs of lower rank, overlap and repeat."""
+    import random
+    import tiktoken
+    path, pattern = bpe.defaults()
+    codec = bpe.Codec.of(path, pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(11)
+    parts = ["the", "ing", "ation", "xx", "aaa", "ther", "zq", "é", "漢字", "ss", "ment", "w", "anan"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(40, 400))) for _ in range(60)]
+    texts += ["x" * n for n in (95, 96, 97, 500, 4001)] + [" " * 300, "ab" * 300, "aab" * 100, "".join(rng.choice("etaoin") for _ in range(20000))]
+    for t in texts:
+        ids, off = codec.encode([t])
+        assert ids.tolist() == enc.encode_ordinary(t)
+        assert codec.decode(ids, off) == [t.encode()]
+    raw = texts[0].encode()
+    assert b"".join(codec.cut(raw)) == raw
+    whole = codec.recursion([raw], bpe._STEP_LONG, 32)[0].tolist()             # without the cuts
+    assert whole == [int(i) for i in np.frombuffer(codec.encode_long(raw), "<i4")]
+
+
+def test_bpe_query_equals_the_library(spark):
+    import tiktoken
+    path, pattern = bpe.defaults()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = {r.doc_id: r for r in QUERIES["op8_byte_bpe"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        assert got[r.doc_id].n_tokens == len(ids)
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_bpe_of_a_very_long_text():
     codec = bpe.Codec.of(*bpe.defaults())
-    for piece in ("abracadabra", "theththethe", "unbelievablyy", "ıııııııı"):
-        raw = piece.encode()
-        if raw not in codec.ranks:
-            assert codec.encode_pieces([piece])[0] == codec.contract(raw).astype("<i4").tobytes()
+    text = "".join(f"Der alte Mann {i % 9973} liest, " for i in range(2_000_000))
+    assert len(text) > 50_000_000
+    ids, off = codec.encode([text])
+    assert codec.decode(ids, off)[0] == text.encode()
+    assert bpe.digests(ids[:3 * bpe.DECODE_ROWS], np.array([0, 0, 3 * bpe.DECODE_ROWS]))[1]["ids_sha256"].as_py() == \
+        hashlib.sha256(" ".join(map(str, ids[:3 * bpe.DECODE_ROWS].tolist())).encode()).hexdigest()
+
+
+def test_bpe_steps_on_an_empty_table_and_null_ids(spark, empty):
+    path, pattern = bpe.defaults()
+    rows = bpe.with_ids(empty, path, pattern)
+    assert bpe.with_bytes(bpe.with_id_digest(rows), path, pattern).count() == 0
+    got = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
+    got = bpe.with_bytes(bpe.with_id_digest(got), path, pattern).collect()
+    assert {bytes(r.decoded) for r in got} == {b""} and {r.ids_digest.n_tokens for r in got} == {0}
 
 
 # ------------------------------------------------------------------ 10

@@ -90,8 +90,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, and the bytes decoded from them."""
     path, pattern = bpe.defaults()
-    got = bpe.with_ids(_docs(spark, sf_dir), path, pattern).select("doc_id", "ids")
-    got = bpe.with_bytes(bpe.with_id_digest(got), path, pattern)
+    got = bpe.with_codes(_docs(spark, sf_dir), path, pattern, digest="ids_digest", decoded="decoded")
     return got.select("doc_id", "ids_digest.n_tokens", "ids_digest.ids_sha256",
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
