@@ -4,8 +4,8 @@ All three procedures of the reference are greedy claiming in a fixed order,
 so all run on the rank-peel kernel: sequential (ids in order), seeded (seeds
 first, in the given order) and one hierarchical merge round (clusters in
 order, each list = itself plus its nearest other cluster above the
-threshold).  The hierarchical loop repeats centroids -> nearest neighbour ->
-merge round with a checkpoint per round.
+threshold).  The hierarchical loop keeps centroids and nearest neighbours
+between its rounds and renews those that a merge touched.
 """
 
 from __future__ import annotations
@@ -17,18 +17,27 @@ from pyspark.sql import functions as F
 
 from topicspark.functions.vector import l2_norm
 from topicspark.operators import vectors as V
+from topicspark.operators.blockscan import topk
 from topicspark.operators.peel import rank_peel
 from topicspark.operators.ranking import with_global_index
+from topicspark.operators.report import rank_within
 from topicspark.session import checkpoint
 
 
+def tuned_size(vectors: DataFrame, target: float = 0.9, default: int = 32, n_queries: int = 1000) -> int:
+    """The number of bits that the size search finds on these vectors."""
+    return V.tuned_bits(V.lsh_tuning(vectors, target, n_queries=n_queries), default)
+
+
 def neighbor_lists(vectors: DataFrame, k: int, method: str = "exact", cut: float = 0.3,
-                   nbits: int = 32, seed: int = 42) -> DataFrame:
+                   nbits: int | None = 32, seed: int = 42, target: float = 0.9) -> DataFrame:
     """The top-k list of every point as edges ``(u, v)`` (u's own row included).
 
     ``exact``: cosine top-k, no cut.  ``lsh``: Hamming top-k over ``nbits``
-    sign bits, truncated at the first cosine below ``cut`` (the query itself
-    always stays in its list)."""
+    sign bits (None: as many as the size search finds for ``target``), truncated
+    at the first cosine below ``cut`` (the query itself always stays in its list)."""
+    if method == "lsh" and nbits is None:
+        nbits = tuned_size(vectors, target)
     if method == "exact":
         ranked = V.knn_exact(vectors, k)
     elif method == "lsh":
@@ -97,22 +106,89 @@ def singletons(vectors: DataFrame) -> DataFrame:
     return with_global_index(vectors.select("vec_id"), [F.col("vec_id").asc()], "cluster_id")
 
 
-def hierarchical_cluster(vectors: DataFrame, K: int, threshold: float = 0.5, min_merges: int = 10, **kw) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _xv(cents: DataFrame) -> DataFrame:
+    return cents.select(F.col("cluster_id").alias("id"), F.col("v").alias("x"))
+
+
+def _nearest(queries: DataFrame, candidates: DataFrame, **kw) -> DataFrame:
+    """``(q, n, sim)``: each query's nearest other candidate, ties by id."""
+    return topk(_xv(queries), _xv(candidates), 1, "cosine", "exclude", **kw).select("q", "n", F.col("score").alias("sim"))
+
+
+def _nearest_hashed(cents: DataFrame, nbits: int | None, target: float, **kw) -> DataFrame:
+    """``(q, n, sim)``: the Hamming-nearest other centroid and its cosine."""
+    points = cents.select(F.col("cluster_id").alias("vec_id"), "v")
+    bits = tuned_size(points, target) if nbits is None else nbits
+    return V.knn_hamming(V.lsh_signatures(points, bits, keep=True), 1, "exclude", **kw).select("q", "n", "sim")
+
+
+def _updated(nn: DataFrame, cents: DataFrame, changed: DataFrame, removed: DataFrame, **kw) -> DataFrame:
+    """The nearest-neighbour table after a round.  Only the changed clusters,
+    and those whose nearest one changed or went, search among all; the others
+    compare what they have with the changed clusters."""
+    gone = changed.unionByName(removed)
+    left = nn.join(removed.withColumnRenamed("cluster_id", "q"), "q", "left_anti")
+    stale = checkpoint(changed.unionByName(
+        left.join(gone.withColumnRenamed("cluster_id", "n"), "n", "left_semi").select(F.col("q").alias("cluster_id"))).distinct())
+    kept = checkpoint(left.join(stale.withColumnRenamed("cluster_id", "q"), "q", "left_anti"))
+    searched = _nearest(checkpoint(cents.join(stale, "cluster_id", "left_semi")), cents, **kw)
+    calm = checkpoint(cents.join(kept.select(F.col("q").alias("cluster_id")), "cluster_id", "left_semi"))
+    offered = _nearest(calm, checkpoint(cents.join(changed, "cluster_id", "left_semi")), **kw)
+    first = F.struct((-F.col("sim")).alias("far"), "n")
+    best = kept.unionByName(offered).groupBy("q").agg(F.min(first).alias("b")) \
+        .select("q", F.col("b.n").alias("n"), (-F.col("b.far")).alias("sim"))
+    return best.unionByName(searched)
+
+
+def hierarchical_cluster(vectors: DataFrame, K: int, threshold: float = 0.5, min_merges: int = 10, method: str = "exact",
+                         hash_above: int = 20_000, nbits: int | None = None, target: float = 0.9,
+                         **kw) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Merge rounds until at most ``K`` clusters remain or a round merges
     fewer than ``min_merges`` clusters (``K`` is tested between rounds, so
     the result may drop below it).  Returns the members and the cluster
-    count before/after each round."""
+    count before/after each round.
+
+    A cluster keeps the number of its first point, in whose order clusters are
+    visited, until the end; so centroids and nearest neighbours of clusters that
+    did not change are kept from round to round, and a round searches for the
+    changed ones only.  ``method="lsh"``: rounds of more than ``hash_above``
+    clusters take the nearest centroid by Hamming distance over ``nbits`` sign
+    bits (None: the size search of each round, at ``target``) and its cosine;
+    later ones are exact.
+    """
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unknown method {method}")
     members = checkpoint(singletons(vectors))
     m = members.count()
-    history = []
+    cents, nn, history = None, None, []
     while m > K:
-        members = checkpoint(merge_round(members, vectors, threshold, **kw))
-        m_new = members.select(F.countDistinct("cluster_id")).first()[0]
-        history.append((m, m_new))
-        merged, m = m - m_new, m_new
+        if cents is None:
+            cents = checkpoint(centroids(members, vectors))
+        if method == "lsh" and m > hash_above:
+            nn, exact = checkpoint(_nearest_hashed(cents, nbits, target, **kw)), False
+        elif nn is None or not exact:
+            nn, exact = checkpoint(_nearest(cents, cents, **kw)), True
+        edges = nn.where(F.col("sim") > threshold).select(F.col("q").alias("u"), F.col("n").alias("v"))
+        ids = members.select(F.col("cluster_id").alias("node")).distinct().select("node", F.col("node").alias("rnk"))
+        owners = checkpoint(rank_peel(edges, ids)[0])
+        heads = owners.groupBy("cluster_id").agg(F.min("node").alias("head"))
+        moved = checkpoint(owners.join(heads, "cluster_id").where(F.col("node") != F.col("head")).select("node", "head"))
+        merged = moved.count()
+        members = checkpoint(members.join(moved.withColumnRenamed("node", "cluster_id"), "cluster_id", "left")
+                             .select("vec_id", F.coalesce("head", "cluster_id").alias("cluster_id")))
+        history.append((m, m - merged))
+        m -= merged
         if merged < min_merges:
             break
-    return members, history
+        if m > K:
+            changed = moved.select(F.col("head").alias("cluster_id")).distinct()
+            removed = moved.select(F.col("node").alias("cluster_id"))
+            fresh = centroids(members.join(changed, "cluster_id", "left_semi"), vectors)
+            cents = checkpoint(cents.join(changed.unionByName(removed), "cluster_id", "left_anti").unionByName(fresh))
+            if exact:
+                nn = checkpoint(_updated(nn, cents, changed, removed, **kw))
+    numbers = with_global_index(members.select("cluster_id").distinct(), [F.col("cluster_id").asc()], "_number")
+    return checkpoint(members.join(numbers, "cluster_id").select("vec_id", F.col("_number").alias("cluster_id"))), history
 
 
 # ------------------------------------------------------------------ C6
@@ -135,7 +211,15 @@ def word_cluster_table(methods: dict[str, DataFrame], words: DataFrame) -> DataF
 def cluster_words(word_clusters: DataFrame) -> DataFrame:
     """``(cluster_id, n_words, words)``: the words of a cluster, sorted and
     space-joined.  Meant for clusters of bounded size (C1/C2 clusters hold at
-    most ``cluster_size`` words)."""
+    most ``cluster_size`` words); ``cluster_word_pieces`` has no such limit."""
     return word_clusters.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_words"),
         F.array_join(F.array_sort(F.collect_list("ngram")), " ").alias("words"))
+
+
+def cluster_word_pieces(word_clusters: DataFrame, piece: int = 10_000) -> DataFrame:
+    """``(cluster_id, piece, n_words, words)``: the sorted words of a cluster
+    in numbered pieces of ``piece`` words; no row or task holds a whole cluster."""
+    ranked = rank_within(word_clusters.select("cluster_id", "ngram"), ["cluster_id"], [F.col("ngram").asc()])
+    return ranked.groupBy("cluster_id", F.floor((F.col("rnk") - 1) / piece).cast("long").alias("piece")).agg(
+        F.count(F.lit(1)).alias("n_words"), F.array_join(F.array_sort(F.collect_list("ngram")), " ").alias("words"))

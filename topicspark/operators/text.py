@@ -151,17 +151,22 @@ def clean_and_normalize(df: DataFrame, text_col: str = "text", id_col: str = "do
                         lexicon: DataFrame | None = None) -> DataFrame:
     """Cleaned text ``(id_col, text_col)``: tokens without stop words,
     lemmatised, joined by single spaces in their original order.  Documents
-    with no tokens (or null text) give ''.  The regrouping is per document,
-    bounded by that document's own text."""
-    toks = clean_word_tokens(df, text_col, id_col, stopwords)
-    lemmas = lemma_table(toks.select(F.col("token").alias("word")), lexicon)
+    with no tokens (or null text) give ''; rows that share an id stay apart.
+
+    The text is tokenised once, into a written array per row; the vocabulary is
+    read from it.  A row is joined with one map of those of its own words that
+    have another lemma, bounded by its text."""
+    sw = list(ENGLISH_STOP_WORDS if stopwords is None else stopwords)
+    arr = _split_contractions(split_words(strip_chars_col(F.col(text_col))))
+    rows = checkpoint(df.select(F.col(id_col), F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: ~x.isin(sw)).alias("_t"))
+                      .withColumn("_row", F.monotonically_increasing_id()))
+    lemmas = lemma_table(rows.select(F.explode(F.array_distinct("_t")).alias("word")), lexicon)
     changed = lemmas.where(F.col("lemma") != F.col("word"))   # only these need the join
-    lt = lemmatize(toks, changed)
-    joined = lt.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
-                                 lambda s: s["token"]), " ").alias(text_col))
-    return (df.select(id_col).join(joined, id_col, "left")
-            .select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+    pairs = rows.select("_row", F.explode(F.array_distinct("_t")).alias("word")).join(changed, "word")
+    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_m"))
+    done = rows.join(maps, "_row", "left")
+    text = F.array_join(F.transform("_t", lambda x: F.coalesce(F.try_element_at("_m", x), x)), " ")
+    return done.select(id_col, text.alias(text_col))
 
 
 def clean_word_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",

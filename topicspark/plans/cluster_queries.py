@@ -65,6 +65,27 @@ def hier_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members
 
 
+@register("hier_cluster_lsh")
+def hier_cluster_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 with the hashed search while more than 100 clusters remain (the
+    reference's own bound is 20 000): Hamming nearest over 256 sign bits."""
+    return C.hierarchical_cluster(unit(spark, sf_dir), HIER_K, HIER_THRESHOLD, method="lsh", hash_above=100, nbits=256)[0]
+
+
+@register("seq_cluster_tuned")
+def seq_cluster_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 over the hashed index of the size that the search finds (target 0.5)."""
+    return C.sequential_cluster(unit(spark, sf_dir), CLUSTER_SIZE, method="lsh", cut=0.3, nbits=None, target=0.5)
+
+
+@register("hier_cluster_words")
+def hier_cluster_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hierarchical cluster -> its words, in numbered pieces of 20."""
+    u = unit(spark, sf_dir)
+    members, _ = C.hierarchical_cluster(u, HIER_K, HIER_THRESHOLD)
+    return C.cluster_word_pieces(C.word_cluster(members, vector_words(spark, sf_dir, u)), 20)
+
+
 @register("centroids")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit centroids of the sequential clusters, one row per component."""

@@ -3,8 +3,9 @@ cluster is squared until one direction is left, read off, deflated, repeated."""
 
 from __future__ import annotations
 
+from topicspark.plans.cluster_oracle import HIER
 from topicspark.plans.oracle import ORACLE
-from topicspark.plans.topic_oracle import CDW
+from topicspark.plans.topic_oracle import CDW, CDW_OF
 
 SQUARINGS = 16
 
@@ -34,8 +35,7 @@ def _vector(n: int) -> list[str]:
     return parts
 
 
-FIT = ", ".join([
-    CDW,
+PARTS = [
     "big AS (SELECT cluster_id FROM wc GROUP BY 1 HAVING count(*) >= 5)",
     "used AS (SELECT cluster_id FROM cdw GROUP BY 1 HAVING count(DISTINCT document) >= 2 AND count(DISTINCT ngram) >= 2)",
     "a AS MATERIALIZED (SELECT cluster_id AS c, document AS d, ngram AS w, CAST(cnt AS DOUBLE) AS x FROM cdw "
@@ -50,12 +50,15 @@ FIT = ", ".join([
     "load AS (SELECT a.c, vec.topic, a.d, sum(a.x * vec.v) AS y FROM a JOIN vec ON vec.c = a.c AND vec.w = a.w GROUP BY 1, 2, 3)",
     "imp AS (SELECT load.c, load.topic, sum(abs(load.y)) * any_value(sig.s) AS m FROM load JOIN sig ON sig.c = load.c "
     "AND sig.topic = load.topic GROUP BY 1, 2)",
-])
+]
+FIT = ", ".join([CDW, *PARTS])
 
-ORACLE["lsa_singular_values"] = (
-    f"{FIT} SELECT c AS cluster_id, round(max(s) FILTER (topic = 1), 4) AS leading_singular, "
+SINGULAR = (
+    "SELECT c AS cluster_id, round(max(s) FILTER (topic = 1), 4) AS leading_singular, "
     "round(max(s) FILTER (topic = 2), 4) AS second_singular, true AS converged FROM sig GROUP BY c"
 )
+ORACLE["lsa_singular_values"] = f"{FIT} {SINGULAR}"
+ORACLE["lsa_singular_values_hier"] = f"{', '.join([CDW_OF.format(seq=HIER), *PARTS])} {SINGULAR}"
 ORACLE["lsa_importance"] = (
     f"{FIT} SELECT c AS cluster_id, round(max(m) FILTER (topic = 1), 2) AS leading_importance, "
     "round(max(m) FILTER (topic = 2), 2) AS second_importance, true AS converged FROM imp GROUP BY c"
@@ -65,3 +68,7 @@ ORACLE["lsa_topic_words"] = (
     "(PARTITION BY c, topic ORDER BY round(v, 9) DESC, w) AS INTEGER) AS rnk, true AS converged FROM vec"
 )
 ORACLE["lsa_doc_loading"] = f"{FIT} SELECT c AS cluster_id, topic, d AS document, round(y, 4) AS loading, true AS converged FROM load"
+ORACLE["lsa_document_topics"] = (
+    f"{FIT} SELECT d AS document, CAST(count(*) AS INTEGER) AS n_topics, string_agg(c || ':' || CAST(round(y * 100) AS BIGINT), ' ' ORDER BY c) AS loadings "
+    "FROM load WHERE topic = 1 GROUP BY d"
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicspark.plans.cluster_oracle import EXACT_LISTS, ORDER_SEEDED, SEQ, WORDS, walk_sql
+from topicspark.plans.cluster_oracle import EXACT_LISTS, HIER, ORDER_SEEDED, SEQ, WORDS, walk_sql
 from topicspark.plans.oracle import CLEAN_COUNTS_CTES, ORACLE
 
 CDW_OF = (
@@ -27,6 +27,11 @@ ORACLE["l1_importance_seeded"] = (
     "round(sum(weight), 6) AS share_sum FROM shares GROUP BY 1"
 )
 
+ORACLE["l1_importance_hier"] = (
+    f"{CDW_OF.format(seq=HIER)} SELECT cluster_id, CAST(sum(cnt) AS BIGINT) AS total, "
+    "round(sum(weight), 6) AS share_sum FROM shares GROUP BY 1"
+)
+
 ORACLE["cluster_doc_word"] = f"{CDW} SELECT cluster_id, document, ngram, cnt FROM cdw"
 ORACLE["l1_doc_loading"] = (
     f"{CDW} SELECT cluster_id, document, CAST(sum(cnt) AS BIGINT) AS loading FROM cdw GROUP BY 1, 2"

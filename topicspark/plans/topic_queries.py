@@ -9,7 +9,7 @@ from topicspark.operators import cluster as C
 from topicspark.operators import text as T
 from topicspark.operators import topics as TP
 from topicspark.operators import report as R
-from topicspark.plans.cluster_queries import CLUSTER_SIZE, SEEDS, unit
+from topicspark.plans.cluster_queries import CLUSTER_SIZE, HIER_K, HIER_THRESHOLD, SEEDS, unit
 from topicspark.plans.registry import register
 from topicspark.session import checkpoint
 from topicspark.sources import bindings, tables
@@ -44,6 +44,39 @@ def method_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return counts, checkpoint(C.word_cluster_table(methods, words))
 
 
+def hier_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts and the words of the hierarchical clusters."""
+    counts = checkpoint(T.clean_word_counts(tables.documents(spark, sf_dir))
+                        .select(F.col("doc_id").alias("document"), F.col("word").alias("ngram"), F.col("cnt").alias("count")))
+    u = unit(spark, sf_dir)
+    words = bindings.bind_vocabulary(bindings.ranked_vocabulary(counts, word_col="ngram", count_col="count"), u)
+    members, _ = C.hierarchical_cluster(u, HIER_K, HIER_THRESHOLD)
+    return counts, checkpoint(C.word_cluster(members, words))
+
+
+@register("l1_importance_hier")
+def l1_importance_hier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F0-F4 over the hierarchical clusters: cluster total and the sum of shares."""
+    return TP.l1_importance(TP.cluster_doc_word(*hier_inputs(spark, sf_dir))).withColumn("share_sum", F.round("share_sum", 6))
+
+
+@register("lsa_singular_values_hier")
+def lsa_singular_values_hier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8/R3 over the hierarchical clusters."""
+    counts, wc = hier_inputs(spark, sf_dir)
+    return _singular(TP.lsa_topics(wc, TP.cluster_doc_word(counts, wc), N_TOPICS))
+
+
+@register("lsa_document_topics")
+def lsa_document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 for LSA: one row per document with its loadings on each cluster's
+    first topic in cluster order, written ``cluster:loading in hundredths``."""
+    res = _lsa(spark, sf_dir)
+    got = R.document_topics(res["loadings"].where(F.col("topic") == 1).drop("topic"))
+    pairs = F.transform("topics", lambda t: F.concat_ws(":", t["cluster_id"], F.round(t["loading"] * 100).cast("long")))
+    return got.select("document", F.size("topics").alias("n_topics"), F.array_join(pairs, " ").alias("loadings"))
+
+
 @register("word_cluster_table")
 def word_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word with its cluster under every method."""
@@ -123,7 +156,10 @@ def _settled(df: DataFrame, res: dict) -> DataFrame:
 @register("lsa_singular_values")
 def lsa_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and second singular value per cluster."""
-    res = _lsa(spark, sf_dir)
+    return _singular(_lsa(spark, sf_dir))
+
+
+def _singular(res: dict) -> DataFrame:
     out = TP.by_topic_columns(res["singular"], "sigma", ("leading_singular", "second_singular"))
     out = out.select("cluster_id", F.round("leading_singular", 4).alias("leading_singular"),
                      F.round("second_singular", 4).alias("second_singular"))
