@@ -47,9 +47,10 @@ from pyspark.sql import functions as F
 from topicspark.llm import textio as T
 
 LONG_PIECE = 96           # below 256: a row key of the short recursion holds the position in 8 bits
-SLICE = 2 << 20           # bytes of text encoded at a time
-PIECES = 1 << 18          # pieces worked at a time
-CACHE_BYTES = 32 << 20    # pieces kept between slices of a worker
+SLICE = 4 << 20           # bytes of text encoded at a time
+STEP = 100_000           # pieces contracted in one query
+PIECES = 1 << 20          # pieces worked at a time
+CACHE_BYTES = 64 << 20    # pieces kept between slices of a worker
 ENTRY = 300               # bytes a kept piece takes besides its own
 DECODE_ROWS = 1 << 18     # token rows per decoding query
 MEMORY = "300MB"          # of DuckDB, taken only where a long piece needs it
@@ -234,7 +235,7 @@ class Codec:
         distinct = flat.dictionary.to_pylist()
         coded = [self.cache.get(p) for p in distinct]
         missing = [i for i, c in enumerate(coded) if c is None]
-        step = 20_000
+        step = STEP
         for i in range(0, len(missing), step):
             part = [distinct[k] for k in missing[i:i + step]]
             for k, p, c in zip(missing[i:i + step], part, self.encode_pieces(part)):
