@@ -138,10 +138,16 @@ def brute_components(rows, percent=75):
     return [(d, len(sets[i]), low.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
+def brute_link_counts(rows, percent=75):
+    sets = [shingle_set(t) for _, t in rows]
+    return [sum(100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets) if j != i and a and b) for i, a in enumerate(sets)]
+
+
 def test_jaccard_query_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
-    got = sorted(tuple(r) for r in QUERIES["op3_jaccard_join"](spark, SF).collect())
-    assert got == sorted(brute_components(list(zip(docs.doc_id, docs.text))))
+    rows = list(zip(docs.doc_id, docs.text))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in QUERIES["op3_jaccard_join"](spark, SF).collect())
+    assert got == sorted((*c, n) for c, n in zip(brute_components(rows), brute_link_counts(rows)))
 
 
 def test_jaccard_edges(spark, edge):
@@ -166,6 +172,26 @@ def test_jaccard_links_that_no_star_finds(spark):
     assert got == sorted(brute_components(rows))
 
 
+def test_jaccard_link_counts_in_blocks(spark, monkeypatch):
+    """Groups of copies and near copies larger than a block, next to others; long texts over several column slices."""
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(90)]
+        for i in range(25):
+            w = list(base)
+            for k in rng.choice(90, rng.integers(0, 5), replace=False):
+                w[k] = f"x{i}_{k}"
+            rows.append((100 * g + i, " ".join(w)))
+        rows += [(100 * g + 50 + i, " ".join(base)) for i in range(6)]
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got, _, _ = jaccard_join.join(docs, fragment=2000, segment=1000, count_links=True, block=8)
+    want = collections.Counter((i, n) for (i, _), n in zip(rows, brute_link_counts(rows)))
+    assert collections.Counter((r._id, r.n_links) for r in got.collect()) == want
+
+
 def test_keep_one(spark, edge):
     kept = jaccard_join.keep_one(edge)
     assert kept.columns == edge.columns

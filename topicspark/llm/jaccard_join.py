@@ -16,12 +16,16 @@ fragment counts on its own, and the counts are summed:
    holds the shingle.  The partial counts are summed per pair, and each class
    is verified against its best partner.  The number of pairs is linear in the
    occurrences however large a group is.  Rounds go on while they find links.
-4. *The rest.*  Linked pairs within one component need no more work.  For all
-   others the prefix filter over the frequency order lists candidate pairs of
-   different components, with the length and position filters, so no link
-   between different components is lost.
+4. *The rest.*  For all others the prefix filter over the frequency order lists
+   candidate pairs of different components, with the length and position
+   filters, so no link between different components is lost.
 5. *Verification* (3 and 4) counts the overlap of each pair in every fragment
    separately and sums the partial overlaps; integers decide.
+6. *Links of a document* (where asked for) are counted inside the components,
+   two blocks of classes at a time; the pairs are not listed.
+
+Partial counts leave a fragment packed by range of class ids, one row per
+fragment and range, and are summed per range.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer
 than ``size`` words give the whole sequence as one shingle; null, empty and
@@ -43,12 +47,17 @@ from pyspark.sql import functions as F
 from topicspark.llm import textio as T
 from topicspark.llm.common import arrow_rows, checkpoint, fresh
 from topicspark.llm.components import components
+from topicspark.llm.embedding_dedup import block_pairs
 
 SIZE = 5
 PERCENT = 75
 SLICE = 8 << 20
 FRAGMENT = 2_000_000      # shingles per fragment of the repeat count
 SEGMENT = 1_500_000       # shingles per fragment of the overlap counts
+BLOCK = 512               # classes of a component compared with as many at a time
+COLUMNS = 8192            # common shingles multiplied at a time
+CLASSES = 100_000         # classes whose partial counts are summed in one task, about
+MIN_RANGES = 16           # ranges of class ids at least
 ROUNDS = 3                # star rounds at most; the rest is exact whatever they found
 
 
@@ -96,8 +105,30 @@ def _batch_sets(batch, size: int):
                 np.arange(len(own)), [len(s) for s in own.values()])
 
 
-def repeat_counts(reps: DataFrame, size: int, fragments: int) -> DataFrame:
-    """``(cid, r)``: how many shingles of each class another class has too."""
+def _used(frag: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(fragment, first, end)`` of the runs of a sorted array: the fragments that occur."""
+    first = np.flatnonzero(np.append(True, frag[1:] != frag[:-1])) if len(frag) else np.zeros(0, np.int64)
+    return zip(frag[first].tolist(), first.tolist(), np.append(first[1:], len(frag)).tolist())
+
+
+def _ranges(cid: np.ndarray, ranges: int, **values: np.ndarray) -> pd.DataFrame:
+    """Partial counts of one fragment packed by range of class ids: a row per range, not per class."""
+    rng = (cid.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(rng, kind="stable")
+    cid, rng = cid[order], rng[order]
+    out = {"rng": [], "cid": [], **{k: [] for k in values}}
+    for r, a, z in _used(rng):
+        out["rng"].append(r)
+        out["cid"].append(cid[a:z].astype("<i8").tobytes())
+        for k, v in values.items():
+            out[k].append(v[order[a:z]].astype("<i8").tobytes())
+    return pd.DataFrame(out)
+
+
+def repeat_counts(reps: DataFrame, size: int, fragments: int, ranges: int) -> DataFrame:
+    """``(cid, r)``: how many shingles of each class another class has too.
+    The partial counts of a fragment travel packed by range of class ids and
+    are summed per range."""
     def kernel(batch):
         for cids, h, owner in _batch_sets(batch, size):
             order = np.argsort(h, kind="stable")
@@ -109,25 +140,22 @@ def repeat_counts(reps: DataFrame, size: int, fragments: int) -> DataFrame:
             send = new                                     # one entry per distinct hash
             frag, low = _by_fragment(h[send], fragments), (h[send] & np.uint64(0xFFFFFFFF)).astype("<u4")
             who = np.where(twice[send], -1, owner[send]).astype("<i4")
-            cut = np.searchsorted(frag, np.arange(fragments + 1))
             rows = {"frag": [-1], "h": [b""], "d": [known.astype("<i4").tobytes()], "c": [cids.astype("<i8").tobytes()]}
-            for f in range(fragments):
-                a, z = cut[f], cut[f + 1]
-                if z > a:
-                    used, local = np.unique(who[a:z], return_inverse=True)
-                    mark = used[0] == -1
-                    ids = cids[used[1:] if mark else used]
-                    rows["frag"].append(f)
-                    rows["h"].append(low[a:z].tobytes())
-                    rows["d"].append((local - int(mark)).astype("<i2" if len(ids) < 32767 else "<i4").tobytes())
-                    rows["c"].append(ids.astype("<i8").tobytes())
+            for f, a, z in _used(frag):
+                used, local = np.unique(who[a:z], return_inverse=True)
+                mark = used[0] == -1
+                ids = cids[used[1:] if mark else used]
+                rows["frag"].append(f)
+                rows["h"].append(low[a:z].tobytes())
+                rows["d"].append((local - int(mark)).astype("<i2" if len(ids) < 32767 else "<i4").tobytes())
+                rows["c"].append(ids.astype("<i8").tobytes())
             yield rows
 
     def count(key, part: pd.DataFrame) -> pd.DataFrame:
         if int(key[0]) < 0:
             cid = np.concatenate([np.frombuffer(c, "<i8") for c in part["c"]])
             r = np.concatenate([np.frombuffer(d, "<i4") for d in part["d"]])
-            return pd.DataFrame({"cid": cid[r > 0], "r": r[r > 0].astype(np.int64)})
+            return _ranges(cid[r > 0], ranges, r=r[r > 0])
         h = np.concatenate([np.frombuffer(x, "<u4") for x in part["h"]])
         cids = [np.frombuffer(c, "<i8") for c in part["c"]]
         base = np.concatenate(([0], np.cumsum([len(c) for c in cids])))
@@ -142,11 +170,17 @@ def repeat_counts(reps: DataFrame, size: int, fragments: int) -> DataFrame:
         marked = np.repeat(np.minimum.reduceat(owner, start) < 0, size_) & (owner >= 0)
         ids = np.concatenate(cids)
         r = np.bincount(owner[hit | marked], minlength=len(ids))
-        return pd.DataFrame({"cid": ids[r > 0], "r": r[r > 0]})
+        return _ranges(ids[r > 0], ranges, r=r[r > 0])
+
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        cid, where = np.unique(np.concatenate([np.frombuffer(c, "<i8") for c in part["cid"]]), return_inverse=True)
+        r = np.bincount(where, weights=np.concatenate([np.frombuffer(x, "<i8") for x in part["r"]]))
+        return pd.DataFrame({"cid": cid, "r": r.astype(np.int64)})
 
     sent = arrow_rows(reps.select("_text"), kernel, "frag int, h binary, d binary, c binary")
     sent = sent.withColumn("salt", F.when(F.col("frag") < 0, F.pmod(F.xxhash64("c"), F.lit(64))).otherwise(0))
-    return sent.groupBy("frag", "salt").applyInPandas(count, "cid bigint, r bigint").groupBy("cid").agg(F.sum("r").alias("r"))
+    return sent.groupBy("frag", "salt").applyInPandas(count, "rng int, cid binary, r binary") \
+        .groupBy("rng").applyInPandas(total, "cid bigint, r bigint")
 
 
 def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
@@ -158,10 +192,10 @@ def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
             frag = _by_fragment(h, fragments)
             order = np.lexsort((owner, frag))
             h, owner, frag = h[order], owner[order], frag[order]
-            cut = np.searchsorted(frag, np.arange(fragments + 1))
-            yield {"frag": np.flatnonzero(np.diff(cut)),
-                   "h": [h[a:z].astype("<u8").tobytes() for a, z in zip(cut[:-1], cut[1:]) if z > a],
-                   "c": [cids[owner[a:z]].astype("<i8").tobytes() for a, z in zip(cut[:-1], cut[1:]) if z > a]}
+            runs = list(_used(frag))
+            yield {"frag": np.array([f for f, _, _ in runs], np.int32),
+                   "h": [h[a:z].astype("<u8").tobytes() for _, a, z in runs],
+                   "c": [cids[owner[a:z]].astype("<i8").tobytes() for _, a, z in runs]}
 
     def count(key, part: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in part["h"]])
@@ -185,12 +219,12 @@ def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
     return sent.groupBy("frag").applyInPandas(count, "frag int, cid bigint, h binary, f binary, w bigint")
 
 
-def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame) -> DataFrame:
+def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame, ranges: int) -> DataFrame:
     """``(a, b)``: for each class the partner of another component it shares
     most with, among the star centres of its shingles.  A shingle's centre is
     its class of the highest ``centre (cid, p)``; classes of the centre's own
     component take the highest class of another one.  Partial counts per
-    fragment are summed per pair."""
+    fragment travel packed by range of class ids and are summed per pair there."""
     rows = (seg.select("frag", "cid", "h").join(centre, "cid")
             .join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left")
             .withColumn("comp", F.coalesce("comp", "cid")))
@@ -211,12 +245,20 @@ def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame) -> DataFrame:
         hub = np.where(same, other, top)
         use = hub >= 0
         pairs, cnt = np.unique(hub[use] * len(part) + rank[use], return_counts=True)
-        return pd.DataFrame({"cid": cid[pairs % len(part)], "other": cid[pairs // len(part)], "cnt": cnt})
+        return _ranges(cid[pairs % len(part)], ranges, other=cid[pairs // len(part)], cnt=cnt)
 
-    return (rows.groupBy("frag").applyInPandas(count, "cid bigint, other bigint, cnt bigint")
-            .groupBy("cid", "other").agg(F.sum("cnt").alias("cnt"))
-            .groupBy("cid").agg(F.max(F.struct("cnt", "other")).alias("best"))
-            .select(F.least("cid", "best.other").alias("a"), F.greatest("cid", "best.other").alias("b")).distinct())
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        cid, other, cnt = (np.concatenate([np.frombuffer(x, "<i8") for x in part[c]]) for c in ("cid", "other", "cnt"))
+        order = np.lexsort((other, cid))
+        cid, other, cnt = cid[order], other[order], cnt[order]
+        start = np.flatnonzero(np.append(True, (cid[1:] != cid[:-1]) | (other[1:] != other[:-1])))
+        cid, other, cnt = cid[start], other[start], np.add.reduceat(cnt, start)
+        order = np.lexsort((other, cnt, cid))
+        last = order[np.append(cid[order][1:] != cid[order][:-1], True)]
+        return pd.DataFrame({"a": np.minimum(cid[last], other[last]), "b": np.maximum(cid[last], other[last])})
+
+    return (rows.groupBy("frag").applyInPandas(count, "rng int, cid binary, other binary, cnt binary")
+            .groupBy("rng").applyInPandas(best, "a bigint, b bigint").distinct())
 
 
 def verify(pairs: DataFrame, seg: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -306,15 +348,60 @@ def cross_candidates(seg: DataFrame, sizes: DataFrame, comp: DataFrame, percent:
             .applyInPandas(pair, "a bigint, b bigint").distinct())
 
 
+def link_counts(seg: DataFrame, sizes: DataFrame, comp: DataFrame, copies: DataFrame, percent: int, block: int) -> DataFrame:
+    """``(cid, links)``: the documents of other classes that each class is
+    linked with, counted inside its component in pairs of blocks of ``block``
+    classes.  A task multiplies two blocks shingle by shingle and returns one
+    number per class; no pairs are listed."""
+    sets = (seg.join(comp.select(F.col("node").alias("cid"), "comp"), "cid").groupBy("cid", "comp").agg(F.collect_list("h").alias("h"))
+            .join(sizes.select("cid", "n"), "cid").join(copies, "cid").select("comp", "cid", "n", "copies", "h"))
+
+    def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(b"".join(hs), "<u8") for hs in part["h"]]
+        return np.repeat(np.arange(len(part)), [len(e) for e in each]), np.concatenate(each)
+
+    def count(key, part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["blk"] == key[0]], part[part["blk"] == key[1]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cid": [], "links": []}).astype("int64")
+        (lrow, lh), (rrow, rh) = matrix(left), matrix(right)
+        both = np.intersect1d(lh, rh)
+        lat, rat = np.searchsorted(both, lh), np.searchsorted(both, rh)
+        lin = (lat < len(both)) & (both[np.minimum(lat, len(both) - 1)] == lh) if len(both) else np.zeros(len(lh), bool)
+        rin = (rat < len(both)) & (both[np.minimum(rat, len(both) - 1)] == rh) if len(both) else np.zeros(len(rh), bool)
+        lrow, lat, rrow, rat = lrow[lin], lat[lin], rrow[rin], rat[rin]
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        for s in range(0, len(both), COLUMNS):                     # the common shingles some at a time
+            a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            on, of = (lat >= s) & (lat < s + COLUMNS), (rat >= s) & (rat < s + COLUMNS)
+            a[lrow[on], lat[on] - s] = 1
+            b[rrow[of], rat[of] - s] = 1
+            overlap += a @ b.T
+        o = overlap.astype(np.int64)
+        union = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - o
+        hit = (100 * o >= percent * union) & (left["comp"].to_numpy()[:, None] == right["comp"].to_numpy()[None, :])
+        hit &= left["cid"].to_numpy()[:, None] != right["cid"].to_numpy()[None, :]
+        out = [pd.DataFrame({"cid": left["cid"], "links": hit @ right["copies"].to_numpy()})]
+        if key[0] != key[1]:
+            out.append(pd.DataFrame({"cid": right["cid"], "links": hit.T @ left["copies"].to_numpy()}))
+        return pd.concat(out)
+
+    return (block_pairs(sets, "comp", block).groupBy("x", "y").applyInPandas(count, "cid bigint, links bigint")
+            .groupBy("cid").agg(F.sum("links").alias("links")))
+
+
 def spark_empty(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: int = FRAGMENT,
-         segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+         segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text",
+         count_links: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, links, comps)``: rows ``(_rk, _id, n, cid)`` of all documents,
-    verified links ``(a, b)`` between classes, components ``(node, comp)`` of
-    the linked classes."""
+    verified links ``(a, b)`` between classes that span the components, and the
+    components ``(node, comp)`` of the linked classes.  With ``count_links``
+    the rows have ``n_links``, the other documents linked with each: its copies
+    and, counted exactly in blocks, the documents of every linked class."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"))
     rows = checkpoint(classes(base, size))
@@ -323,7 +410,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: in
     copies = checkpoint(first.where((F.col("_rk") != F.col("_first")) | (F.col("n") == 0)).select("_rk").distinct())
     reps = base.join(copies, "_rk", "left_anti")
     total = sizes_all.agg(F.sum("n")).first()[0] or 0
-    counts = repeat_counts(reps, size, max(1, -(-total // fragment)))
+    ranges = max(MIN_RANGES, -(-sizes_all.count() // CLASSES))
+    counts = repeat_counts(reps, size, max(1, -(-total // fragment)), ranges)
     kept = checkpoint(counts.join(sizes_all, "cid").where(100 * F.col("r") >= percent * F.col("n"))
                       .select("cid", "_rk", "n"))
     left = kept.agg(F.sum("n")).first()[0] or 0
@@ -336,7 +424,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: in
     links = spark_empty(docs, "a bigint, b bigint")
     comp = spark_empty(docs, "node bigint, comp bigint")
     for _ in range(ROUNDS):
-        new = checkpoint(verify(stars(seg, centre, comp), seg, kept, percent))
+        new = checkpoint(verify(stars(seg, centre, comp, ranges), seg, kept, percent))
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -346,6 +434,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: in
     links = links.unionByName(more)
     if not more.isEmpty():
         comp = checkpoint(components(links))
+    if count_links:
+        copies = checkpoint(rows.groupBy("cid").agg(F.count(F.lit(1)).alias("copies")))
+        found = checkpoint(link_counts(seg, kept, comp, copies, percent, block))
+        known = copies.join(found, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
+        rows = rows.join(known, "cid", "left").select(
+            "_rk", "_id", "n", "cid", F.when(F.col("n") > 0, F.col("_links")).otherwise(0).cast("bigint").alias("n_links"))
     return rows, links, comp
 
 

@@ -45,8 +45,9 @@ o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.
       GROUP BY 1, 2),
 links AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
 """ + _REACH + """
-SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, t.doc_id) AS component_id
-FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN low ON low.a = t.doc_id
+, many AS (SELECT a, count(*) AS n FROM ends GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, t.doc_id) AS component_id, coalesce(many.n, 0) AS n_links
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN low ON low.a = t.doc_id LEFT JOIN many ON many.a = t.doc_id
 """
 
 # operator 6: all pairs by cosine (the query reaches them through its windows and components)

@@ -45,9 +45,9 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of linked documents over all whole texts (5 words, Jaccard 0.75)."""
-    rows, _, comps = jaccard_join.join(_docs(spark, sf_dir))
+    rows, _, comps = jaccard_join.join(_docs(spark, sf_dir), count_links=True)
     got = jaccard_join.with_components(rows, comps)
-    return got.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return got.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 @query
