@@ -2,6 +2,13 @@
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` over all rows
 its predecessor kept; all but the last return the columns of ``documents``.
+
+Null and empty texts: no stage but the language stage drops them (they have no
+letter); toxicity gives them the score of a text without words, the near-copies
+stage links them with nothing, the cut leaves them as they are, and packing
+gives them no piece.  Texts of any length are worked whole.  Rows repeated with
+one id and text count once from the near-copies stage on.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
