@@ -154,3 +154,26 @@ def test_peel_is_the_same_for_any_range(spark):
     got = [{r.node: r.cluster_id for r in rank_peel(edges, ranks, w)[0].collect()} for w in (7, 1000)]
     assert got[0] == got[1]
     _check_claims(got[0], lists, {int(x): i for i, x in enumerate(order)})
+
+
+def test_hierarchical_equals_repeated_rounds(unit_small):
+    """What is kept between rounds gives what a full search in every round gives."""
+    u, X = unit_small
+    got, hist = C.hierarchical_cluster(u, 40, 0.3)
+    members, m, counts = C.singletons(u), len(X), []
+    while m > 40:
+        members = C.merge_round(members, u, 0.3)
+        after = _as_map(members)
+        counts.append((m, len(set(after.values()))))
+        merged, m = m - counts[-1][1], counts[-1][1]
+        if merged < 10:
+            break
+    assert hist == counts and _as_map(got) == after
+
+
+def test_cluster_word_pieces(spark):
+    rows = [(f"w{i:03d}", 1 if i < 25 else 2) for i in range(40)]
+    got = C.cluster_word_pieces(spark.createDataFrame(rows, "ngram string, cluster_id bigint"), 10)
+    got = {(r.cluster_id, r.piece): (r.n_words, r.words.split(" ")) for r in got.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 0): 10, (1, 1): 10, (1, 2): 5, (2, 0): 10, (2, 1): 5}
+    assert sum((got[k][1] for k in sorted(got)), []) == [r[0] for r in rows]

@@ -209,3 +209,65 @@ def test_size_search_goes_beyond_2048_bits(spark, monkeypatch):
         np.fill_diagonal(ham, nbits + 1)
         want = (ham.argmin(1) == sims.argmax(1)).mean()
         assert {r.accuracy for r in rows if r.nbits == nbits} == {round(float(want), 6)}
+
+
+def test_cleaned_text_of_repeated_ids(spark):
+    """Rows that share an id keep their own text; null and empty texts give ''."""
+    rows = [(1, "The cats sat, the dogs ran"), (1, "A cat and 3 boxes"), (2, None), (3, "the 12 !"), (4, "box cat dog")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in T.clean_and_normalize(df).collect())
+    assert got == [(1, "cat box"), (1, "cat sat dog ran"), (2, ""), (3, ""), (4, "box cat dog")]
+
+
+def _grouped(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.standard_normal((groups, dim)), n // groups, 0) + 0.05 * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_block_scan_prunes_and_stays_exact(spark):
+    """On grouped vectors most blocks are skipped, and the lists are those of brute force."""
+    from topicspark.operators import blockscan as B
+    x = _grouped(640, 12, 20, 1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    calls = []
+
+    def counting(name):
+        plain = getattr(B, name)
+        return lambda kind, balls: calls.append(balls) or plain(kind, balls)
+
+    import unittest.mock
+    with unittest.mock.patch.object(B, "_needed", counting("_needed")):
+        got = B.topk(df, df, 3, "cosine", "exclude", block_rows=32)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.q, []).append((r.rnk, r.n))
+    assert {q: [n for _, n in sorted(v)] for q, v in rows.items()} == \
+        {q: sorted(range(640), key=lambda j: (-sims[q, j], j))[:3] for q in range(640)}
+    centres, radii, owner = calls[0]
+    kth = np.sort(sims, 1)[:, -3]
+    away = np.arccos(np.clip(x @ centres.T, -1, 1)) - radii[None, :]
+    near = away <= np.arccos(kth)[:, None] + 1e-5
+    needed = np.array([near[:, owner == b].any(1) for b in range(20)])
+    assert owner.max() == 19 and needed.mean() < 0.25
+
+
+def test_hamming_scan_with_vectors_and_other_queries(spark):
+    x = _grouped(300, 10, 6, 2)
+    u = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, v array<double>")
+    sigs = V.lsh_signatures(u, 96, keep=True)
+    got = V.knn_hamming(sigs, 5, block_rows=40).toPandas()
+    s = np.array([r.sig for r in sorted(sigs.collect(), key=lambda r: r.vec_id)], np.uint64)
+    ham = np.bitwise_count(s[:, None, :] ^ s[None, :, :]).sum(2).astype(int)
+    ham_self = ham.copy()
+    np.fill_diagonal(ham_self, -1)
+    for q in range(300):
+        mine = got[got.q == q].sort_values("rnk")
+        want = sorted(range(300), key=lambda j: (ham_self[q, j], j))[:5]
+        assert mine.n.tolist() == want and mine.hamming.tolist() == [ham[q, j] for j in want]
+        np.testing.assert_allclose(mine.sim, x[want] @ x[q], atol=1e-12)
+    grown = V.lsh_signatures(u, 32).join(V.lsh_signatures(u, 96, first=32).withColumnRenamed("sig", "more"), "vec_id") \
+        .selectExpr("vec_id", "concat(sig, more) AS sig")
+    assert {r.vec_id: list(r.sig) for r in grown.collect()} == {r.vec_id: list(r.sig) for r in sigs.collect()}

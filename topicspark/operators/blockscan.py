@@ -5,13 +5,13 @@ the Hamming distance between signatures.
 
 1. Some rows (by a hash of their id) serve as pivots.  Rows are ordered by
    their nearest pivot and cut into blocks of equal size, so a block holds
-   similar rows and no hot value makes a block larger.  Each block of
-   candidates has a centre and a radius.
+   similar rows and no hot value makes a block larger.  The rows of a candidate
+   block that share a pivot have a centre and a radius.
 2. A block of queries is scanned against the candidate block of the nearest
    centre (for a self join its own block).  Each query's k-th score is then a
    bound on the distance of its neighbours.
-3. A candidate block is needed by a query block if some query is nearer to its
-   centre than bound + radius; others are never sent.  A task holds one block of
+3. A candidate block is needed by a query block if some query is nearer to one
+   of its centres than bound + radius; others are never sent.  A task holds one block of
    queries with their best ``k`` and streams the needed blocks, nearest first,
    in stripes of bounded size; inside, each query again skips the blocks that
    its bound, by then tighter, rules out.
@@ -133,7 +133,7 @@ def pivots(rows: DataFrame, kind: str, n: int) -> np.ndarray:
 
 
 def placed(rows: DataFrame, kind: str, marks: np.ndarray, size: int) -> DataFrame:
-    """``(id, vec, pay, block)``: rows in order of their nearest pivot, ``size`` to a block."""
+    """``(id, vec, pay, leaf, block)``: rows in order of their nearest pivot, ``size`` to a block."""
     metric = METRICS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +149,23 @@ def placed(rows: DataFrame, kind: str, marks: np.ndarray, size: int) -> DataFram
 
     near = rows.mapInArrow(run, "id long, vec binary, pay binary, leaf long, far double")
     got = with_global_index(near, [F.col("leaf").asc(), F.col("far").asc(), F.col("id").asc()], "idx")
-    return checkpoint(got.select("id", "vec", "pay", F.floor(F.col("idx") / size).cast("long").alias("block")))
+    return checkpoint(got.select("id", "vec", "pay", "leaf", F.floor(F.col("idx") / size).cast("long").alias("block")))
 
 
 def summaries(blocks: DataFrame, kind: str) -> DataFrame:
-    """``(block, centre, radius)``: the rows of a block lie within ``radius`` of its centre."""
+    """``(block, leaf, centre, radius)``: the rows of a block that share their
+    nearest pivot lie within ``radius`` of their centre.  A block that holds the
+    end of one group and the start of another has a ball for each."""
     metric = METRICS[kind]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = rows_of(pdf["vec"], metric.item)
         centre = metric.centre(x)
         far = max(float(metric.distance(metric.scores(x[s:s + TILE], centre[None])).max()) for s in range(0, len(x), TILE))
-        return pd.DataFrame({"block": pdf["block"][:1], "centre": [centre.tobytes()], "radius": [far + metric.slack]})
+        return pd.DataFrame({"block": pdf["block"][:1], "leaf": pdf["leaf"][:1], "centre": [centre.tobytes()], "radius": [far + metric.slack]})
 
-    return blocks.select("block", "vec").groupBy("block").applyInPandas(run, "block long, centre binary, radius double")
+    return blocks.select("block", "leaf", "vec").groupBy("block", "leaf") \
+        .applyInPandas(run, "block long, leaf long, centre binary, radius double")
 
 
 class Best:
@@ -192,16 +195,18 @@ class Best:
         self.q, self.n, self.score, self.sim = (np.concatenate([a, b[keep]]) for a, b in zip(kept, (q, n, score, sim)))
 
 
-def _scan(kind: str, k: int, apart: bool, centres: np.ndarray, radii: np.ndarray):
+def _scan(kind: str, k: int, apart: bool, balls: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """Kernel over ``(qb, stripe, kind, ord, cb, id, vec, pay, bound, tie)``
     sorted by cell: queries first, then candidate blocks, nearest first."""
     metric = METRICS[kind]
+    centres, radii, owner = balls
 
     def meet(best: Best, ids, x, pay, cb, cid, cx, cpay) -> None:
+        mine = slice(*np.searchsorted(owner, [cb, cb + 1]))
         for s in range(0, len(ids), TILE):
             rows = np.arange(s, min(len(ids), s + TILE))
             reach = metric.distance(best.bound[rows] - metric.near) if kind == "cosine" else metric.distance(best.bound[rows])
-            away = metric.distance(metric.scores(x[rows], centres[cb][None])[:, 0]) - radii[cb]
+            away = (metric.distance(metric.scores(x[rows], centres[mine])) - radii[mine]).min(1)
             rows = rows[(away <= reach + metric.slack) | np.isinf(best.bound[rows])]
             if not len(rows):
                 continue
@@ -253,20 +258,22 @@ def _scan(kind: str, k: int, apart: bool, centres: np.ndarray, radii: np.ndarray
     return run
 
 
-def _nearest_block(kind: str, centres: np.ndarray):
+def _nearest_block(kind: str, balls: tuple[np.ndarray, np.ndarray, np.ndarray]):
     metric = METRICS[kind]
+    centres, _, owner = balls
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 score = metric.scores(rows_of(batch.column(1), metric.item), centres)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.argmax(1).astype(np.int64))], names=["qb", "cb"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owner[score.argmax(1)])], names=["qb", "cb"])
     return run
 
 
-def _needed(kind: str, centres: np.ndarray, radii: np.ndarray):
+def _needed(kind: str, balls: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """``(qb, cb, ord)`` of the blocks a batch of queries needs."""
     metric = METRICS[kind]
+    centres, radii, owner = balls
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +288,7 @@ def _needed(kind: str, centres: np.ndarray, radii: np.ndarray):
                 least = bound[s:s + TILE]
                 reach = np.where(np.isinf(least), np.inf, metric.distance(np.maximum(least, -1e300) - metric.near))
                 i, j = np.nonzero(away - radii[None, :] <= reach[:, None] + metric.slack)
-                for a, b, d in zip(qb[s + i].tolist(), j.tolist(), away[i, j].tolist()):
+                for a, b, d in zip(qb[s + i].tolist(), owner[j].tolist(), away[i, j].tolist()):
                     if d < found.get((a, b), math.inf):
                         found[a, b] = d
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()),
@@ -321,8 +328,9 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int, kind: str, self_mode
         qsize = min(qsize, block_rows)
         asked = placed(qrows, kind, marks, qsize)
     qblocks = -(-qseen["n"] // qsize)
-    about = sorted(summaries(cands, kind).collect(), key=lambda r: r.block)             # MAX_BLOCKS rows at most
-    centres, radii = rows_of([bytes(r.centre) for r in about], metric.item), np.array([r.radius for r in about])
+    about = sorted(summaries(cands, kind).collect(), key=lambda r: (r.block, r.leaf))       # MAX_BLOCKS + PIVOTS rows at most
+    balls = (rows_of([bytes(r.centre) for r in about], metric.item), np.array([r.radius for r in about]),
+             np.array([r.block for r in about], np.int64))
     apart = self_mode != "none"
     unknown = asked.select(F.col("block").alias("qb"), "id", "vec", "pay", F.lit(None).cast("double").alias("bound"),
                            F.lit(None).cast("long").alias("tie"))
@@ -337,17 +345,18 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int, kind: str, self_mode
         none = met.withColumn("bound", F.lit(None).cast("double")).withColumn("tie", F.lit(None).cast("long"))
         rows = line(held, 0, F.lit(0.0), F.lit(-1).cast("long")).unionByName(line(none, 1, F.col("ord"), F.col("cb")))
         rows = rows.repartition(max(1, min(cells, 1 << 14)), "qb", "stripe").sortWithinPartitions(*where)
-        return rows.mapInArrow(_scan(kind, k, apart, centres, radii), OUT)
+        return rows.mapInArrow(_scan(kind, k, apart, balls), OUT)
 
     own = spark.range(blocks).select(F.col("id").alias("qb"), F.col("id").alias("cb")) if asked is cands else checkpoint(
-        summaries(asked, kind).select("block", "centre").mapInArrow(_nearest_block(kind, centres), "qb long, cb long"))
+        summaries(asked, kind).select("block", "centre").mapInArrow(_nearest_block(kind, balls), "qb long, cb long")
+        .groupBy("qb").agg(F.min("cb").alias("cb")))
     own = own.select("qb", "cb", F.lit(0).cast("long").alias("stripe"), F.lit(0.0).alias("ord"))
     first = checkpoint(scanned(unknown.withColumn("stripe", F.lit(0).cast("long")), own, qblocks))
     last = first.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("bound"),
                                   F.max_by("n", F.struct(-F.col("score"), "n")).alias("tie")).where(F.col("_n") == k)
     known = checkpoint(unknown.drop("bound", "tie").join(last.select(F.col("q").alias("id"), "bound", "tie"), "id", "left"))
     order = Window.partitionBy("qb").orderBy("ord", "cb")
-    pairs = known.select("qb", "vec", "bound").mapInArrow(_needed(kind, centres, radii), "qb long, cb long, ord double") \
+    pairs = known.select("qb", "vec", "bound").mapInArrow(_needed(kind, balls), "qb long, cb long, ord double") \
         .groupBy("qb", "cb").agg(F.min("ord").alias("ord")).join(own.select("qb", "cb"), ["qb", "cb"], "left_anti") \
         .withColumn("stripe", F.floor((F.row_number().over(order) - 1) * size / stripe).cast("long"))
     pairs = checkpoint(pairs, observe=(needed := {"n": F.count(F.lit(1)), "top": F.max("stripe")}))
