@@ -19,8 +19,7 @@ fragment counts on its own, and the counts are summed:
 4. *The rest.*  For all others the prefix filter over the frequency order lists
    candidate pairs of different components, with the length and position
    filters, so no link between different components is lost.
-5. *Verification* (3 and 4) counts the overlap of each pair in every fragment
-   separately and sums the partial overlaps; integers decide.
+5. *Verification* (3 and 4) counts the overlap of each pair; integers decide.
 6. *Links of a document* (where asked for) are counted inside the components,
    two blocks of classes at a time; the pairs are not listed.
 
@@ -183,10 +182,11 @@ def repeat_counts(reps: DataFrame, size: int, fragments: int, ranges: int) -> Da
         .groupBy("rng").applyInPandas(total, "cid bigint, r bigint")
 
 
-def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
-    """``(frag, cid, h, f, w)``: for each fragment and class of the remaining
-    sets its shingles that another of them has, the number of classes of each,
-    and the sum of these numbers."""
+def shared_sets(docs: DataFrame, size: int, fragments: int) -> DataFrame:
+    """``(cid, h, f, w)``: of each class of the remaining sets the shingles that
+    another of them has, the number of classes of each, and the sum of these
+    numbers.  Fragments count, and their results travel packed by range of
+    class ids; a range puts its classes together."""
     def kernel(batch):
         for cids, h, owner in _batch_sets(batch, size):
             frag = _by_fragment(h, fragments)
@@ -207,36 +207,62 @@ def segments(docs: DataFrame, size: int, fragments: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         each = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
         keep = each > 1
-        by = np.argsort(c[keep], kind="stable")
-        c, h, f = c[keep][by], h[keep][by], each[keep][by]
-        at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, int)
-        end = np.append(at[1:], len(c))
-        return pd.DataFrame({"frag": int(key[0]), "cid": c[at], "h": [h[a:z].tobytes() for a, z in zip(at, end)],
-                             "f": [f[a:z].astype("<i8").tobytes() for a, z in zip(at, end)],
-                             "w": [int(f[a:z].sum()) for a, z in zip(at, end)]})
+        return _ranges(c[keep], fragments, h=h[keep].view(np.int64), f=each[keep])
+
+    def together(part: pd.DataFrame) -> pd.DataFrame:
+        c, h, f = (np.concatenate([np.frombuffer(x, "<i8") for x in part[k]]) for k in ("cid", "h", "f"))
+        order = np.lexsort((h.view(np.uint64), c))
+        c, h, f = c[order], h[order], f[order]
+        runs = list(_used(c))
+        return pd.DataFrame({"cid": [i for i, _, _ in runs], "h": [h[a:z].tobytes() for _, a, z in runs],
+                             "f": [f[a:z].tobytes() for _, a, z in runs], "w": [int(f[a:z].sum()) for _, a, z in runs]})
 
     sent = arrow_rows(docs.select("_text"), kernel, "frag int, h binary, c binary")
-    return sent.groupBy("frag").applyInPandas(count, "frag int, cid bigint, h binary, f binary, w bigint")
+    return sent.groupBy("frag").applyInPandas(count, "rng int, cid binary, h binary, f binary") \
+        .groupBy("rng").applyInPandas(together, "cid bigint, h binary, f binary, w bigint")
 
 
-def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame, ranges: int) -> DataFrame:
+def stars(sets: DataFrame, comp: DataFrame, fragments: int, ranges: int) -> DataFrame:
     """``(a, b)``: for each class the partner of another component it shares
     most with, among the star centres of its shingles.  A shingle's centre is
-    its class of the highest ``centre (cid, p)``; classes of the centre's own
-    component take the highest class of another one.  Partial counts per
-    fragment travel packed by range of class ids and are summed per pair there."""
-    rows = (seg.select("frag", "cid", "h").join(centre, "cid")
-            .join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left")
-            .withColumn("comp", F.coalesce("comp", "cid")))
-
-    def count(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["p", "cid"], kind="stable")
-        n = np.array([len(x) // 8 for x in part["h"]])
+    its class of the highest ``p``; classes of the centre's own component take
+    the highest class of another one.  Partial counts per fragment travel
+    packed by range of class ids and are summed per pair there."""
+    rows = (sets.select("cid", "p", "h").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+            .select("cid", "p", F.coalesce("comp", "cid").alias("comp"), "h"))
+
+    def deal(batch):
+        raw, off = T.text_bytes(batch.column("h"))
+        h = np.frombuffer(raw.tobytes(), "<u8")
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(off) // 8)
+        cid, p, comp_ = (batch.column(c).to_numpy() for c in ("cid", "p", "comp"))
+        frag = _by_fragment(h, fragments)
+        order = np.argsort(frag, kind="stable")
+        h, owner, frag = h[order], owner[order], frag[order]
+        out = {"frag": [], "h": [], "d": [], "cid": [], "p": [], "comp": []}
+        for f, a, z in _used(frag):
+            who, local = np.unique(owner[a:z], return_inverse=True)
+            out["frag"].append(f)
+            out["h"].append(h[a:z].tobytes())
+            out["d"].append(local.astype("<i4").tobytes())
+            for name, v, kind in (("cid", cid, "<i8"), ("p", p, "<f8"), ("comp", comp_, "<i8")):
+                out[name].append(v[who].astype(kind).tobytes())
+        yield out
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        each = [np.frombuffer(x, "<i8") for x in part["cid"]]
+        base = np.cumsum([0] + [len(x) for x in each])
+        cid, comp_ = np.concatenate(each), np.concatenate([np.frombuffer(x, "<i8") for x in part["comp"]])
+        p = np.concatenate([np.frombuffer(x, "<f8") for x in part["p"]])
         h = np.concatenate([np.frombuffer(x, "<u8") for x in part["h"]])
-        rank = np.repeat(np.arange(len(part)), n)              # place in the order of (p, cid)
+        owner = np.concatenate([np.frombuffer(x, "<i4") + b for x, b in zip(part["d"], base)])
+        by = np.lexsort((cid, p))
+        cid, comp_ = cid[by], comp_[by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))                          # place in the order of (p, cid)
+        rank = rank[owner]
         order = np.lexsort((rank, h))
         h, rank = h[order], rank[order]
-        cid, comp_ = part["cid"].to_numpy(), part["comp"].to_numpy()
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         many = np.diff(np.append(start, len(h)))
         top = np.repeat(np.maximum.reduceat(rank, start), many)
@@ -244,8 +270,8 @@ def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame, ranges: int) -> Da
         other = np.repeat(np.maximum.reduceat(np.where(same, -1, rank), start), many)
         hub = np.where(same, other, top)
         use = hub >= 0
-        pairs, cnt = np.unique(hub[use] * len(part) + rank[use], return_counts=True)
-        return _ranges(cid[pairs % len(part)], ranges, other=cid[pairs // len(part)], cnt=cnt)
+        pairs, cnt = np.unique(hub[use] * len(cid) + rank[use], return_counts=True)
+        return _ranges(cid[pairs % len(cid)], ranges, other=cid[pairs // len(cid)], cnt=cnt)
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
         cid, other, cnt = (np.concatenate([np.frombuffer(x, "<i8") for x in part[c]]) for c in ("cid", "other", "cnt"))
@@ -257,16 +283,16 @@ def stars(seg: DataFrame, centre: DataFrame, comp: DataFrame, ranges: int) -> Da
         last = order[np.append(cid[order][1:] != cid[order][:-1], True)]
         return pd.DataFrame({"a": np.minimum(cid[last], other[last]), "b": np.maximum(cid[last], other[last])})
 
-    return (rows.groupBy("frag").applyInPandas(count, "rng int, cid binary, other binary, cnt binary")
+    sent = arrow_rows(rows, deal, "frag int, h binary, d binary, cid binary, p binary, comp binary")
+    return (sent.groupBy("frag").applyInPandas(count, "rng int, cid binary, other binary, cnt binary")
             .groupBy("rng").applyInPandas(best, "a bigint, b bigint").distinct())
 
 
-def verify(pairs: DataFrame, seg: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose Jaccard similarity is at least ``percent``:
-    partial overlaps per fragment, summed per pair."""
-    left = seg.select(F.col("cid").alias("a"), "frag", F.col("h").alias("ha"))
-    right = seg.select(F.col("cid").alias("b"), "frag", F.col("h").alias("hb"))
-    both = pairs.join(left, "a").join(right, ["b", "frag"])
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose Jaccard similarity is at least ``percent``."""
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b")
 
     def kernel(batch):
         n = batch.num_rows
@@ -279,31 +305,25 @@ def verify(pairs: DataFrame, seg: DataFrame, sizes: DataFrame, percent: int) ->
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         same = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-        yield {"a": batch.column("a"), "b": batch.column("b"), "o": np.bincount(row[1:][same], minlength=n)}
+        yield {"a": batch.column("a"), "b": batch.column("b"), "na": batch.column("na"), "nb": batch.column("nb"),
+               "o": np.bincount(row[1:][same], minlength=n)}
 
-    part = arrow_rows(both.select("a", "b", "ha", "hb"), kernel, "a bigint, b bigint, o bigint")
-    total = part.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    na = sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-    nb = sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-    return (total.join(na, "a").join(nb, "b")
-            .where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"))
+    total = arrow_rows(both.select("a", "b", "na", "nb", "ha", "hb"), kernel, "a bigint, b bigint, na bigint, nb bigint, o bigint")
+    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def cross_candidates(seg: DataFrame, sizes: DataFrame, comp: DataFrame, percent: int, buckets: int) -> DataFrame:
+def cross_candidates(sets: DataFrame, comp: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components that the prefix filter over
     the order (frequency, hash) cannot rule out.  Shingles of one class alone
     come first in that order and need no entry."""
-    sets = seg.groupBy("cid").agg(F.collect_list(F.struct("h", "f")).alias("s")).join(sizes, "cid")
     sets = sets.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left") \
-        .select("cid", "n", F.coalesce("comp", "cid").alias("comp"), F.expr("transform(s, x -> x.h)").alias("h"),
-                F.expr("transform(s, x -> x.f)").alias("f"))
+        .select("cid", "n", F.coalesce("comp", "cid").alias("comp"), "h", "f")
 
     def prefix(batch):
         out = {"tok": [], "cid": [], "n": [], "comp": [], "pos": []}
         cid, n, comp_ = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
         for i, (hs, fs) in enumerate(zip(batch.column("h").to_pylist(), batch.column("f").to_pylist())):
-            h = np.frombuffer(b"".join(hs), "<u8")
-            f = np.frombuffer(b"".join(fs), "<i8")
+            h, f = np.frombuffer(hs, "<u8"), np.frombuffer(fs, "<i8")
             alone = int(n[i]) - len(h)
             need = -(-percent * int(n[i]) // 100)
             length = int(n[i]) - need + 1 - alone
@@ -348,16 +368,16 @@ def cross_candidates(seg: DataFrame, sizes: DataFrame, comp: DataFrame, percent:
             .applyInPandas(pair, "a bigint, b bigint").distinct())
 
 
-def link_counts(seg: DataFrame, sizes: DataFrame, comp: DataFrame, copies: DataFrame, percent: int, block: int) -> DataFrame:
+def link_counts(sets: DataFrame, comp: DataFrame, copies: DataFrame, percent: int, block: int) -> DataFrame:
     """``(cid, links)``: the documents of other classes that each class is
     linked with, counted inside its component in pairs of blocks of ``block``
     classes.  A task multiplies two blocks shingle by shingle and returns one
     number per class; no pairs are listed."""
-    sets = (seg.join(comp.select(F.col("node").alias("cid"), "comp"), "cid").groupBy("cid", "comp").agg(F.collect_list("h").alias("h"))
-            .join(sizes.select("cid", "n"), "cid").join(copies, "cid").select("comp", "cid", "n", "copies", "h"))
+    sets = sets.join(comp.select(F.col("node").alias("cid"), "comp"), "cid").join(copies, "cid") \
+        .select("comp", "cid", "n", "copies", "h")
 
     def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        each = [np.frombuffer(b"".join(hs), "<u8") for hs in part["h"]]
+        each = [np.frombuffer(hs, "<u8") for hs in part["h"]]
         return np.repeat(np.arange(len(part)), [len(e) for e in each]), np.concatenate(each)
 
     def count(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -417,26 +437,25 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragment: in
     left = kept.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-left // segment))
     near = base.select("_rk", "_text").join(kept.select("_rk").distinct(), "_rk", "left_semi")
-    made = checkpoint(segments(near, size, parts))
-    seg = made.select("cid", "frag", "h", "f")
-    # the mean frequency of its shingles: an unedited text of a group comes before its edited copies
-    centre = made.groupBy("cid").agg(F.sum("w").alias("w")).join(kept, "cid").select("cid", (F.col("w") / F.col("n")).alias("p"))
+    # p: the mean frequency of its shingles, so an unedited text of a group comes before its edited copies
+    sets = checkpoint(shared_sets(near, size, parts).join(kept.select("cid", "n"), "cid")
+                      .select("cid", "n", "h", "f", (F.col("w") / F.col("n")).alias("p")))
     links = spark_empty(docs, "a bigint, b bigint")
     comp = spark_empty(docs, "node bigint, comp bigint")
     for _ in range(ROUNDS):
-        new = checkpoint(verify(stars(seg, centre, comp, ranges), seg, kept, percent))
+        new = checkpoint(verify(stars(sets, comp, parts, ranges), sets, percent))
         if new.isEmpty():
             break
         links = links.unionByName(new)
         comp = checkpoint(components(links))
-    rest = checkpoint(cross_candidates(seg, kept, comp, percent, parts * 4))
-    more = checkpoint(verify(rest, seg, kept, percent))
+    rest = checkpoint(cross_candidates(sets, comp, percent, parts * 4))
+    more = checkpoint(verify(rest, sets, percent))
     links = links.unionByName(more)
     if not more.isEmpty():
         comp = checkpoint(components(links))
     if count_links:
         copies = checkpoint(rows.groupBy("cid").agg(F.count(F.lit(1)).alias("copies")))
-        found = checkpoint(link_counts(seg, kept, comp, copies, percent, block))
+        found = checkpoint(link_counts(sets, comp, copies, percent, block))
         known = copies.join(found, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
         rows = rows.join(known, "cid", "left").select(
             "_rk", "_id", "n", "cid", F.when(F.col("n") > 0, F.col("_links")).otherwise(0).cast("bigint").alias("n_links"))
