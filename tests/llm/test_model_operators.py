@@ -193,6 +193,22 @@ def test_bpe_equals_tiktoken():
     assert codec.decode(ids, off) == [t.encode() for t in texts]
 
 
+def test_bpe_pieces_met_again_stay_in_the_cache(monkeypatch):
+    path, pattern = bpe.defaults()
+    codec = bpe.Codec(path, pattern)
+    asked = []
+    contract = codec.encode_pieces
+    monkeypatch.setattr(codec, "encode_pieces", lambda pieces: asked.extend(pieces) or contract(pieces))
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 40 * bpe.ENTRY)
+    texts = [" qwrtzp " + "zvkj" + "".join("bcdf"[i // 4 ** k % 4] for k in range(5)) for i in range(300)]
+    got = [codec.encode([t])[0].tolist() for t in texts]
+    monkeypatch.undo()
+    assert asked.count(" qwrtzp") == 1 and len(asked) == 301
+    assert len(codec.cache) + len(codec.older) < 50
+    fresh = bpe.Codec(path, pattern)
+    assert got == [fresh.encode([t])[0].tolist() for t in texts]
+
+
 def test_bpe_query_and_edges(spark, edge):
     path, pattern = bpe.defaults()
     rows = bpe.with_bytes(bpe.with_ids(edge, path, pattern), path, pattern).collect()

@@ -20,7 +20,9 @@ steps follow the different tokens of a piece, not its length.
 
 Encoding, digest and decoding are one pass of one Python worker per task, a
 slice of the rows at a time; a worker holds the vocabulary, at most
-``CACHE_BYTES`` of pieces met before, and DuckDB's rows.
+``CACHE_BYTES`` of pieces met before, and DuckDB's rows.  The pieces are kept in
+two generations: a piece met again moves to the younger one, and when that is
+full the older one goes, so frequent pieces are contracted once.
 
 Defined results: a null text counts as empty and has no tokens; decoding gives
 back the bytes of the text exactly; equal texts get equal ids; a text of any
@@ -50,7 +52,7 @@ LONG_PIECE = 96           # below 256: a row key of the short recursion holds th
 SLICE = 4 << 20           # bytes of text encoded at a time
 STEP = 100_000           # pieces contracted in one query
 PIECES = 1 << 20          # pieces worked at a time
-CACHE_BYTES = 64 << 20    # pieces kept between slices of a worker
+CACHE_BYTES = 192 << 20   # pieces kept between slices of a worker, in two generations of half of it
 ENTRY = 300               # bytes a kept piece takes besides its own
 DECODE_ROWS = 1 << 18     # token rows per decoding query
 MEMORY = "300MB"          # of DuckDB, taken only where a long piece needs it
@@ -142,6 +144,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT id, hex FROM v")
         self.db.unregister("v")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         beside = np.zeros((256, 256), bool)
         for w in self.ranks:
@@ -229,21 +232,30 @@ class Codec:
             flush()
         return np.concatenate(out), np.concatenate(([0], np.cumsum(tokens)))
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        self.cache[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY
+
+    def known(self, piece: str) -> bytes | None:
+        ids = self.cache.get(piece)
+        if ids is None and (ids := self.older.get(piece)) is not None:
+            self.keep(piece, ids)
+        return ids
+
     def encode_lists(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in order, and their number per list."""
         flat = pa.array([p for f in found for p in f], pa.string()).dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        coded = [self.cache.get(p) for p in distinct]
+        coded = [self.known(p) for p in distinct]
         missing = [i for i, c in enumerate(coded) if c is None]
         step = STEP
         for i in range(0, len(missing), step):
             part = [distinct[k] for k in missing[i:i + step]]
             for k, p, c in zip(missing[i:i + step], part, self.encode_pieces(part)):
                 coded[k] = c
-                if self.held > CACHE_BYTES:
-                    self.cache, self.held = {}, 0
-                self.cache[p] = c
-                self.held += len(p) + len(c) + ENTRY
+                self.keep(p, c)
         values = np.frombuffer(b"".join(coded), "<i4")
         size = np.array([len(c) // 4 for c in coded], np.int64)
         start = np.cumsum(size) - size
