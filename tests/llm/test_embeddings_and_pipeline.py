@@ -55,6 +55,16 @@ def test_embedding_hot_group_and_edges(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(3)
+    one, other = rng.standard_normal(9), rng.standard_normal(9)
+    rows = [(i, [float(v) for v in x * f]) for i, (x, f) in enumerate(
+        [(one, 1.0), (one, 1e200), (one, 1e-200), (one, 1e300), (other, 1e-300), (other, 1e250), (-one, 1e200)])]
+    df = spark.createDataFrame(rows + [(7, [0.0] * 9), (8, None), (9, [])], "vec_id bigint, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df).collect()}
+    assert got == {**dict.fromkeys(range(4), (3, 0)), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_embedding_pairs_in_a_dense_cloud(spark):
     """A cloud just below the threshold fills the windows; its pairs must be found anyway."""
     rng = np.random.default_rng(4)

@@ -22,7 +22,8 @@
 
 Defined results: null vectors, vectors with null or non-finite components and
 zero vectors link with nothing; vectors of different lengths are never linked;
-equal vectors are linked; rows repeated with one id count as different rows;
+equal vectors are linked; very large and very small components neither overflow
+nor vanish; rows repeated with one id count as different rows;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -63,6 +64,16 @@ def _matrix(blobs, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f8").reshape(-1, dim)
 
 
+def scaled(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component to
+    between 1/2 and 1: no square overflows or vanishes, and no digit changes."""
+    some = size > 0
+    if not some.any():
+        return flat
+    _, exponent = np.frexp(np.maximum.reduceat(np.abs(flat), start[some]))
+    return np.ldexp(flat, -np.repeat(exponent, size[some]))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -267,6 +278,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
         size = np.array(col.value_lengths().fill_null(0), np.int64)
         flat = col.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(size)
+        flat = scaled(flat, ends - size, size)
         return pa.array([flat[e - n:e].astype("<f8").tobytes() for e, n in zip(ends, size)], pa.binary())
 
     rows = checkpoint(rows.withColumn("vec", F.when(F.col("_good"), pack(F.col("_v")))).select("id", "cid", "vec"))
