@@ -60,6 +60,20 @@ def test_lemma_rules(spark):
     assert lm["ideas"] == "ideas" and lm["glass"] == "glass"
 
 
+def test_clean_counts_shuffle_pairs_once(spark, docs):
+    """The counts are those of the cleaned text, and (document, word) pairs are
+    shuffled once, whether the lemmas are sent to the tasks or joined."""
+    more = docs.unionByName(spark.createDataFrame([(1, "cats cat women"), (10, "Boxes box, woman cats!")], docs.schema))
+    got = T.clean_word_counts(more)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    clean = T.word_frequencies(T.clean_and_normalize(more))
+    want = sorted(map(tuple, clean.groupBy("doc_id", "word").agg(F.sum("cnt")).collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    rows = T.checkpoint(T.clean_token_rows(more))
+    sent, met = (sorted(map(tuple, T.lemma_tokens(rows, sent=n).collect())) for n in (1000, 0))
+    assert sent == met and (10, 0, "box") in sent and (10, 3, "cat") in sent
+
+
 def test_stopword_list_is_fixed():
     assert len(ENGLISH_STOP_WORDS) == 198 and len(set(ENGLISH_STOP_WORDS)) == 198
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicspark.operators import text as T
 from topicspark.plans.registry import register
+from topicspark.session import checkpoint
 from topicspark.sources import bindings, tables
 
 
@@ -51,9 +52,8 @@ def lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lemma_tokens")
 def lemma_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned non-stop tokens replaced by their lemma, positions kept."""
-    toks = T.clean_word_tokens(tables.documents(spark, sf_dir))
-    lemmas = T.lemma_table(toks.select(F.col("token").alias("word")))
-    return T.lemmatize(toks, lemmas).select("doc_id", "pos", "token")
+    rows = checkpoint(T.clean_token_rows(tables.documents(spark, sf_dir)))
+    return T.lemma_tokens(rows)
 
 
 @register("clean_text")
