@@ -285,3 +285,48 @@ def test_hamming_scan_with_vectors_and_other_queries(spark):
     grown = V.lsh_signatures(u, 32).join(V.lsh_signatures(u, 96, first=32).withColumnRenamed("sig", "more"), "vec_id") \
         .selectExpr("vec_id", "concat(sig, more) AS sig")
     assert {r.vec_id: list(r.sig) for r in grown.collect()} == {r.vec_id: list(r.sig) for r in sigs.collect()}
+
+
+def _plain_em(cells, K, passes, alpha=0.1, eta=0.1, seed=42):
+    """The same steps, a row per document and cluster, without bags or chunks."""
+    import hashlib
+    start = lambda k, c, w: 0.5 + int(hashlib.md5(f"{seed}:{k}:{c}:{w}".encode()).hexdigest()[:5], 16) / (1 << 20)
+    theta, ll = {}, []
+    for c in sorted({c for c, _, _, _ in cells}):
+        mine = [x for x in cells if x[0] == c]
+        docs, words = sorted({x[1] for x in mine}), sorted({x[2] for x in mine})
+        A = np.zeros((len(docs), len(words)))
+        for _, d, w, n in mine:
+            A[docs.index(d), words.index(w)] = n
+        beta = np.array([[start(k, c, w) for w in words] for k in range(K)])
+        beta /= beta.sum(1, keepdims=True)
+        t = np.full((len(docs), K), 1 / K)
+        for p in range(passes):
+            mix = t @ beta
+            if len(ll) <= p:
+                ll.append(0.0)
+            ll[p] += (A * np.log(mix)).sum()
+            r = t[:, :, None] * beta[None] * (A / mix)[:, None, :]
+            by = r.sum(2)
+            t = (by + alpha) / (by.sum(1, keepdims=True) + K * alpha)
+            beta = r.sum(0) + eta
+            beta /= beta.sum(1, keepdims=True)
+        theta.update({(c, d): t[i] for i, d in enumerate(docs)})
+    return theta, ll
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 20])
+def test_lda_fits_a_bag_once_with_the_results_of_its_documents(spark, chunk):
+    rng = np.random.default_rng(5)
+    cells = [(c, d, f"w{c}:{w}", int(rng.integers(1, 3))) for c in (0, 1, 7) for d in range(30)
+             for w in range(4) if rng.random() < 0.4]
+    inp = spark.createDataFrame(cells, "cluster_id long, document long, ngram string, cnt long")
+    fit = L.lda_em(inp, n_topics=3, passes=6, chunk=chunk)
+    want, ll = _plain_em(cells, 3, 6)
+    got = {(r.cluster_id, r.document): np.array([r.t0, r.t1, r.t2]) for r in fit["theta"].collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    assert np.allclose(fit["loglik"], ll)
+    n = fit["shares"].count()
+    assert n < len(want) and fit["shares"].agg(F.sum("m")).first()[0] == len(want)   # a bag is fitted once
+    a, b = (sorted(map(tuple, L.topic_weights(L.doc_topics(fit[t])).collect())) for t in ("shares", "theta"))
+    assert np.allclose(a, b)
