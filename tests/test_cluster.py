@@ -177,3 +177,40 @@ def test_cluster_word_pieces(spark):
     got = {(r.cluster_id, r.piece): (r.n_words, r.words.split(" ")) for r in got.collect()}
     assert {k: v[0] for k, v in got.items()} == {(1, 0): 10, (1, 1): 10, (1, 2): 5, (2, 0): 10, (2, 1): 5}
     assert sum((got[k][1] for k in sorted(got)), []) == [r[0] for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["cosine", "hamming"])
+def test_scan_works_in_bounded_memory(kind):
+    """A block of queries meets a full block of candidates; the working memory
+    is a few tiles of scores, and the lists are those of a plain scan."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from topicspark.operators import blockscan as B
+    rng, n, k = np.random.default_rng(3), B.BLOCK_ROWS, 10
+    if kind == "cosine":
+        x = rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        x = rng.integers(0, 2 ** 32, (n, 1), dtype=np.uint64)
+    some = 1024
+
+    def part(kind_, cb, rows):
+        m, far = len(rows), pa.nulls(len(rows), pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.full(m, kind_)), pa.array(np.zeros(m)),
+             pa.array(np.full(m, cb)), pa.array(rows), pa.array([r.tobytes() for r in x[rows]], pa.binary()), pa.nulls(m, pa.binary()),
+             far, pa.nulls(m, pa.int64())], names=["qb", "stripe", "kind", "ord", "cb", "id", "vec", "pay", "bound", "tie"])
+
+    metric = B.METRICS[kind]
+    parts = [part(0, -1, np.arange(some)), part(1, 0, np.arange(n))]
+    run = B._scan(kind, k, True, (metric.centre(x)[None], np.array([1e9]), np.zeros(1, np.int64)))
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(run(iter(parts)))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    score = metric.scores(x[:some], x)
+    score[np.arange(some), np.arange(some)] = -np.inf
+    for q in range(0, some, 97):
+        assert sorted(out[out.q == q].n) == sorted(np.lexsort((np.arange(n), -score[q]))[:k])

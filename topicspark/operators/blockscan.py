@@ -41,8 +41,9 @@ BLOCK_BYTES = 1 << 22         # or this many bytes
 CELLS = 16                    # blocks that even a small table is cut into, where they keep 256 rows
 MAX_BLOCKS = 1 << 14          # candidate blocks: their centres are sent to every task
 PIVOTS = 1 << 10
-STRIPE = 1 << 20              # candidate rows that a task streams at most
-TILE = 512                    # queries scored at a time
+STRIPE = 1 << 17              # candidate rows that a task streams at most
+SPREAD = 4                    # partitions a cell (query block and stripe)
+TILE = 128                    # queries scored at a time: the working memory of a task is some tiles of scores
 OUT = "q long, n long, score double, sim double"
 
 
@@ -75,7 +76,7 @@ class Hamming:
 
     @staticmethod
     def scores(a, b):
-        out = np.zeros((len(a), len(b)), np.int64)
+        out = np.zeros((len(a), len(b)), np.int32)
         for w in range(a.shape[1]):
             out += np.bitwise_count(a[:, w][:, None] ^ b[:, w][None, :])
         return -out.astype(np.float64)
@@ -214,8 +215,10 @@ def _scan(kind: str, k: int, apart: bool, balls: tuple[np.ndarray, np.ndarray, n
             if apart:
                 score[ids[rows][:, None] == cid[None, :]] = -np.inf
             least = best.bound[rows]
-            if len(cid) > k:
-                least = np.maximum(least, np.partition(score, len(cid) - k, axis=1)[:, len(cid) - k])
+            if len(cid) > k:                       # only queries that many candidates pass need their k-th score
+                many = (score >= least[:, None] - metric.near).sum(1) > 4 * k
+                if many.any():
+                    least[many] = np.maximum(least[many], np.partition(score[many], len(cid) - k, axis=1)[:, len(cid) - k])
             i, j = np.nonzero((score >= least[:, None] - metric.near) & (score > -np.inf))
             for p in range(0, len(i), 1 << 16):
                 a, b = rows[i[p:p + (1 << 16)]], j[p:p + (1 << 16)]
@@ -344,7 +347,8 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int, kind: str, self_mode
                              "bound", "tie")
         none = met.withColumn("bound", F.lit(None).cast("double")).withColumn("tie", F.lit(None).cast("long"))
         rows = line(held, 0, F.lit(0.0), F.lit(-1).cast("long")).unionByName(line(none, 1, F.col("ord"), F.col("cb")))
-        rows = rows.repartition(max(1, min(cells, 1 << 14)), "qb", "stripe").sortWithinPartitions(*where)
+        # more partitions than cells: fewer cells meet in one task by their hash
+        rows = rows.repartition(max(1, min(SPREAD * cells, 1 << 14)), "qb", "stripe").sortWithinPartitions(*where)
         return rows.mapInArrow(_scan(kind, k, apart, balls), OUT)
 
     own = spark.range(blocks).select(F.col("id").alias("qb"), F.col("id").alias("cb")) if asked is cands else checkpoint(
