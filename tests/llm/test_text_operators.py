@@ -289,3 +289,30 @@ def test_empty_tables(spark, empty):
     assert jaccard_join.keep_one(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert sharding.shard(empty).count() == 0
+
+
+def test_working_memory_does_not_follow_the_batch():
+    """Twelve megabytes of text in one batch: the kernels of operators 1 and 3 work on slices."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from topicspark.llm import jaccard_join, repeats
+    from topicspark.llm import textio
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = pa.array([" ".join(words[rng.integers(0, 5000, 400)]) for _ in range(5200)])
+    batch = pa.record_batch({"_text": texts})
+    data, off = textio.text_bytes(texts)
+    assert len(data) > 11e6
+
+    def peak(work):
+        tracemalloc.start()
+        for _ in work():
+            pass
+        got = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got
+
+    assert peak(lambda: jaccard_join._batch_sets(batch, 5)) < 130e6
+    assert peak(lambda: [repeats._all_blocks(data, off, 100)] and []) < 60e6

@@ -50,7 +50,7 @@ from topicspark.llm.embedding_dedup import block_pairs
 
 SIZE = 5
 PERCENT = 75
-SLICE = 8 << 20
+SLICE = 4 << 20           # bytes of text worked on at a time: about 20 times as much memory in a task
 FRAGMENT = 2_000_000      # shingles per fragment of the repeat count
 SEGMENT = 1_500_000       # shingles per fragment of the overlap counts
 BLOCK = 512               # classes of a component compared with as many at a time

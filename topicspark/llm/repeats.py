@@ -46,7 +46,7 @@ from topicspark.llm.common import arrow_rows, checkpoint, fresh, release
 LENGTH = 100
 GRAM = 20
 SLICE = 8 << 20           # bytes of text whose blocks are sent together
-STRETCH = 1 << 19         # bytes of text hashed at a time
+STRETCH = 1 << 18         # bytes of text hashed at a time
 BUCKET = 1_500_000        # bytes of corpus per bucket of anchors
 _LOW = np.iinfo(np.int64).min
 
