@@ -214,3 +214,51 @@ def test_scan_works_in_bounded_memory(kind):
     score[np.arange(some), np.arange(some)] = -np.inf
     for q in range(0, some, 97):
         assert sorted(out[out.q == q].n) == sorted(np.lexsort((np.arange(n), -score[q]))[:k])
+
+
+@pytest.mark.parametrize("K,how", [(60, {}), (125, {"method": "lsh", "nbits": 96, "hash_above": 100})])
+def test_last_rounds_in_one_task_give_the_same(spark, monkeypatch, K, how):
+    """Rounds of jobs and the tail of a fixed number of clusters agree, with
+    copies, opposite vectors (a mean without direction) and a repeated id; the
+    tail writes a few tables however many rounds it works."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 6))
+    x = np.vstack([x, x[:8], -x[20:24], -x[20:24]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())]
+    u = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    want, rounds = C.hierarchical_cluster(u, K, 0.2, 1, tail=0, **how)
+    tables, write = [], C.checkpoint
+    monkeypatch.setattr(C, "checkpoint", lambda *a, **k: tables.append(a) or write(*a, **k))
+    got, hist = C.hierarchical_cluster(u, K, 0.2, 1, **how)
+    assert hist == rounds and hist and len(tables) <= 6
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_hamming_scores_work_in_the_cache():
+    """Long signatures are counted exactly, and beside the scores there are
+    only small temporaries."""
+    import tracemalloc
+
+    from topicspark.operators import blockscan as B
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 2 ** 63, (n, 1100), dtype=np.uint64) for n in (3, 5))
+    a[0], b[0] = 0, np.uint64(2 ** 64 - 1)
+    got = B.Hamming.scores(a, b)
+    assert got[0, 0] == -64 * 1100
+    assert got.tolist() == (-np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2).astype(float)).tolist()
+    a, b = rng.integers(0, 2 ** 63, (B.TILE, 2), dtype=np.uint64), rng.integers(0, 2 ** 63, (B.BLOCK_ROWS, 2), dtype=np.uint64)
+    tracemalloc.start()
+    out = B.Hamming.scores(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.2 * out.nbytes
+
+
+def test_both_methods_walk_one_table_of_lists(spark, monkeypatch):
+    from topicspark.plans import topic_queries
+    calls, lists = [], C.neighbor_lists
+    monkeypatch.setattr(C, "neighbor_lists", lambda *a, **k: calls.append(a) or lists(*a, **k))
+    table = topic_queries.method_inputs(spark, SF_SMALL)[1]
+    assert len(calls) == 1
+    assert {"sequential_cluster", "seeded_cluster"} < set(table.columns) and table.count()
