@@ -116,3 +116,19 @@ def test_superseded_tables_are_emptied(spark, tmp_path):
     path = df.written_to
     discard(df)
     assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == ["id"]
+
+
+def test_counts_of_one_row_per_word_are_not_shuffled(spark):
+    """``distinct`` counts meet the words where they are; words that come
+    twice in a cluster, or in two, count as in the general form."""
+    from topicspark.operators import lda as L
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 3), (None, "a", 5), (2, "c", 4)],
+                                   "document long, ngram string, count long")
+    wc = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("b", 1), ("d", 1), ("c", None)], "ngram string, cluster_id long")
+    for f in (TP.cluster_doc_word, L.lda_input):
+        got = f(counts, wc, distinct=True)
+        want = f(counts, wc)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
