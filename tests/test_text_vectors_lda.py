@@ -330,3 +330,14 @@ def test_lda_fits_a_bag_once_with_the_results_of_its_documents(spark, chunk):
     assert n < len(want) and fit["shares"].agg(F.sum("m")).first()[0] == len(want)   # a bag is fitted once
     a, b = (sorted(map(tuple, L.topic_weights(L.doc_topics(fit[t])).collect())) for t in ("shares", "theta"))
     assert np.allclose(a, b)
+
+
+def test_clean_words_are_the_steps_one_after_another(spark):
+    texts = ["I cannot go, gonna WANNA x", "İstanbul été ΣΣ a_b 12 x2y ² Ⅷ ٣٤", " \t\u0085", "", None,
+             "gimme...lemme gotta-be​not \U0001d7d8\U0001f600ok  z", "Cannot", "cannots"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    steps = T._split_contractions(T.split_words(T.strip_chars_col(F.col("text"))))
+    got = df.select("doc_id", T.clean_words(F.col("text")).alias("now"), steps.alias("was")).collect()
+    assert all(r.now == r.was for r in got) and got[0].now[1:3] == ["can", "not"]
+    plan = df.select(T.clean_words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert T.WHITESPACE_RE not in plan

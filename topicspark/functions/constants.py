@@ -58,6 +58,10 @@ WHITESPACE_RE = f"[{WHITESPACE_CLASS}]+"
 # numbers of any kind, underscore; no marks, no other connectors) nor white space
 CLEAN_RE = r"\p{Nd}|[^\p{L}\p{N}_" + f"{WHITESPACE_CLASS}]"
 
+# a run of what CLEAN_RE matches and of white space: all but letters, numbers
+# other than decimal digits, and underscore
+GAP_RE = r"[^\p{L}\p{Nl}\p{No}_]+"
+
 # FIXED VALUES: bounds of the index size search: bits per table are the powers
 # of two from 2^6, tables the powers from 2^1 to 2^(trial - 1).
 FIRST_TRIAL = 6

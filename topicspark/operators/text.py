@@ -20,6 +20,7 @@ from topicspark.session import checkpoint
 from topicspark.functions.constants import (
     CLEAN_RE,
     CONTRACTION_SPLITS,
+    GAP_RE,
     ENGLISH_STOP_WORDS,
     NOUN_SUFFIX_RULES,
     WHITESPACE_RE,
@@ -95,6 +96,15 @@ def _split_contractions(arr: Column) -> Column:
     return F.flatten(F.transform(arr, one))
 
 
+def clean_words(text: Column) -> Column:
+    """T4+T5 as a column: the word tokens of the cleaned text.  One regex takes
+    what T4 blanks and the white space around it together, so the split is at
+    single blanks; only texts that hold a contraction go through its splits."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, GAP_RE, " ")), " "), lambda x: x != F.lit(""))
+    found = F.exists(words, lambda x: x.isin([word for word, _ in CONTRACTION_SPLITS]))
+    return F.when(found, _split_contractions(words)).otherwise(words)
+
+
 def word_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """T5: word tokens of already cleaned text: lower, whitespace split, then the
     fixed contraction splits.  Returns ``(id_col, pos, token)``."""
@@ -143,7 +153,7 @@ def changed_lemmas(vocab: DataFrame, lexicon: DataFrame | None = None, word_col:
                               F.when(F.col("word").endswith(suf), F.concat(stem, F.lit(rep))).alias("cand")))
     exploded = vocab.where(may_change(F.col("word"))).select("word", F.inline(F.array(*cands))).where("cand is not null and cand <> ''")
     lex = (vocab if lexicon is None else lexicon.select(F.col(word_col).alias("word"))) \
-        .select(F.col("word").alias("cand")).distinct()
+        .select(F.col("word").alias("cand"))
     hits = exploded.join(lex, "cand", "left_semi")
     return hits.groupBy("word").agg(
         F.min(F.struct(F.length("cand").alias("len"), F.col("prio"), F.col("cand"))).alias("b")).select("word", F.col("b.cand").alias("lemma"))
@@ -163,7 +173,7 @@ def clean_token_rows(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     ``_t array<token>`` without the positions: the tokens of
     ``clean_word_tokens`` (null text: null)."""
     sw = list(ENGLISH_STOP_WORDS if stopwords is None else stopwords)
-    arr = _split_contractions(split_words(strip_chars_col(F.col(text_col))))
+    arr = clean_words(F.col(text_col))
     if not positions:
         return df.select(id_col, F.filter(arr, lambda x: ~x.isin(sw)).alias("_t"))
     placed = F.transform(arr, lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
@@ -203,7 +213,7 @@ def clean_and_normalize(df: DataFrame, text_col: str = "text", id_col: str = "do
     read from it.  A row is joined with one map of those of its own words that
     have another lemma, bounded by its text."""
     sw = list(ENGLISH_STOP_WORDS if stopwords is None else stopwords)
-    arr = _split_contractions(split_words(strip_chars_col(F.col(text_col))))
+    arr = clean_words(F.col(text_col))
     rows = checkpoint(df.select(F.col(id_col), F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: ~x.isin(sw)).alias("_t"))
                       .withColumn("_row", F.monotonically_increasing_id()))
     lemmas = lemma_table(rows.select(F.explode(F.array_distinct("_t")).alias("word")), lexicon)
