@@ -316,3 +316,16 @@ def test_working_memory_does_not_follow_the_batch():
 
     assert peak(lambda: jaccard_join._batch_sets(batch, 5)) < 130e6
     assert peak(lambda: [repeats._all_blocks(data, off, 100)] and []) < 60e6
+
+
+def test_item_sizes_work_in_small_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = pa.array(["two words " * 500, None, "", " x "] * 3000)
+    tracemalloc.start()
+    got = packing.item_size.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [1001, 1, 1, 2] * 3000
+    assert peak < 24e6, peak

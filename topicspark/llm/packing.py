@@ -36,7 +36,7 @@ from topicspark.operators.ranking import with_global_index
 CAPACITY = 2048
 PER_SOURCE = 2
 GROUP_ROWS = 8192
-SLICE = 8 << 20
+SLICE = 1 << 20           # bytes of text worked at a time; the working memory is some times as many
 SCHEMA = ("doc_id string, piece int, word_from bigint, word_to bigint, size bigint, bin_id bigint, "
           "bin_slot int, source string, cluster string")
 
@@ -53,7 +53,8 @@ def item_size(texts: pa.Array) -> pa.Array:
         begins[1:] &= ~inside[:-1]
         first = o[:-1][o[:-1] < len(d)]
         begins[first] |= inside[first]
-        total = np.concatenate(([0], np.cumsum(begins)))
+        total = np.zeros(len(d) + 1, np.int32)         # a text has fewer than 2^31 bytes
+        np.cumsum(begins, out=total[1:])
         out[i:j] += total[o[1:]] - total[o[:-1]]
     return pa.array(out)
 
