@@ -262,3 +262,41 @@ def test_both_methods_walk_one_table_of_lists(spark, monkeypatch):
     table = topic_queries.method_inputs(spark, SF_SMALL)[1]
     assert len(calls) == 1
     assert {"sequential_cluster", "seeded_cluster"} < set(table.columns) and table.count()
+
+
+def test_joined_query_blocks_give_the_same_lists(spark, monkeypatch):
+    from topicspark.operators import blockscan as B
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    x[200:] = x[:200] + 1e-9 * rng.normal(size=(200, 6))          # closer than single precision tells
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    seen = []
+    scan = B._scan
+    monkeypatch.setattr(B, "_scan", lambda *a: seen.append(a) or scan(*a))
+    cells = []
+    monkeypatch.setattr(B, "SPREAD", type("S", (), {"__mul__": lambda s, n: cells.append(n) or n})())
+    got = {}
+    for r in B.topk(rows, rows, 5, "cosine", "exclude", block_rows=8).collect():
+        got.setdefault(r.q, []).append((r.rnk, r.n))
+    assert cells[0] == 17                                         # 50 blocks, three of them held together
+    score = (x[:, None, :] * x[None, :, :]).sum(2)
+    np.fill_diagonal(score, -np.inf)
+    for q in range(400):
+        assert [n for _, n in sorted(got[q])] == np.lexsort((np.arange(400), -score[q]))[:5].tolist()
+
+
+def test_best_keeps_what_other_queries_hold():
+    from topicspark.operators.blockscan import Best, _same
+    rng = np.random.default_rng(1)
+    best, given = Best(np.full(6, -np.inf), np.full(6, -1), 3), []
+    for part in range(20):
+        q, n, score = rng.integers(0, 6, 9), np.arange(9) + 9 * part, rng.integers(0, 5, 9).astype(float)
+        given += list(zip(q.tolist(), n.tolist(), score.tolist()))
+        best.add(q, n, score, None)
+    q, n, score, _ = best.rows()
+    want = [r for i in range(6) for r in sorted((g for g in given if g[0] == i), key=lambda g: (-g[2], g[1]))[:3]]
+    assert list(zip(q.tolist(), n.tolist(), score.tolist())) == want
+    cid = np.array([4, 2, 4, 9])
+    i, j = _same(np.array([9, 4, 7]), cid, np.argsort(cid, kind="stable"))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 3), (1, 0), (1, 2)]
