@@ -341,3 +341,19 @@ def test_clean_words_are_the_steps_one_after_another(spark):
     assert all(r.now == r.was for r in got) and got[0].now[1:3] == ["can", "not"]
     plan = df.select(T.clean_words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert T.WHITESPACE_RE not in plan
+
+
+def test_words_are_counted_within_their_row(spark):
+    rows = spark.createDataFrame([(1, "Cats cat CAT dogs! gonna"), (2, "dog, cats"), (2, "cat"), (None, "cat"), (None, "cats cats"), (3, None), (4, "..."),
+                                  (5, "cannot be a word")], "doc_id long, text string")
+    per_row = rows.where("doc_id = 1").select(T.counted(T.clean_words(F.col("text"))).alias("e")).first()["e"]
+    assert [(e["word"], e["cnt"]) for e in per_row] == [("cat", 2), ("cats", 1), ("dogs", 1), ("gon", 1), ("na", 1)]
+    assert rows.where("doc_id = 3").select(T.counted(T.clean_words(F.col("text"))).alias("e")).first()["e"] is None
+    for sent in (1000, 0):          # lemmas sent to the tasks, or joined
+        got = sorted((r.doc_id or 0, r.word, r.cnt) for r in T.clean_word_counts(rows, sent=sent).collect())
+        assert got == [(0, "cat", 3), (1, "cat", 3), (1, "dog", 1), (1, "gon", 1), (1, "na", 1), (2, "cat", 2), (2, "dog", 1), (5, "word", 1)]
+
+
+def test_cleaned_text_is_split_once(spark):
+    plan = spark.range(1).select(T.clean_words(F.lit("a").cast("string")).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
