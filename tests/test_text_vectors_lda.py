@@ -357,3 +357,20 @@ def test_words_are_counted_within_their_row(spark):
 def test_cleaned_text_is_split_once(spark):
     plan = spark.range(1).select(T.clean_words(F.lit("a").cast("string")).alias("w"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+def test_bags_cut_from_sorted_batches_keep_every_count(spark, monkeypatch):
+    """Documents longer than an Arrow batch, null documents and documents cut by a batch's end; no lists are collected."""
+    plans, write = [], L.checkpoint
+    monkeypatch.setattr(L, "checkpoint", lambda df, **kw: plans.append(df._jdf.queryExecution().toString()) or write(df, **kw))
+    rows = [(c, d, w, 1 + (d or 0) % 3) for c in (0, 1) for d in (1, 2, 3, None) for w in "abcdefg"] + [(2, 9, "é", 4), (2, 8, "é", 4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        held, kinds = L.bags(spark.createDataFrame(rows[::-1], "cluster_id int, document long, ngram string, cnt long"))
+        got = {(r.cluster_id, r.document): [(e.ngram, e.cnt) for e in r.bag] for r in held.collect()}
+        shared = {(r.cluster_id, r.m) for r in kinds.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: sorted((w, n) for c, d, w, n in rows if (c, d) == k) for k in {r[:2] for r in rows}}
+    assert shared == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 2)}
+    assert plans and not any("collect_list" in plan for plan in plans)
