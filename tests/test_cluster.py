@@ -300,3 +300,39 @@ def test_best_keeps_what_other_queries_hold():
     cid = np.array([4, 2, 4, 9])
     i, j = _same(np.array([9, 4, 7]), cid, np.argsort(cid, kind="stable"))
     assert sorted(zip(i.tolist(), j.tolist())) == [(0, 3), (1, 0), (1, 2)]
+
+
+def test_sums_of_a_cluster_cut_by_batches(spark):
+    """Centroids of clusters longer than an Arrow batch, a zero mean and a cluster without vectors; one column of sums."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 6))
+    x[1] = -x[0]
+    ids = [9, 9] + [i % 3 for i in range(38)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    members = spark.createDataFrame([(i, c) for i, c in enumerate(ids)] + [(99, 5)], "vec_id long, cluster_id int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        sums = C.vector_sums(members, vectors)
+        assert dict(sums.dtypes) == {"cluster_id": "int", "n": "bigint", "total": "array<double>"}
+        got = {r.cluster_id: np.array(r.v) for r in C.centroids(members, vectors).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {0, 1, 2}
+    for c, v in got.items():
+        mean = x[np.array(ids) == c].mean(0)
+        np.testing.assert_allclose(v, mean / np.linalg.norm(mean), atol=1e-12)
+
+
+def test_merge_rounds_by_hash_send_signatures_and_match_in_one_range(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16)) + 3 * np.eye(16)[rng.integers(0, 16, 300)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    sent, rounds, scan, peel = [], [], V.topk, C.rank_peel
+    monkeypatch.setattr(V, "topk", lambda q, c, *a, **kw: sent.append(c.columns) or scan(q, c, *a, **kw))
+    monkeypatch.setattr(C, "rank_peel", lambda *a, **kw: (got := peel(*a, **kw), rounds.append(got[1]))[0])
+    whole = C.hierarchical_cluster(vectors, 220, 0.3, method="lsh", hash_above=100, nbits=64, tail=0)
+    assert sent and all(c == ["id", "x"] for c in sent) and set(rounds) == {1}
+    last = C.hierarchical_cluster(vectors, 220, 0.3, method="lsh", hash_above=100, nbits=64)
+    assert whole[1] == last[1]
+    assert sorted(map(tuple, whole[0].collect())) == sorted(map(tuple, last[0].collect()))
