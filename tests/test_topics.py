@@ -132,3 +132,39 @@ def test_counts_of_one_row_per_word_are_not_shuffled(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan
+
+
+def test_clusters_of_few_words_need_no_iteration(spark):
+    """They are solved from the factor of their chunks, however many it is reduced over."""
+    rng = np.random.default_rng(11)
+    rows = [(c, d, f"w{w}", float(n)) for c in (0, 1) for d in range(60) for w in range(50) if (n := rng.poisson(0.4 + (w * (c + 1) + d) % 7 / 9))]
+    rows += [(c, 1000 + d, f"w{d % 50}", float(1 + d % 3)) for c in (0, 1) for d in range(300)]      # documents with one entry
+    cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
+    got = []
+    for kw in ({}, {"chunk": 20}):
+        res = TP.lsa(cdw, 2, **kw)
+        assert res["iterations"] == 0 and all(r.converged for r in res["singular"].collect())
+        got.append((sorted((r.cluster_id, r.topic, round(r.sigma, 8)) for r in res["singular"].collect()),
+                    sorted((r.cluster_id, r.topic, r.ngram, round(r.weight, 6) + 0.0) for r in res["words"].collect()),
+                    sorted((r.cluster_id, r.topic, r.document, round(r.loading, 5) + 0.0) for r in res["loadings"].collect())))
+    assert got[0] == got[1]
+    for cid, m in _dense(cdw.toPandas()).items():
+        np.testing.assert_allclose([s for c, _, s in got[0][0] if c == cid], np.linalg.svd(m.to_numpy(float))[1][:2], rtol=1e-8)
+
+
+def test_lsa_of_small_and_large_clusters_together(spark):
+    """One run holds clusters of both kinds; a null document is one document, a cluster of one document has one topic."""
+    rng = np.random.default_rng(3)
+    rows = [(0, d, f"w{w:03d}", float(n)) for d in range(12) for w in range(160) if (n := rng.poisson(0.2 + (w + d) % 5 / 6))]
+    rows += [(1, d, f"w{w:03d}", float(1 + (d * w) % 4)) for d in range(9) for w in range(6)]
+    rows += [(1, None, "w001", 2.0), (1, None, "w005", 1.0), (2, 5, "w001", 2.0), (2, 5, "w002", 3.0)]
+    cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
+    res = TP.lsa(cdw, 2)
+    assert res["iterations"] > 0
+    sigma = {(r.cluster_id, r.topic): r.sigma for r in res["singular"].collect()}
+    pdf = cdw.toPandas()
+    for cid, m in _dense(pdf.assign(document=pdf["document"].fillna(-1))).items():
+        want = [*np.linalg.svd(m.to_numpy(float))[1], 0.0][:2]
+        np.testing.assert_allclose([sigma[cid, 1], sigma[cid, 2]], want, rtol=1e-8, atol=1e-9)
+    assert res["loadings"].where("cluster_id = 1 AND document IS NULL").count() == 2
+    assert res["loadings"].count() == 2 * (12 + 10 + 1)
