@@ -159,6 +159,8 @@ def test_lsa_of_small_and_large_clusters_together(spark):
     rows += [(1, d, f"w{w:03d}", float(1 + (d * w) % 4)) for d in range(9) for w in range(6)]
     rows += [(1, None, "w001", 2.0), (1, None, "w005", 1.0), (2, 5, "w001", 2.0), (2, 5, "w002", 3.0)]
     cdw = spark.createDataFrame(rows, "cluster_id bigint, document bigint, ngram string, cnt double")
+    words = cdw.select("ngram", "cluster_id").distinct()
+    assert TP.lsa_topics(words, cdw, 2)["iterations"] == 0          # 160 words: more than lsa() solves at once, fewer than the run of all clusters
     res = TP.lsa(cdw, 2)
     assert res["iterations"] > 0
     sigma = {(r.cluster_id, r.topic): r.sigma for r in res["singular"].collect()}
