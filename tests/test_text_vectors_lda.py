@@ -374,3 +374,40 @@ def test_bags_cut_from_sorted_batches_keep_every_count(spark, monkeypatch):
     assert got == {k: sorted((w, n) for c, d, w, n in rows if (c, d) == k) for k in {r[:2] for r in rows}}
     assert shared == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 2)}
     assert plans and not any("collect_list" in plan for plan in plans)
+
+
+def _written(spark, but=None) -> dict:
+    """Written tables, without those of ``but``, and their rows (of none where ``but`` is empty)."""
+    import os
+    from urllib.parse import urlparse
+    top = urlparse(spark.sparkContext.getCheckpointDir()).path
+    names = [t for t in os.listdir(top) if t.startswith("tbl-") and t not in (but or ())]
+    return {t: spark.read.parquet(f"{top}/{t}").count() if but else None for t in names}
+
+
+def test_a_size_search_writes_no_table_per_size(spark):
+    """Hits of every size equal brute force, with equal vectors and an id that
+    comes twice; the sample, the vectors and the exact neighbours are all that is written."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 6))
+    x[7] = x[8]
+    ids = np.arange(60)
+    ids[50] = 3
+    u = V.unit_vectors(spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>"))
+    sizes, had = [32, 64, 96, 4128], set(_written(spark))
+    got = list(V.recalls(u, sizes, 25))
+    assert len(set(_written(spark)) - had) <= 3
+    asked = {r.vec_id for r in V.query_sample(u, 25).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def nearest(score):
+        best = {}
+        for i in np.flatnonzero(np.isin(ids, list(asked))):
+            for j in np.flatnonzero(ids != ids[i]):
+                best[ids[i]] = min(best.get(ids[i], (np.inf, 0)), (-round(score(i, j), 12), ids[j]))
+        return {q: n for q, (_, n) in best.items()}
+
+    exact = nearest(lambda i, j: float((x[i] * x[j]).sum()))
+    bits = x @ V.lsh_planes(4128, 6).T >= 0
+    want = [nearest(lambda i, j, b=b: -float((bits[i, :b] != bits[j, :b]).sum())) for b in sizes]
+    assert got == [(b, len(exact), sum(w[q] == exact[q] for q in exact)) for b, w in zip(sizes, want)]
