@@ -336,3 +336,29 @@ def test_merge_rounds_by_hash_send_signatures_and_match_in_one_range(spark, monk
     last = C.hierarchical_cluster(vectors, 220, 0.3, method="lsh", hash_above=100, nbits=64)
     assert whole[1] == last[1]
     assert sorted(map(tuple, whole[0].collect())) == sorted(map(tuple, last[0].collect()))
+
+
+def test_merge_rounds_leave_no_superseded_tables(spark):
+    """After rounds of jobs only the vectors, the last state and small tables hold rows."""
+    from test_text_vectors_lda import _written
+    x = np.random.default_rng(6).standard_normal((24, 4))
+    u = V.unit_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>"))
+    had = set(_written(spark, ()))
+    members, history = C.hierarchical_cluster(u, 8, 0.1, 2, tail=0)
+    assert len(history) > 1 and members.count() == 24
+    assert sum(n > 0 for n in _written(spark, had).values()) <= 12
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Spark removes them when the table is written; the session's setting stays as it was."""
+    from topicspark import session as S
+    seen = []
+    df = spark.range(100).repartition(3, "id").mapInPandas(lambda batches: batches, "id long")
+    before = spark.conf.get(S.CLEANUP, "false")
+    with S._shuffles_dropped(spark):
+        seen.append(spark.conf.get(S.CLEANUP))
+    with S.superseded() as keep:
+        first, last = S.checkpoint(df), keep(S.checkpoint(df))
+        path = first.written_to
+    assert seen == ["true"] and spark.conf.get(S.CLEANUP, "false") == before
+    assert last.count() == 100 and spark.read.parquet(path).count() == 0
